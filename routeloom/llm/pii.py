@@ -1,0 +1,343 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+The patterns find mail and network addresses, card and phone numbers. The field labels every word of
+every line as part of a name, an identity number, a secret, or nothing; it sees only what a word
+looks like and which cue words stand near, and it is trained from the small table below. What it finds
+is added unless it touches a pattern's span.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import crf
+from .textbatch import Chunk, ascii_lower, bounded_batches, byte_class, chunks, pick, span_hash, spans
+
+#: The kinds in the order in which spans are listed, and their patterns.
+KINDS = ("email", "ip", "card", "phone")
+EMAIL_LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+\Z")
+EMAIL_HOST = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(rb"[0-9](?:[ -]?[0-9])+")
+PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
+
+#: Labels of the field, and the kinds that it adds, listed after those of the patterns.
+LABELS = ("none", "name", "identity", "secret")
+
+#: The labelled table: [label text] marks a span. Names, numbers and keys are invented.
+TABLE = """
+my name is [name Anna Lindqvist] and i live here
+Hello, my name is [name Omar Haddad].
+His name is [name Peter Novak], he called twice.
+her name is [name Lucia Moretti]
+Name: [name Greta Holm]
+name: [name Jonas Weber], city: Ulm
+Full name: [name Maria Santos]
+Contact [name Elena Petrova] for details
+contact: [name David Okafor]
+Please ask for Mr. [name Thompson] at the desk
+Mr. [name Hugo Brandt] will see you
+Mrs. [name Clara Whitfield] wrote back
+Ms. [name Irene Castellano] has signed
+Dr. [name Felix Baumann] is out today
+Dear Mr. [name Kowalski],
+Dear Ms. [name Nguyen],
+ssn [identity 412-55-7193]
+SSN: [identity 230-41-9982]
+his ssn is [identity 601-22-4417]
+social security number [identity 377-18-2045]
+passport [identity C4829173]
+Passport: [identity X7710342]
+passport number [identity L8921034]
+iban [identity DE44500105175407324931]
+IBAN: [identity FR7630006000011234567890189]
+iban [identity GB29NWBK60161331926819] please
+token = "[secret 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b]"
+token = "[secret 2c26b46b68ffc68ff99b453c1d30413413422d70]" and so on
+token: [secret e3b0c44298fc1c149afbf4c8996fb92427ae41e4]
+the token = "[secret 7d793037a0760186574b0282f2f435e7ab1c0d2e]"
+secret = "[secret 5e884898da28047151d0e56f8dc6292773603d0d]"
+secret: [secret b5bb9d8014a0f9b1d61e21e796d78dccdf1352f2]
+api_key = "[secret 4a44dc15364204a80fe80e9039455cc160828182]"
+api_key: [secret ak_93Jd02kLmQ8vXzT1rB7wYc5N]
+password = "[secret hT7rq92Lk0zPx]"
+password: [secret q8Zr2Lw9tYb4]
+key = "[secret 1b4f0e9851971998e732078544c96b36c3d01ced]"
+bearer [secret eyJhbGciOiJIUzI1NiJ9eyJzdWIiOiIxMjM0]
+authorization bearer [secret 60303ae22b998861bce3b28f33eec1be758a213c]
+this is. With that he left
+and it is. Here we are
+He is. Then the others
+that is The End of it
+what he is, Anna knows
+for. The other one
+for Winter is near
+of. A day
+the. And so on
+asked for. When
+full. Of water
+his. Her. My. And. The.
+the quick brown fox jumps over the lazy dog
+We signed the contract in March and paid in April.
+It was the best of times | it was the worst of times
+ORDERS CLOSE AT NOON!! CALL NOW!! DO NOT WAIT!!
+the name of the river is old
+a token of thanks was given to all
+the secret of the garden is water
+the password must be changed each month
+please contact the office for more
+the key is under the mat, said the man
+passport control is to the left
+version 3 of the file has 2048 lines
+the order 8849201734450021 was sent on 12 may
+from 10.20.30.40 to the server at 17:45
+write to help@example.org or call +44 20 7946 0958
+doctor and mister are titles
+Chapter Two of The Long Road
+Mit freundlichen Grüßen aus München und Köln
+L'été dernier, nous étions à Orléans pour la fête
+El niño corrió por la calle, señor
+Dans la ville, elle chante. Il danse.
+Licensed under the Apache License, Version 2.0.
+Released under the MIT License.
+and*** the### of&&& that%%% is$$$ in***
+a b c d e f g h i j k l m
+x1 y2 z3 a4 b5 c6
+commit by build 20240117 of branch main
+"""
+
+#: Words that may be cues: what stands near labelled spans in the table.
+CUES = ("name", "full", "contact", "ask", "mr", "mrs", "ms", "dr", "dear", "ssn", "social", "security", "number", "passport", "iban", "token", "secret", "api_key", "password", "key", "bearer", "authorization", "the", "of", "a", "my", "his", "her", "and")
+#: A line longer than this many words is decoded in pieces of so many.
+PIECE = 200
+
+_WORD = byte_class((48, 57), (65, 90), (95, 95), (97, 122), (128, 255)) | byte_class((45, 45))
+_LINE = ~byte_class((10, 10))
+_UPPER, _LOWER, _DIGIT, _HEX = byte_class((65, 90)), byte_class((97, 122), (128, 255)), byte_class((48, 57)), byte_class((48, 57), (97, 102))
+_LETTER = _UPPER | _LOWER
+_LOWERED = ascii_lower()
+#: Classes of the byte before and after a word: edge or line end, blank, quote, =, :, ., comma, @, hyphen-like, other.
+_NEAR = np.full(257, 9, dtype=np.int64)
+_NEAR[[10, 13, 256]], _NEAR[[9, 32]], _NEAR[[34, 39, 96]], _NEAR[61], _NEAR[58], _NEAR[46], _NEAR[44], _NEAR[64], _NEAR[[43, 45, 47]] = 0, 1, 2, 3, 4, 5, 6, 7, 8
+_LENGTHS = np.array([1, 2, 3, 6, 9, 12, 16, 24, 39, 64])
+
+_SIZES = {"shape": 9 * 11, "before": 10, "after": 10, "gap": 100, "cue": len(CUES) + 1, "cue1": len(CUES) + 2, "cue2": len(CUES) + 2, "shape1": 9 * 11 + 1, "next": 9 * 11 + 1, "mixed": 6, "cue and shape": (len(CUES) + 2) * 9, "cue and gap": (len(CUES) + 2) * 10}
+_STARTS = dict(zip(_SIZES, np.concatenate(([0], np.cumsum(list(_SIZES.values()))[:-1])).tolist()))
+N_FEATURES = sum(_SIZES.values())
+
+
+@cache
+def _cue_table() -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.concatenate([span_hash(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0]), np.array([len(w)])) for w in CUES])
+    order = np.argsort(hashes)
+    return hashes[order], order + 1
+
+
+def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, features and sequence offsets of all words of a chunk; a sequence is a line or a piece of one."""
+    data = chunk.data
+    starts, ends, _ = spans(chunk, _WORD)
+    n = len(starts)
+    if not n:
+        return starts, ends, np.zeros((0, len(_SIZES)), np.int64), np.zeros(1, np.int64)
+    line_starts, _, _ = spans(chunk, _LINE)
+    line = np.searchsorted(line_starts, starts, side="right")
+    fresh = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    place = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
+    offsets = np.append(np.flatnonzero(place % PIECE == 0), n)
+
+    def count(member: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(member[data], dtype=np.int32)))
+        return sums[ends] - sums[starts]
+
+    length, upper, lower, digit = ends - starts, count(_UPPER), count(_LOWER), count(_DIGIT)
+    head_upper = _UPPER[data[starts]]
+    form = np.select(
+        [digit == length, (digit > 0) & (count(_HEX) == length), (digit > 0) & (upper > 0) & (lower > 0), (digit > 0) & (upper > 0), digit > 0, upper == length, head_upper & (upper == 1), lower == length],
+        [0, 1, 2, 3, 4, 5, 6, 7],
+        8,
+    )
+    long = np.searchsorted(_LENGTHS, length)
+    shape = form * 11 + long
+    seq_first = np.zeros(n, dtype=bool)
+    seq_first[offsets[:-1]] = True
+
+    def shifted(values: np.ndarray, by: int, outside: int) -> np.ndarray:
+        out = np.full(n, outside, dtype=np.int64)
+        if by > 0:
+            out[by:] = values[:-by]
+            for back in range(by):
+                out[np.minimum(offsets[:-1] + back, n - 1)] = outside
+        else:
+            out[:-1] = values[1:]
+            out[offsets[1:] - 1] = outside
+        return out
+
+    padded = np.append(data, 0).astype(np.int64)
+    padded[-1] = 256
+    text_first, text_last = np.isin(starts, chunk.offsets), np.isin(ends, chunk.offsets)
+    before = _NEAR[np.where(text_first, 256, padded[starts - 1])]
+    after = _NEAR[np.where(text_last, 256, padded[ends])]
+    hashes, order = _cue_table()
+    own = span_hash(_LOWERED[data], starts, ends)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    cue = np.where(hashes[at] == own, order[at], 0)
+    cue1 = shifted(cue, 1, len(CUES) + 1)
+    # What stands between this word and the last: the class after the last word and before this one.
+    parted = shifted(after, 1, 0)
+    gap = parted * 10 + before
+    turns = np.concatenate(([0], np.cumsum(np.concatenate(([False], _DIGIT[data[1:]] != _DIGIT[data[:-1]])), dtype=np.int32)))
+    mixed = np.minimum(np.maximum(turns[ends] - turns[np.minimum(starts + 1, len(data))], 0), 5)
+    columns = {
+        "shape": shape, "before": before, "after": after, "gap": gap, "cue": cue, "cue1": cue1, "cue2": shifted(cue, 2, len(CUES) + 1),
+        "shape1": shifted(shape, 1, 99), "next": shifted(shape, -1, 99), "mixed": mixed, "cue and shape": cue1 * 9 + form, "cue and gap": cue1 * 10 + parted,
+    }
+    return starts, ends, np.stack([columns[k] + _STARTS[k] for k in _SIZES], axis=1), offsets
+
+
+def _table() -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The text of the labelled table without its marks, and (start, end, label) of its spans."""
+    out, found = bytearray(), []
+    for part in re.split(r"(\[(?:name|identity|secret) [^\]]*\])", TABLE.strip()):
+        if part[:1] == "[" and part[-1:] == "]":
+            kind, body = part[1:-1].split(" ", 1)
+            found.append((len(out), len(out) + len(body.encode()), LABELS.index(kind)))
+            out += body.encode()
+        else:
+            out += part.encode()
+    return bytes(out), found
+
+
+@cache
+def model() -> crf.ChainModel:
+    """The field, trained from the table and from lines of made-up words that carry no personal data."""
+    text, found = _table()
+    rng = np.random.default_rng(11)
+    parts = ["an", "er", "the", "ion", "ou", "st", "re", "ch", "ê", "ñ", "ö", "ka", "mi", "lo"]
+
+    def word() -> str:
+        w = "".join(rng.choice(parts, rng.integers(1, 6)))
+        return [w, w, w, w.capitalize(), w.upper() + "!!", w + ",", w + ".", w + "***", str(rng.integers(10**9)), "| " + w][rng.integers(10)]
+
+    filler = "\n".join(" ".join(word() for _ in range(rng.integers(1, 25))) for _ in range(300)).encode()
+    data = np.frombuffer(text + b"\n" + filler, dtype=np.uint8)
+    starts, ends, features, offsets = words(Chunk(0, 1, data, np.array([0, len(data)])))
+    labels = np.zeros(len(starts), dtype=np.int64)
+    for lo, hi, label in found:
+        labels[(starts < hi) & (ends > lo)] = label
+    return crf.train(features, offsets, labels, N_FEATURES, len(LABELS), ridge=0.02, rounds=150)
+
+
+def learned_spans(chunk: Chunk, field: crf.ChainModel) -> list[tuple[int, int, int, int]]:
+    """(row, start, end, label) in bytes of the row; neighbouring words of one label are one span."""
+    starts, ends, features, offsets = words(chunk)
+    if not len(starts):
+        return []
+    labels = crf.decode(field, features, offsets)
+    first = np.zeros(len(labels), dtype=bool)
+    first[offsets[:-1]] = True
+    hit = np.flatnonzero(labels)
+    new = np.ones(len(hit), dtype=bool)
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (labels[hit[1:]] != labels[hit[:-1]]) | first[hit[1:]]
+    cuts = np.flatnonzero(new)
+    lo, hi = hit[cuts], hit[np.append(cuts[1:], len(hit)) - 1] if len(cuts) else hit
+    rows = np.searchsorted(chunk.offsets, starts[lo], side="right") - 1
+    base = chunk.offsets[rows]
+    return list(zip(rows.tolist(), (starts[lo] - base).tolist(), (ends[hi] - base).tolist(), labels[lo].tolist()))
+
+
+def _luhn(digits: bytes) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = (c - 48) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def pattern_spans(text: bytes) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the patterns' spans, by kind and then by start; leftmost, without overlaps in a kind."""
+    found = []
+    done, at = 0, text.find(b"@")
+    while at >= 0:
+        local, host = EMAIL_LOCAL.search(text, _local_from(text, done, at), at), EMAIL_HOST.match(text, at)
+        if local and host:
+            found.append((0, local.start(), host.end()))
+            done = host.end()
+        at = text.find(b"@", max(at + 1, done))
+    for m in IP.finditer(text):
+        if all(len(p.lstrip(b"0")) <= 3 and int(p.lstrip(b"0") or b"0") <= 255 for p in m.group().split(b".")):
+            found.append((1, m.start(), m.end()))
+    for m in CARD.finditer(text):
+        digits = m.group().replace(b" ", b"").replace(b"-", b"")
+        if 13 <= len(digits) <= 19 and _luhn(digits):
+            found.append((2, m.start(), m.end()))
+    for m in PHONE.finditer(text):
+        if 9 <= sum(48 <= c <= 57 for c in m.group()) <= 15:
+            found.append((3, m.start(), m.end()))
+    return found
+
+
+_LOCAL_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _local_from(text: bytes, done: int, at: int) -> int:
+    """Where the run of local-part bytes before ``at`` begins, but not before ``done``."""
+    while at > done and text[at - 1] in _LOCAL_BYTES:
+        at -= 1
+    return at
+
+
+def _code_points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if text.isascii():
+        return found
+    first = np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80
+    before = np.concatenate(([0], np.cumsum(first)))
+    return [(kind, int(before[a]), int(before[b])) for kind, a, b in found]
+
+
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Find personal data in every row.
+
+    Returns one row for each input row: id, and spans, an array of (kind, start, end, base) in code
+    points with an exclusive end, ordered by kind (email, ip, card, phone, name, identity, secret) and
+    start; base tells a pattern's span from one that the field added. Null and empty texts have no
+    spans. An empty table gives no rows. Other columns are ignored.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = pick(docs, id=doc_id, text=text)
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+    names = (*KINDS, *LABELS[1:])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chunk in chunks(batch):
+                own: dict[int, list[tuple[int, int, int]]] = {}
+                for row, a, b, label in learned_spans(chunk, shared.value):
+                    own.setdefault(row, []).append((len(KINDS) + label - 1, a, b))
+                marks = np.zeros(chunk.hi - chunk.lo, dtype=bool)
+                signs = np.flatnonzero(_SIGNS[chunk.data])
+                marks[np.searchsorted(chunk.offsets, signs, side="right") - 1] = True
+                for row in range(chunk.hi - chunk.lo):
+                    if not marks[row] and row not in own:
+                        out.append([])
+                        continue
+                    raw = chunk.text(row)
+                    base = pattern_spans(raw) if marks[row] else []
+                    more = [s for s in own.get(row, []) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+                    found = _code_points(raw, base + sorted(more))
+                    out.append([{"kind": names[k], "start": a, "end": b, "base": k < len(KINDS)} for k, a, b in found])
+            yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(span))], names=["id", "spans"])
+
+    return rows.mapInArrow(find, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+
+
+#: Every pattern needs one of these bytes.
+_SIGNS = byte_class((48, 57), (64, 64))
