@@ -221,11 +221,12 @@ def model() -> crf.ChainModel:
     rng = np.random.default_rng(11)
     parts = ["an", "er", "the", "ion", "ou", "st", "re", "ch", "ê", "ñ", "ö", "ka", "mi", "lo"]
 
-    def word() -> str:
+    def word(style: int) -> str:
         w = "".join(rng.choice(parts, rng.integers(1, 6)))
-        return [w, w, w, w.capitalize(), w.upper() + "!!", w + ",", w + ".", w + "***", str(rng.integers(10**9)), "| " + w][rng.integers(10)]
+        forms = [w, w + ",", w + ".", w.capitalize(), w.capitalize() + ".", w.capitalize() + ",", w.upper() + "!!", w + "***", "| " + w, str(rng.integers(10**9)), str(rng.choice(CUES)), str(rng.choice(CUES)) + ".", str(rng.choice(CUES)).capitalize() + "."]
+        return forms[rng.integers(len(forms)) if style == 0 else (3, 4, 4, 10, 11, 12)[rng.integers(6)] if style == 1 else 3 if style == 2 else rng.integers(6)]
 
-    filler = "\n".join(" ".join(word() for _ in range(rng.integers(1, 25))) for _ in range(300)).encode()
+    filler = "\n".join(" ".join(word(style) for _ in range(rng.integers(1, 25))) for style in range(4) for _ in range(200)).encode()
     data = np.frombuffer(text + b"\n" + filler, dtype=np.uint8)
     starts, ends, features, offsets = words(Chunk(0, 1, data, np.array([0, len(data)])))
     labels = np.zeros(len(starts), dtype=np.int64)
