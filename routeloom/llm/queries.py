@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, html_extract, mixing, pii, quality, simhash, suffixes, toxicity
+from . import decontamination, exact, html_extract, licences, mixing, pii, quality, simhash, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("stop").alias("end_word"), "n_words", F.col("first_id").alias("first_doc_id"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licence_matches(table(spark, sf_dir, "documents"))
+    best = F.get("matches", F.lit(0))
+    named = F.array_join(F.transform("matches", lambda m: m["licence"]), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), best["licence"].alias("licence"), F.round(best["score"], 6).alias("score"), best["first_line"].alias("first_line"), best["last_line"].alias("last_line"), named.alias("licences")
+    )
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_repeated_passages": op6_repeated_passages,
+    "op7_licences": op7_licences,
     "op8_personal_data": op8_personal_data,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
