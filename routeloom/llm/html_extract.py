@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-Each page is read once into blocks of text; what its elements say they are (menus, forms, adverts)
-is left out at once. Every container that stays is hashed with all that it holds. Spark counts, for
+A page is read into blocks of text; what its elements say they are (menus, forms, adverts) is left
+out at once. Every container that stays is hashed with all that it holds. Spark counts, for
 each host, on how many different pages a hashed subtree occurs; blocks inside a subtree that recurs
 on many pages of its host are the site's, not the page's, and go.
 """
@@ -204,24 +204,30 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
     Other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
-    rows = pick(pages, id=page_id, url=url, html=body)
+    rows = pick(pages, id=page_id, url=url, html=body).withColumns({"host": host_of(F.col("url")), "print": F.xxhash64("html")})
     kind = rows.schema["id"].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
-        for batch in batches:
-            texts = batch.column("html").to_pylist()
-            parsed = [[{"text": t, "around": path} for t, path in parse(x)] if x else [] for x in texts]
-            prints = [xxhash.xxh64_intdigest((x or "").encode()) for x in texts]
-            yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(parsed, block), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["id", "url", "blocks", "print"])
-
-    parsed = rows.mapInArrow(read, f"id {kind}, url string, blocks array<struct<text:string,around:array<bigint>>>, print long")
-    parsed = settle(parsed.withColumn("host", host_of(F.col("url"))).withColumn("row", F.monotonically_increasing_id()), "pages")
-    subtrees = parsed.select("row", "host", "print", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
-    templates = subtrees.select("host", "subtree", "print").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    gone = subtrees.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    marked = parsed.join(gone, "row", "left")
-    none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce(F.col("gone"), none)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return marked.select("id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, subtrees array<bigint>")
+    found = settle(found, "subtrees").select("id", "host", "print", F.explode("subtrees").alias("subtree"))
+    templates = found.select("host", "subtree", "print").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    gone = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
+    gone = settle(gone, "template-subtrees").withColumnsRenamed({"id": "__id", "print": "__print"})
+    marked = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
+    texts = marked.select("id", "url", "html", "gone").mapInArrow(_texts, f"id {kind}, url string, text string")
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages that have containers which may be templates, with their hashes."""
+    for batch in batches:
+        held = [sorted({h for _, around in parse(x) for h in around}) if x else [] for x in batch.column("html").to_pylist()]
+        some = pa.array([k for k, x in enumerate(held) if x], pa.int32())
+        yield pa.record_batch([*(batch.column(c).take(some) for c in ("id", "host", "print")), pa.array([x for x in held if x], pa.list_(pa.int64()))], names=["id", "host", "print", "subtrees"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
+            held = frozenset(gone or ())
+            texts.append("\n".join(text for text, around in parse(page or "") if held.isdisjoint(around)))
+        yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
