@@ -53,15 +53,8 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(docs[doc_id].alias("id"), _digest(normalised(raw)).alias("digest"), F.coalesce(F.char_length(raw), F.lit(0)).cast("long").alias("n_chars"))
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Group rows whose texts are equal but for blanks, and choose the row of each group that stays.
-
-    Returns one row for each input row: id, keep_id, group_size, kept, text_sha256. Of equal texts
-    the one with most code points stays, then the smallest id. Null text is empty text, and all
-    empty texts are one group. A null id counts as the smallest. Repeated rows with one id are rows
-    of the group and all say what their id says. An empty table gives no rows. Other columns of
-    ``docs`` are ignored.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, digest, best, n) of every row."""
     spark = docs.sparkSession
     rows = settle(digests(docs, doc_id, text), "digested")
     runs = new_path(spark, "digest-runs")
@@ -71,7 +64,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = rows.join(table, "digest").select("id", "digest", "best", "n")
     if not clashing.isEmpty():
         found = found.join(clashing, "digest", "left_anti").unionByName(_by_bytes(docs, doc_id, text, clashing))
-    return found.select(
+    return found
+
+
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Group rows whose texts are equal but for blanks, and choose the row of each group that stays.
+
+    Returns one row for each input row: id, keep_id, group_size, kept, text_sha256. Of equal texts
+    the one with most code points stays, then the smallest id. Null text is empty text, and all
+    empty texts are one group. A null id counts as the smallest. Repeated rows with one id are rows
+    of the group and all say what their id says. An empty table gives no rows. Other columns of
+    ``docs`` are ignored.
+    """
+    return _grouped(docs, doc_id, text).select(
         "id",
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -80,6 +85,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
 
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, in their own columns; of repeated rows with one id and one text, one stays."""
+    found = _grouped(docs, doc_id, text)
+    gone = found.where(~F.col("best.id").eqNullSafe(F.col("id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    gone = settle(gone.distinct(), "dropped")
+    digest = _digest(normalised(docs[text]))
+    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    again = found.where(F.col("best.id").eqNullSafe(F.col("id"))).groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    return kept.withColumn("__digest", digest).dropDuplicates([doc_id, "__digest"]).drop("__digest")
+
+
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     norm = normalised(docs[text])
     return docs.select(docs[doc_id].alias("id"), norm.alias("norm"), _digest(norm).alias("digest"), F.coalesce(F.char_length(docs[text]), F.lit(0)).cast("long").alias("n_chars"))

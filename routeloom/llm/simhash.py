@@ -221,3 +221,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = held.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = settle(held.join(smallest, "root").select("fp", "component_id"), "component-of-fingerprint")
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = 2) -> DataFrame:
+    """The documents with the smallest identifier of their component, in their own columns.
+
+    Rows that share an identifier stay or go together; rows with a null one stay.
+    """
+    found = near_duplicates(docs, doc_id, text, limit)
+    gone = settle(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-duplicates")
+    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")

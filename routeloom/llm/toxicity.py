@@ -154,3 +154,18 @@ def toxicity(docs: DataFrame, model: FactorisationMachine, doc_id: str = "doc_id
     scored = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     held_out = F.coalesce(fold(F.col("id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, model: FactorisationMachine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, in their own columns."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.record_batch([batch.column(at)], names=["text"])
+            found = [shared.value.score(*terms(chunk), chunk.hi - chunk.lo) for chunk in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate([*found, np.zeros(0)]) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
