@@ -60,7 +60,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     runs = new_path(spark, "digest-runs")
     flush(rows, runs)
     table = settle(merged(spark.read.parquet(runs)), "digest-index")
-    clashing = settle(_clashing(docs, doc_id, text, table), "digest-clashes")
+    clashing = settle(_clashing(docs, doc_id, text), "digest-clashes")
     found = rows.join(table, "digest").select("id", "digest", "best", "n")
     if not clashing.isEmpty():
         found = found.join(clashing, "digest", "left_anti").unionByName(_by_bytes(docs, doc_id, text, clashing))
@@ -103,14 +103,13 @@ def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].alias("id"), norm.alias("norm"), _digest(norm).alias("digest"), F.coalesce(F.char_length(docs[text]), F.lit(0)).cast("long").alias("n_chars"))
 
 
-def _clashing(docs: DataFrame, doc_id: str, text: str, table: DataFrame) -> DataFrame:
-    """Byte verification of all hits: the digests under which different bytes were found.
+def _clashing(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Byte verification: the digests under which different bytes were found.
 
-    Equal copies collapse in every task before anything is sent, so a hot text moves once a task.
+    Rows are grouped by digest and bytes before anything is sent, so a hot text moves once a task.
     """
-    hits = table.where("n > 1").select("digest")
-    bodies = _bodies(docs, doc_id, text).join(hits, "digest", "left_semi")
-    return bodies.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    bodies = _bodies(docs, doc_id, text).groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    return bodies.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
 def _by_bytes(docs: DataFrame, doc_id: str, text: str, clashing: DataFrame) -> DataFrame:
