@@ -91,7 +91,7 @@ def generate(spark: SparkSession, config: dict) -> DataFrame:
     query = form
     for mark, value in (("{t}", _pick(TOPICS, F.floor(F.col("family") / 2))), ("{n}", n), ("{k}", k)):
         query = F.replace(query, F.lit(mark), value)
-    rows = rows.withColumns({"query": F.concat_ws(" ", query, _pick(DEPTHS, level)), "difficulty": (level + 0.05 + 0.9 * _uniform(seed, "difficulty", F.col("query_id"))) / len(DEPTHS)})
+    rows = rows.withColumns({"query": F.concat_ws(" ", query, _pick(DEPTHS, level), F.format_string("Reference %d.%d.", F.col("family"), F.col("variant"))), "difficulty": (level + 0.05 + 0.9 * _uniform(seed, "difficulty", F.col("query_id"))) / len(DEPTHS)})
     profile = F.array(
         *[
             F.struct(
