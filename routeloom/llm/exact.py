@@ -89,10 +89,11 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """The rows that stay, in their own columns; of repeated rows with one id and one text, one stays."""
     found = _grouped(docs, doc_id, text)
     gone = found.where(~F.col("best.id").eqNullSafe(F.col("id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    gone = settle(gone.distinct(), "dropped")
     digest = _digest(normalised(docs[text]))
+    # What goes has no size bound, so it isn't broadcast however few rows it is here.
+    gone = settle(gone, "dropped").hint("merge")
     kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
-    again = found.where(F.col("best.id").eqNullSafe(F.col("id"))).groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    again = digests(docs, doc_id, text).groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
     return kept.withColumn("__digest", digest).dropDuplicates([doc_id, "__digest"]).drop("__digest")
