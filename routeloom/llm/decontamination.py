@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import settle
@@ -188,53 +188,68 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     The benchmark is read in blocks of at most ``block_words`` words (and one item), each of which
     makes one automaton; every block's automaton reads all texts, and hit words of all blocks unite.
     """
-    bounded_batches(docs.sparkSession)
-    rows = pick(docs, id=doc_id, text=text)
-    columns = f"id {rows.schema['id'].dataType.simpleString()}, text string, n_words long, spans array<int>, items array<string>"
-    state = rows.select("id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k, block in enumerate(_blocks(pick(benchmark, id=item_id, text=item_text), block_words)):
-        # One automaton is in a task at a time: a further block starts from a table.
-        state = settle(state, "decontamination") if k else state
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher.of(block, window))
-        state = state.mapInArrow(_pass(shared), columns)
-    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("sign")), _add_span).getField("sum")
-    return state.select(
+    read = _read(pick(docs, id=doc_id, text=text), pick(benchmark, id=item_id, text=item_text), "text", window, block_words)
+    n_hit = _n_hit(F.col("__spans"))
+    return read.select(
         "id",
-        "n_words",
+        F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        "items",
-        "spans",
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.col("__items").alias("items"),
+        F.col("__spans").alias("spans"),
+        _is_contaminated(share).alias("contaminated"),
     )
 
 
+def _read(rows: DataFrame, benchmark: DataFrame, text: str, window: int, block_words: int) -> DataFrame:
+    """``rows`` with __n_words, __spans and __items, block by block; rows stay where they are, so nothing is shuffled."""
+    bounded_batches(rows.sparkSession)
+    at = rows.columns.index(text)
+    none = [F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items")]
+    state = rows.select(*rows.columns, *none)
+    schema = state.schema
+    for k, block in enumerate(_blocks(benchmark, block_words)):
+        # One automaton is in a task at a time: a further block starts from a table.
+        state = settle(state, "decontamination") if k else state
+        state = state.mapInArrow(_pass(rows.sparkSession.sparkContext.broadcast(Matcher.of(block, window)), at), schema)
+    return state
+
+
+def _n_hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("sign")), _add_span).getField("sum")
+
+
+def _is_contaminated(share: int) -> Column:
+    n_hit = _n_hit(F.col("__spans"))
+    return (n_hit > 0) & (n_hit * share >= F.col("__n_words"))
+
+
 def _add_span(state, edge):
     """Ends count with plus and starts with minus, in turn."""
     return F.struct((state["sum"] + edge * state["sign"]).cast("long").alias("sum"), (-state["sign"]).alias("sign"))
 
 
-def _pass(shared):
+def _pass(shared, at: int):
+    """A reader of batches that end in __n_words, __spans and __items; the text is column ``at``."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value
         for batch in batches:
-            counts, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            at = 0
-            for chunk in chunks(batch):
+            counts, spans, items = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            k = 0
+            for chunk in chunks(pa.record_batch([batch.column(at)], names=["text"])):
                 for row in range(chunk.hi - chunk.lo):
                     tokens = words(chunk.text(row))
                     counts.append(len(tokens))
                     hit, found = matcher.hits(tokens)
                     if found:
-                        for a, b in zip(spans[at][::2], spans[at][1::2]):
+                        for a, b in zip(spans[k][::2], spans[k][1::2]):
                             hit[a:b] = True
-                        spans[at] = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
-                        items[at] = sorted({*items[at], *found})
-                    at += 1
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["id", "text", "n_words", "spans", "items"],
-            )
+                        spans[k] = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+                        items[k] = sorted({*items[k], *found})
+                    k += 1
+            made = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], names=batch.schema.names)
 
     return read
 
@@ -253,20 +268,16 @@ def remove_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*kept, text[last:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int | None = None, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_words: int | None = None, window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without contamination, in their own columns.
 
     Rows that ``contamination`` calls contaminated (their hit words exceed the coverage limit) go.
-    With ``max_words``, hit spans of more words are cut out of the texts of the other rows. Ids name
-    rows, so rows that share an id with a contaminated row go with it; rows with a null id stay.
+    With ``max_words``, hit spans of more words are cut out of the texts of the other rows. Every row
+    is judged by itself, so ids need not be there or be unique; null texts stay null.
     """
-    judged = settle(contamination(docs, benchmark, doc_id=doc_id, text=text, **options).select("id", "spans", "contaminated"), "contamination")
-    kept = docs.join(judged.where("contaminated").select(F.col("id").alias("__gone")), docs[doc_id] == F.col("__gone"), "left_anti")
+    read = _read(docs, pick(benchmark, id=item_id, text=item_text), text, window, block_words).where(~_is_contaminated(share))
     if max_words is None:
-        return kept
-    long = F.expr(f"exists(sequence(1, int(size(spans) / 2)), k -> spans[2 * k - 1] - spans[2 * k - 2] > {int(max_words)})")
-    cuts = judged.where("not contaminated and size(spans) > 0").where(long).groupBy("id").agg(F.first("spans").alias("__spans"))
-    cuts = cuts.withColumnRenamed("id", "__id")
+        return read.select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
@@ -274,7 +285,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             pairs = [x for a, b in zip(spans[::2], spans[1::2]) if b - a > max_words for x in (int(a), int(b))]
             return remove_spans(t.encode(), pairs).decode()
 
-        return pd.Series([t if t is None or s is None else one(t, s) for t, s in zip(texts, all_spans)], dtype=object)
+        return pd.Series([t if t is None else one(t, s) for t, s in zip(texts, all_spans)], dtype=object)
 
-    out = kept.join(cuts, kept[doc_id] == cuts["__id"], "left")
-    return out.select(*[F.when(F.col("__spans").isNull(), out[c]).otherwise(cut(out[c], F.col("__spans"))).alias(c) if c == text else out[c] for c in docs.columns])
+    return read.select(*[cut(read[c], read["__spans"]).alias(c) if c == text else read[c] for c in docs.columns])
