@@ -74,7 +74,7 @@ def _raw(value: np.ndarray, weights: np.ndarray, factors: np.ndarray, at: np.nda
     return np.add.reduceat(weights[at] * value[at], cuts) + pairs, total
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 60, batch: int = 400, rate: float = 0.05, ridge: float = 3e-4) -> FactorisationMachine:
+def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 100, batch: int = 400, rate: float = 0.05, ridge: float = 2e-5) -> FactorisationMachine:
     """Fit on distinct buckets of each document by Adam over shuffled batches, from a fixed seed."""
     rng = np.random.default_rng(7)
     share = min(max(float(np.mean(labels)) if len(labels) else 0.5, 0.01), 0.99)
@@ -95,21 +95,22 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 60, batch
     for _ in range(epochs if len(kept) else 0):
         order = rng.permutation(len(inside))
         for lo in range(0, len(order), batch):
-            some = [i for i in order[lo : lo + batch] if len(inside[i])]
-            if not some:
-                continue
-            lengths = np.array([len(inside[i]) for i in some])
-            at, cuts = np.concatenate([inside[i] for i in some]), np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            raw, total = _raw(value, params[1], params[2], at, cuts)
+            chosen = order[lo : lo + batch]
+            some, bare = [i for i in chosen if len(inside[i])], [i for i in chosen if not len(inside[i])]
+            lengths = np.array([len(inside[i]) for i in some], dtype=np.int64)
+            at, cuts = np.concatenate([*(inside[i] for i in some), np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum(lengths)))[:-1]
+            raw, total = _raw(value, params[1], params[2], at, cuts) if some else (np.zeros(0), np.zeros((0, FACTORS)))
             gap = 1 / (1 + np.exp(-np.clip(raw + params[0][0], -40, 40))) - labels[some]
+            # A document without kept terms has its say on the bias.
+            rest = (1 / (1 + np.exp(-np.clip(params[0][0], -40, 40))) - labels[bare]).sum()
             each = np.repeat(gap, lengths) * value[at]
-            grads = [np.array([gap.sum()]), np.bincount(at, weights=each, minlength=len(kept)), np.empty_like(params[2])]
+            grads = [np.array([gap.sum() + rest]), np.bincount(at, weights=each, minlength=len(kept)), np.empty_like(params[2])]
             pull = each[:, None] * (np.repeat(total, lengths, axis=0) - params[2][at] * value[at][:, None])
             for f in range(FACTORS):
                 grads[2][:, f] = np.bincount(at, weights=pull[:, f], minlength=len(kept))
             k += 1
             for j, (p, g, a, b) in enumerate(zip(params, grads, m, v)):
-                g = g / len(some) + (ridge * p if j else 0)
+                g = g / len(chosen) + (ridge * p if j else 0)
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
