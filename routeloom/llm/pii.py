@@ -36,7 +36,12 @@ my name is [name Anna Lindqvist] and i live here
 Hello, my name is [name Omar Haddad].
 His name is [name Peter Novak], he called twice.
 her name is [name Lucia Moretti]
+my name is [name Nina Keller], and you?
+my name is [name Tomas Rivera], hello
+his name is [name Ivan Sokolov], born in May
+Contact [name Rosa Delgado], please
 Name: [name Greta Holm]
+Name: [name Paula Ferrari], aged 40
 name: [name Jonas Weber], city: Ulm
 Full name: [name Maria Santos]
 Contact [name Elena Petrova] for details
