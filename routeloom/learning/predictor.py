@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -15,6 +16,9 @@ from routeloom.operators.statistics import label_counts, passes
 
 
 _FEATURES = "__features"
+#: Models whose Spark jobs run at the same time, and the relative gain at which a fit has converged.
+AT_A_TIME = 4
+TOLERANCE = 1e-4
 
 
 class NotConverged(ValueError):
@@ -69,15 +73,19 @@ def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureCon
     vectors = fitted.transform(labelled.select("query").distinct(), output=_FEATURES).persist()
     rows = labelled.join(vectors, "query").select("model_id", "label", _FEATURES).persist()
     try:
-        models = {}
-        for k, m in enumerate(ids):
-            n = counts[m]["observation_count"]
-            trainer = LogisticRegression(regParam=1 / (training.C * n), elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=training.max_iter,
+
+        def train(m: str) -> LogisticRegressionModel:
+            k, n = ids.index(m), counts[m]["observation_count"]
+            trainer = LogisticRegression(regParam=1 / (training.C * n), elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=training.max_iter, tol=TOLERANCE,
                                          featuresCol=_FEATURES, probabilityCol=f"__p{k}", rawPredictionCol=f"__r{k}", predictionCol=f"__d{k}")
             model = trainer.fit(rows.where(F.col("model_id") == m))
             if model.summary.totalIterations >= training.max_iter:
                 raise NotConverged(f"{m} didn't converge in {training.max_iter} iterations")
-            models[m] = model
+            return model
+
+        rows.count()  # so that models trained at a time share the cached rows
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            models = dict(zip(ids, pool.map(train, ids)))
         return QualityPredictor(fitted, training, models, {m: counts[m] for m in ids})
     finally:
         rows.unpersist()
