@@ -23,7 +23,8 @@ from .textbatch import Chunk, ascii_lower, bounded_batches, byte_class, chunks,
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+\Z")
 EMAIL_HOST = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Begins at the first digit of a run, as any leftmost match does; without that, long runs of digits take quadratic time.
+IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 
