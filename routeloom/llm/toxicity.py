@@ -2,7 +2,8 @@
 
 The score of a text is the logistic of a bias, a weight for every distinct term, and the inner
 product of the factors of every two distinct terms, each scaled by how rare the term is; a pair that is worse than its parts (an insult
-and whom it is aimed at) is learned by the factors. A term is a lower-cased word, hashed.
+and whom it is aimed at) is learned by the factors. A term is a lower-cased word or the beginning of
+a longer one, hashed: beginnings are shared by the forms and compounds of a word, which are rare alone.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-from .textbatch import Chunk, ascii_lower, bounded_batches, byte_class, chunks, pick, span_hash, spans
+from .textbatch import Chunk, ascii_lower, bounded_batches, byte_class, chunks, mix, pick, span_hash, spans
 
 #: Buckets of terms.
 BUCKETS = 1 << 18
+#: Lengths in bytes of the beginnings that longer words have as further terms.
+BEGINNINGS = (4, 6, 8)
 #: Labelled rows used for fitting, at most.
 SAMPLE = 6000
 #: Documents of the sample that a term must be in to get parameters.
@@ -35,9 +38,16 @@ _LOWER = ascii_lower()
 
 
 def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets of all words of a chunk, repeats included."""
+    """Rows and buckets of all words of a chunk and of their beginnings, repeats included."""
     starts, ends, rows = spans(chunk, _WORD)
-    return rows, (span_hash(_LOWER[chunk.data], starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    lowered = _LOWER[chunk.data]
+    all_rows, hashes = [rows], [span_hash(lowered, starts, ends)]
+    for size in BEGINNINGS:
+        longer = ends - starts > size
+        all_rows.append(rows[longer])
+        # Mixed once more with the size, so that a beginning isn't the word of the same letters.
+        hashes.append(mix(span_hash(lowered, starts[longer], starts[longer] + size) + np.uint64(size)))
+    return np.concatenate(all_rows), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _distinct(rows: np.ndarray, terms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
