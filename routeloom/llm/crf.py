@@ -2,7 +2,8 @@
 
 Every position of a sequence has a fixed number of active features, given as columns of indices. All
 sequences of a batch advance together: they are sorted by length, and step t works on the prefix
-of sequences that are longer than t.
+of sequences that are longer than t. Decoding takes long sequences in blocks that advance together too,
+each from every label that may stand before it, and then joins the blocks, so nothing is lost at their edges.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Sequences longer than this many positions are decoded in blocks of so many.
+BLOCK = 200
+
+
 @dataclass
 class ChainModel:
     """weights: (features, labels); moves: (from, to); first: (labels)."""
@@ -38,9 +43,22 @@ def _steps(offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield starts[:n] + t
 
 
-def decode(model: ChainModel, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The likeliest labels of all positions (Viterbi)."""
+def decode(model: ChainModel, features: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The likeliest labels of all positions (Viterbi), whatever the length of their sequence."""
     emit = model.scores(features)
+    labels = np.zeros(len(emit), dtype=np.int8)
+    long = np.diff(offsets) > block
+    for own, blocks in ((~long, False), (long, True)):
+        lengths = np.diff(offsets)[own]
+        bounds = np.concatenate(([0], np.cumsum(lengths)))
+        at = np.repeat(offsets[:-1][own] - bounds[:-1], lengths) + np.arange(bounds[-1])
+        if len(at):
+            labels[at] = _decode_blocks(model, emit[at], bounds, block) if blocks else _decode_whole(model, emit[at], bounds)
+    return labels
+
+
+def _decode_whole(model: ChainModel, emit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    labels = np.zeros(len(emit), dtype=np.int8)
     best, steps = np.zeros(emit.shape, dtype=np.int8), list(_steps(offsets))
     held = None
     tops = []
@@ -53,9 +71,6 @@ def decode(model: ChainModel, features: np.ndarray, offsets: np.ndarray) -> np.n
             best[at] = reach.argmax(axis=1)
             tops.append(before[n:])
             held = np.take_along_axis(reach, best[at][:, None, :].astype(np.int64), axis=1)[:, 0] + emit[at]
-    labels = np.zeros(len(emit), dtype=np.int8)
-    if held is None:
-        return labels
     tops.append(held)
     state = np.zeros(0, dtype=np.int64)
     for t in range(len(steps) - 1, -1, -1):
@@ -68,6 +83,51 @@ def decode(model: ChainModel, features: np.ndarray, offsets: np.ndarray) -> np.n
     return labels
 
 
+def _decode_blocks(model: ChainModel, emit: np.ndarray, offsets: np.ndarray, block: int) -> np.ndarray:
+    """As _decode_whole: the best way through every block from each label before it, then the best chain of blocks."""
+    labels = np.zeros(len(emit), dtype=np.int8)
+    n_labels = emit.shape[1]
+    counts = -(-np.diff(offsets) // block)
+    heads = np.concatenate(([0], np.cumsum(counts)))
+    starts = np.repeat(offsets[:-1] - heads[:-1] * block, counts) + np.arange(heads[-1]) * block
+    stops = np.append(starts[1:], offsets[-1])
+    order = np.argsort(starts - stops, kind="stable")
+    is_head = np.zeros(len(starts), dtype=bool)
+    is_head[heads[:-1]] = True
+    # best: (position, label before the block, label) -> label one position earlier.
+    best, steps = np.zeros((len(emit), n_labels, n_labels), dtype=np.int8), list(_steps(np.append(starts, offsets[-1])))
+    through = np.zeros((len(starts), n_labels, n_labels))
+    held = np.where(is_head[order][:, None, None], model.first, model.moves) + emit[steps[0]][:, None, :]
+    for at in steps[1:]:
+        n = len(at)
+        through[order[n : len(held)]] = held[n:]
+        reach = held[:n, :, :, None] + model.moves
+        top = reach.argmax(axis=2)
+        best[at] = top
+        held = np.take_along_axis(reach, top[:, :, None, :], axis=2)[:, :, 0] + emit[at][:, None, :]
+    through[order[: len(held)]] = held
+    # From block to block: the best label before each block for every label at its end, and back.
+    came, last = np.zeros((len(starts), n_labels), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
+        ends = through[lo, 0]
+        for k in range(lo + 1, hi):
+            reach = ends[:, None] + through[k]
+            came[k] = reach.argmax(axis=0)
+            ends = reach.max(axis=0)
+        last[hi - 1] = ends.argmax()
+        for k in range(hi - 1, lo, -1):
+            last[k - 1] = came[k, last[k]]
+    before = np.where(is_head, 0, np.append(0, last[:-1]))[order]
+    state = np.zeros(0, dtype=np.int64)
+    for t in range(len(steps) - 1, -1, -1):
+        at = steps[t]
+        state = np.concatenate((state, last[order[len(state) : len(at)]]))
+        labels[at] = state
+        if t:
+            state = best[at, before[: len(at)], state].astype(np.int64)
+    return labels
+
+
 def marginals(model: ChainModel, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability of every label at every position (forward-backward)."""
     return _forward_backward(model, features, offsets)[0]

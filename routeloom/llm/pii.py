@@ -120,8 +120,6 @@ commit by build 20240117 of branch main
 
 #: Words that may be cues: what stands near labelled spans in the table.
 CUES = ("name", "full", "contact", "ask", "mr", "mrs", "ms", "dr", "dear", "ssn", "social", "security", "number", "passport", "iban", "token", "secret", "api_key", "password", "key", "bearer", "authorization", "the", "of", "a", "my", "his", "her", "and")
-#: A line longer than this many words is decoded in pieces of so many.
-PIECE = 200
 
 _WORD = byte_class((48, 57), (65, 90), (95, 95), (97, 122), (128, 255)) | byte_class((45, 45))
 _LINE = ~byte_class((10, 10))
@@ -146,7 +144,7 @@ def _cue_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, features and sequence offsets of all words of a chunk; a sequence is a line or a piece of one."""
+    """Starts, ends, features and sequence offsets of all words of a chunk; a sequence is a line."""
     data = chunk.data
     starts, ends, _ = spans(chunk, _WORD)
     n = len(starts)
@@ -154,9 +152,7 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         return starts, ends, np.zeros((0, len(_SIZES)), np.int64), np.zeros(1, np.int64)
     line_starts, _, _ = spans(chunk, _LINE)
     line = np.searchsorted(line_starts, starts, side="right")
-    fresh = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    place = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
-    offsets = np.append(np.flatnonzero(place % PIECE == 0), n)
+    offsets = np.append(np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))), n)
 
     def count(member: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(member[data], dtype=np.int32)))

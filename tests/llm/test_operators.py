@@ -95,6 +95,17 @@ def test_field_agrees_with_enumeration():
                 assert inside[a + k, y] == pytest.approx(sum(np.exp(v) for p, v in paths.items() if p[k] == y) / total)
 
 
+def test_long_sequences_are_decoded_as_one():
+    rng = np.random.default_rng(3)
+    model = crf.ChainModel(rng.normal(size=(6, 3)), 2 * rng.normal(size=(3, 3)), rng.normal(size=3))
+    lengths = [3, 50, 1, 16, 5, 4, 10, 8, 200]
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    features = rng.integers(0, 6, (offsets[-1], 2))
+    whole = crf.decode(model, features, offsets, block=1000)
+    for block in (1, 2, 4, 7):
+        assert crf.decode(model, features, offsets, block=block).tolist() == whole.tolist()
+
+
 def test_word_spans_and_hashes():
     texts = ["", "ab  cd", "é", "cd ab", "  "]
     (chunk,) = textbatch.chunks(pa.record_batch([pa.array(texts)], names=["text"]))
@@ -254,6 +265,17 @@ def test_learned_personal_data(spark):
     assert got == {1: [("secret", "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567")], 2: [("name", "Laura Bergman")], 3: []}
 
 
+def test_personal_data_in_long_lines(spark):
+    token = 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"'
+    rows, want = [], {}
+    for n in range(194, 204):
+        rows += [(n, " ".join(["lorem"] * n + ["my name is Anna Lindqvist, and so on"] + ["ipsum"] * 300)), (n + 1000, " ".join(["lorem"] * n + [token] + ["ipsum"] * 300))]
+        want |= {n: [("name", "Anna Lindqvist")], n + 1000: [("secret", token[9:-1])]}
+    texts = dict(rows)
+    got = {r["id"]: [(s["kind"], texts[r["id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.personal_data(_docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_pages(spark):
     page = "<body><nav>menu</nav><header><h1>Site</h1></header><main><h1>T &amp; u</h1><p>a &lt;b&gt;<p>c<br>d  e<ul><li>one<li>two</ul><div id='comments'><p>hey</p></div><div class=ad>buy</div><form>q</form></main><footer>f</footer>"
     shared = "<body><div class='x'><p>Follow us on all channels today</p></div><div><h1>T{0}</h1><p>text {0} " + "word " * 20 + "</p></div></body>"
