@@ -2,8 +2,8 @@
 
 A page is read into blocks of text; what its elements say they are (menus, forms, adverts) is left
 out at once. Every container that stays is hashed with all that it holds. Spark counts, for
-each host, on how many different pages a hashed subtree occurs; blocks inside a subtree that recurs
-on many pages of its host are the site's, not the page's, and go.
+each host, beside how many different texts a hashed subtree occurs; blocks inside a subtree that recurs
+beside many and on enough of its host's pages are the site's, not the page's, and go.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .storage import settle
 from .textbatch import bounded_batches, pick
 
-#: Different pages of a host on which a subtree must occur to be a template.
+#: Different texts of a host beside which a subtree must occur to be a template, and their least share of the host's different pages.
 LEAST_PAGES = 5
+LEAST_SHARE = 0.01
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<odd>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>""",
@@ -195,20 +196,24 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Extract the main text of every page.
 
     Returns one row for each input row: id, url, text, n_chars. Null and empty pages, and pages
     without article text, give the empty text. Pages without a host are one host of their own. Equal
-    pages of a host count as one page, so copies make no template. An empty table gives no rows.
+    texts outside a subtree count as one page, so copies of an article make no template of its parts,
+    whatever else of the pages differs. An empty table gives no rows.
     Other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
     rows = pick(pages, id=page_id, url=url, html=body).withColumns({"host": host_of(F.col("url")), "print": F.xxhash64("html")})
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, subtrees array<bigint>")
-    found = settle(found, "subtrees").select("id", "host", "print", F.explode("subtrees").alias("subtree"))
-    templates = found.select("host", "subtree", "print").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,outside:bigint>>")
+    found = settle(found, "subtrees")
+    hosts = found.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    found = found.select("id", "host", "print", F.inline("subtrees"))
+    templates = found.select("host", "subtree", "outside").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    templates = templates.join(hosts, "host").where(F.col("pages") >= least_share * F.col("host_pages"))
     gone = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
     gone = settle(gone, "template-subtrees").withColumnsRenamed({"id": "__id", "print": "__print"})
     marked = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
@@ -216,12 +221,28 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _signed(h: int) -> int:
+    h &= (1 << 64) - 1
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _beside(blocks: list[tuple[str, list[int]]]) -> tuple[int, list[dict[str, int]]]:
+    """A hash of all blocks, and for each container one of the blocks outside it."""
+    whole, inside = 0, Counter()
+    for text, around in blocks:
+        digest = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        whole += digest
+        for h in set(around):
+            inside[h] += digest
+    return _signed(whole), [{"subtree": h, "outside": _signed(whole - x)} for h, x in sorted(inside.items())]
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages that have containers which may be templates, with their hashes."""
+    """The text of every page as a hash, and its containers which may be templates."""
+    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("outside", pa.int64())]))
     for batch in batches:
-        held = [sorted({h for _, around in parse(x) for h in around}) if x else [] for x in batch.column("html").to_pylist()]
-        some = pa.array([k for k, x in enumerate(held) if x], pa.int32())
-        yield pa.record_batch([*(batch.column(c).take(some) for c in ("id", "host", "print")), pa.array([x for x in held if x], pa.list_(pa.int64()))], names=["id", "host", "print", "subtrees"])
+        held = [_beside(parse(x or "")) for x in batch.column("html").to_pylist()]
+        yield pa.record_batch([*(batch.column(c) for c in ("id", "host", "print")), pa.array([w for w, _ in held], pa.int64()), pa.array([x for _, x in held], kind)], names=["id", "host", "print", "whole", "subtrees"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,6 +289,16 @@ def test_pages(spark):
     assert [t for t, _ in html_extract.parse("<p>" + html.escape("<script>") + "<script>var a='</p>'</script> ok")] == ["<script> ok"]
 
 
+def test_near_copies_of_articles_keep_their_parts(spark):
+    parts = ["".join(f"<{tag}><p>{k} part of the article, {k * 7} words</p></{tag}>" for tag, k in (("div", 1), ("section", 2), ("div", 3)))]
+    mirrors = [(i, f"http://m.com/{i}", f"<head><title>T{i}</title></head><body><script>var a={i}</script><nav><a>{i}</a></nav>{parts[0]}<div class=ad>buy {i}</div></body>") for i in range(6)]
+    # A list that six of a thousand pages of a host share is no template; a box on all of them is one.
+    large = [(100 + i, f"http://l.com/{i}", f"<body><div><p>Follow us</p></div><p>text of {i} and more words</p>{'<ul><li>shared list</ul>' if i < 6 else ''}</body>") for i in range(1000)]
+    got = {r["id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(mirrors + large, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"1 part of the article, 7 words\n2 part of the article, 14 words\n3 part of the article, 21 words"}
+    assert all(got[100 + i] == f"text of {i} and more words" + "\nshared list" * (i < 6) for i in range(1000))
+
+
 def test_licences_by_brute_force(spark):
     texts = ["x\n\n" + licences.TEXTS["MIT"] + "\n\ny z", licences.TEXTS["BSD-3-Clause"], "Some prose of the day.\nReleased under the MIT licence.", "the of the in the\n of the", "Licensed under CC BY-NC 4.0."]
     bags = [(n, collections.Counter(zip(w, w[1:]))) for n, t in licences.templates() for w in [re.findall(r"[0-9a-z]+", t.lower())] if len(w) > 1]
