@@ -2,7 +2,9 @@
 
 Texts and licence templates are normalised to lower-case words. The units of a text are all runs of
 its lines that begin and end with a line sharing a bigram with some template; any other run scores
-less than the run without its outer lines. A template is compared with a unit only if their numbers of
+less than the run without its outer lines. For each template, so are all runs of words, wherever lines
+break, that begin with a bigram of its head and end with one of its tail (a tenth of it, one bigram at
+least): without these ends, "released under the" alone would be a notice of the Unlicense. A template is compared with a unit only if their numbers of
 bigrams allow the wanted coefficient: with a and b bigrams it is at most 2 min(a, b) / (a + b).
 """
 
@@ -101,6 +103,9 @@ class Scanner:
     bags: list[Counter]
     sizes: np.ndarray
     known: np.ndarray
+    #: For each known bigram, the templates that have it in their head and those that have it in their tail.
+    heads: list[list[int]]
+    tails: list[list[int]]
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], threshold: float = THRESHOLD) -> "Scanner":
@@ -108,13 +113,19 @@ class Scanner:
         for name, text in items:
             pairs = _pairs(_words(np.frombuffer(normalise(text.encode()), dtype=np.uint8))[2])
             if len(pairs):
-                found.append((len(pairs), name, Counter(pairs.tolist())))
+                found.append((len(pairs), name, Counter(pairs.tolist()), pairs))
         found.sort(key=lambda x: (x[0], x[1]))
-        known = np.unique(np.array([h for _, _, bag in found for h in bag], dtype=np.uint64))
-        return cls(threshold, [n for _, n, _ in found], [b for _, _, b in found], np.array([s for s, _, _ in found]), known)
-
-    def scan(self, pairs: np.ndarray, known: np.ndarray, line: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, last line): the best unit of each licence, best licence first.
+        known = np.unique(np.array([h for _, _, bag, _ in found for h in bag], dtype=np.uint64))
+        heads, tails = [[] for _ in known], [[] for _ in known]
+        for k, (size, _, _, pairs) in enumerate(found):
+            ends = max(1, size // 10)
+            for held, part in ((heads, pairs[:ends]), (tails, pairs[-ends:])):
+                for at in np.searchsorted(known, np.unique(part)).tolist():
+                    held[at].append(k)
+        return cls(threshold, [n for _, n, _, _ in found], [b for _, _, b, _ in found], np.array([s for s, _, _, _ in found]), known, heads, tails)
+
+    def scan(self, pairs: np.ndarray, known: np.ndarray, line: np.ndarray) -> dict[str, tuple[float, int, int]]:
+        """(coefficient, first line, last line) of the best run of lines of each licence.
 
         Of one text: the hashes of its bigrams, whether a template has each, and the line of every
         word. Of equally good units the shortest counts, then the first.
@@ -133,17 +144,45 @@ class Scanner:
                 # No template shares more bigrams with the unit than the unit has known ones.
                 if size > 0 and sums[end[j] - 1] - sums[a] >= least * size - 1e-9:
                     self._compare(Counter(pairs[a : end[j] - 1].tolist()), size, int(lines[i]), int(lines[j]), best)
-        return sorted(((name, *x) for name, x in best.items()), key=lambda x: (-x[1], x[0]))
+        return best
+
+    def windows(self, at: np.ndarray, known: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, first bigram, end) of the runs of words of many texts that may reach the threshold.
+
+        ``at`` has the place of every bigram among the known ones, ``stops`` the end of its text.
+        """
+        hit = np.flatnonzero(known)
+        sums = np.concatenate(([0], np.cumsum(known)))
+        is_head, is_tail = (np.array([bool(x) for x in held]) for held in (self.heads, self.tails))
+        ends: dict[int, list[int]] = {}
+        for e in hit[is_tail[at[hit]]].tolist():
+            for k in self.tails[at[e]]:
+                ends.setdefault(k, []).append(e + 1)
+        held = {k: np.array(x) for k, x in ends.items()}
+        share = self.threshold / (2 - self.threshold)
+        for s in hit[is_head[at[hit]]].tolist():
+            for k in self.heads[at[s]]:
+                if k in held:
+                    size = int(self.sizes[k])
+                    low, high = s + size * share - 1e-9, min(s + size / share + 1e-9, int(stops[s]))
+                    # As many known bigrams as the shortest unit must have in common with the template.
+                    if sums[int(high)] - sums[s] >= self.threshold * (size * share + size) / 2 - 1e-9:
+                        for e in held[k][np.searchsorted(held[k], low) : np.searchsorted(held[k], high, side="right")].tolist():
+                            if sums[e] - sums[s] >= self.threshold * (e - s + size) / 2 - 1e-9:
+                                yield k, s, e
 
     def _compare(self, bag: Counter, size: int, lo: int, hi: int, best: dict[str, tuple[float, int, int]]) -> None:
         low = np.searchsorted(self.sizes, size * self.threshold / (2 - self.threshold) - 1e-9, side="left")
         high = np.searchsorted(self.sizes, size * (2 - self.threshold) / self.threshold + 1e-9, side="right")
         for k in range(int(low), int(high)):
-            common = sum(min(n, bag.get(h, 0)) for h, n in self.bags[k].items())
-            dice = 2 * common / (size + int(self.sizes[k]))
-            old = best.get(self.names[k])
-            if dice >= self.threshold and (old is None or (-dice, hi - lo, lo) < (-old[0], old[2] - old[1], old[1])):
-                best[self.names[k]] = (dice, lo, hi)
+            self.compare_with(k, bag, size, lo, hi, best)
+
+    def compare_with(self, k: int, bag: Counter, size: int, lo: int, hi: int, best: dict[str, tuple[float, int, int]]) -> None:
+        common = sum(min(n, bag.get(h, 0)) for h, n in self.bags[k].items())
+        dice = 2 * common / (size + int(self.sizes[k]))
+        old = best.get(self.names[k])
+        if dice >= self.threshold and (old is None or (-dice, hi - lo, lo) < (-old[0], old[2] - old[1], old[1])):
+            best[self.names[k]] = (dice, lo, hi)
 
 
 def _promising(known: np.ndarray, row: np.ndarray, line: np.ndarray, n_rows: int, least: float) -> np.ndarray:
@@ -202,9 +241,16 @@ def _scan_chunk(scanner: Scanner, chunk: Chunk) -> list[list[dict]]:
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     line = breaks[starts] + row
     cuts = np.searchsorted(row, np.arange(n_rows + 1))
+    best: dict[int, dict[str, tuple[float, int, int]]] = {}
     for k in _promising(known, row, line, n_rows, scanner.threshold / (2 - scanner.threshold)).tolist():
         a, b = int(cuts[k]), int(cuts[k + 1])
         first = int(breaks[chunk.offsets[k]]) + k
-        matches = scanner.scan(pairs[a : b - 1], known[a : b - 1], line[a:b] - first)
+        best[k] = scanner.scan(pairs[a : b - 1], known[a : b - 1], line[a:b] - first)
+    for template, s, e in scanner.windows(at, known, cuts[row + 1] - 1):
+        k = int(row[s])
+        first = int(breaks[chunk.offsets[k]]) + k
+        scanner.compare_with(template, Counter(pairs[s:e].tolist()), e - s, int(line[s]) - first, int(line[e]) - first, best.setdefault(k, {}))
+    for k, found in best.items():
+        matches = sorted(((name, *x) for name, x in found.items()), key=lambda x: (-x[1], x[0]))
         out[k] = [{"licence": name, "score": score, "first_line": lo, "last_line": hi} for name, score, lo, hi in matches]
     return out

@@ -319,6 +319,14 @@ def test_licences_by_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_licences_inside_longer_lines(spark):
+    prose = "lorem ipsum dolor sit amet " * 40
+    one_line = " ".join(licences.TEXTS["MIT"].split())
+    texts = [f"{prose}Released under the MIT License. {prose}", f"x\n{prose}(c) 2020 A. Licensed under CC BY-NC 4.0, see below.", f"{prose} {one_line} {prose}", f"{prose} {one_line.replace('deal in', 'trade with')} {prose}", f"{prose} released under the terms of the day {prose}"]
+    got = {r["id"]: [(m["licence"], round(m["score"], 2), m["first_line"], m["last_line"]) for m in r["matches"]] for r in licences.licence_matches(_docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [("MIT", 1.0, 0, 0)], 1: [("CC-BY-NC-4.0", 1.0, 1, 1)], 2: [("MIT", 1.0, 0, 0)], 3: [("MIT", 0.98, 0, 0)], 4: []}
+
+
 def test_queries_match_sql(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, None if i == 3 else " ".join(rng.choice(("aa", "bb!!", "a | b c |", "$$$x", "Released")) for _ in range(rng.randint(0, 30))), rng.choice(("en", "de", None)), rng.choice(("s1", "s2", "s3")), i) for i in range(200)]
