@@ -2,15 +2,15 @@
 
 Documents fall into cells of one source, one language and one topic. The token weights of the cells
 are raked: scaled to the targets of the sources, then of the languages, then of the topics, and so
-on. Inclusion probabilities follow the weights, calibrated so that the expected tokens are the wanted
-share, and each document is drawn by a hash of its identifier.
+on until no weight moves. Inclusion probabilities follow the weights, calibrated so that the expected
+tokens are the wanted share, and each document is drawn by a hash of its identifier.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import settle
@@ -18,9 +18,13 @@ from .storage import settle
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics by the first pattern that a text matches; the patterns read alike in Java and RE2. The rest is "prose".
 TOPICS = {"legal": r"[Ll]icen[cs]ed? |copyright", "table": r" \| [^|]+ \| ", "contact": r"@[a-z0-9]+\.|\+[0-9] ", "loud": r"!!", "markup": r"[$%&*#]{3}"}
+#: One of these is in whatever a topic's pattern matches; looking for them is cheaper than the pattern.
+SIGNS = {"legal": ("icen", "copyright"), "table": (" | ",), "contact": ("@", "+"), "loud": ("!!",)}
 #: A value's target share goes with its tokens to this power: 1 keeps the proportions, 0 evens them out.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-ROUNDS = 6
+#: Fitting ends when no weight moves by more than this part of itself in a round, or after so many rounds.
+TOLERANCE = 1e-10
+ROUNDS = 40
 SHARE = 0.75
 #: Fixed value: a token is a run of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -28,8 +32,12 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 
 def topic_of(text: Column, topics: dict[str, str] = TOPICS) -> Column:
     """The first topic whose pattern occurs in the text; null and empty texts are prose."""
-    known = [F.when(text.rlike(pattern), F.lit(name)) for name, pattern in topics.items()]
-    return F.coalesce(*known, F.lit("prose"))
+
+    def fits(name: str, pattern: str) -> Column:
+        signs = [text.contains(sign) for sign in SIGNS.get(name, ())] if topics is TOPICS else []
+        return reduce(lambda a, b: a | b, signs) & text.rlike(pattern) if signs else text.rlike(pattern)
+
+    return F.coalesce(*[F.when(fits(name, pattern), F.lit(name)) for name, pattern in topics.items()], F.lit("prose"))
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, topics: dict[str, str]) -> DataFrame:
@@ -48,27 +56,51 @@ def targets_by_power(cells: DataFrame, powers: dict[str, float] = POWERS) -> dic
     """For each dimension (value, target): tokens that each value should weigh, all together as many as there are."""
     out = {}
     for name in DIMENSIONS:
-        sums = cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).withColumn("raised", F.pow(F.col("tokens").cast("double"), F.lit(powers[name])))
-        total = sums.agg(F.sum("tokens").alias("t"), F.sum("raised").alias("r")).first()
-        scale = (total["t"] or 0) / total["r"] if total["r"] else 0.0
-        out[name] = settle(sums.select(name, (F.col("raised") * F.lit(float(scale))).alias("target")), f"target-{name}")
+        seen = Observation()
+        sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("raised", F.pow("tokens", F.lit(powers[name])))
+        sums = settle(sums.observe(seen, F.sum("tokens").alias("tokens"), F.sum("raised").alias("raised")), f"sums-of-{name}")
+        scale = (seen.get["tokens"] or 0.0) / seen.get["raised"] if seen.get["raised"] else 0.0
+        out[name] = sums.select(name, (F.col("raised") * F.lit(scale)).alias("target"))
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells (dimensions, tokens) with the weight by which each one's tokens count after ``rounds`` of fitting.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells (dimensions, tokens) with the weight by which each one's tokens count after fitting.
 
     Sums by a dimension's value meet the targets after its turn. Values without a target keep their
-    weight, and so do values without tokens. Each round is written out, which cuts lineage.
+    weight, and so do values without tokens. Each turn is one sum and one join of tables as long as
+    the cells, and is written out, which cuts lineage. Fitting ends with the first round that moves no
+    weight by more than ``tolerance`` of itself: all targets are met then to that precision. Targets
+    that contradict each other are met by none, and end after ``rounds``; ``residuals`` says by how much.
     """
     fitted = cells.withColumn("weight", F.lit(1.0))
+    for name, table in targets.items():
+        fitted = fitted.join(table.select(name, F.col("target").alias(f"target_{name}")), name, "left")
+    fitted = settle(fitted, "raked")
     for _ in range(rounds):
+        most = 0.0
         for name in targets:
-            sums = fitted.groupBy(name).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(targets[name], name)
-            factors = sums.select(name, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0).alias("factor"))
-            fitted = fitted.join(factors, name, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
-        fitted = settle(fitted, "raked")
-    return fitted
+            moved = Observation()
+            now = F.sum(F.col("weight") * F.col("tokens"))
+            sums = fitted.groupBy(name).agg(now.alias("now"), F.max(f"target_{name}").alias("target"))
+            factors = sums.select(name, F.when(F.col("now") > 0, F.coalesce(F.col("target") / F.col("now"), F.lit(1.0))).otherwise(1.0).alias("factor"))
+            turned = fitted.join(factors, name).withColumn("weight", F.col("weight") * F.col("factor"))
+            turned = turned.observe(moved, F.max(F.abs(F.col("factor") - 1)).alias("most")).drop("factor")
+            fitted = settle(turned, "raked")
+            most = max(most, moved.get["most"] or 0.0)
+        if most <= tolerance:
+            break
+    return fitted.select(*cells.columns, "weight")
+
+
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """For each dimension, the largest part by which a value's weighed tokens miss its target."""
+    out = {}
+    for name, table in targets.items():
+        sums = fitted.groupBy(name).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(table, name)
+        miss = sums.where("now > 0").agg(F.max(F.abs(F.col("now") / F.col("target") - 1)).alias("miss")).first()["miss"]
+        out[name] = miss or 0.0
+    return out
 
 
 def calibrate(fitted: DataFrame, share: float = SHARE) -> DataFrame:

@@ -348,3 +348,17 @@ def test_calibration_keeps_the_share(spark):
     cells = spark.createDataFrame([("a", 100, 5.0), ("b", 300, 1.0), ("c", 600, 0.2)], "k string, tokens long, weight double")
     got = mixing.calibrate(cells, 0.5).collect()
     assert sum(r["probability"] * r["tokens"] for r in got) == pytest.approx(500) and max(r["probability"] for r in got) == 1
+
+
+def test_raking_meets_all_targets(spark):
+    rng = random.Random(12)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", rng.randint(0, 5) * rng.randint(1, 900)) for a in range(7) for b in range(3) for c in range(4) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = mixing.targets_by_power(cells)
+    assert sum(r["target"] for r in targets["lang"].collect()) == pytest.approx(sum(r[3] for r in rows))
+    fitted = mixing.rake(cells, targets)
+    assert fitted.columns == [*cells.columns, "weight"] and fitted.count() == len(rows)
+    assert max(mixing.residuals(fitted, targets).values()) < 1e-9
+    # After one round only the last dimension's targets are met.
+    missed = mixing.residuals(mixing.rake(cells, targets, rounds=1), targets)
+    assert missed["topic"] < 1e-9 < missed["source"]
