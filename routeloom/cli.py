@@ -48,7 +48,7 @@ def main(args: list[str] | None = None) -> None:
             config, folder = read_config(given.config), current_dataset(given.root)
             history, manifest = load_verified(spark, f"{folder}/data.jsonl", f"{folder}/data.meta.json", [m["model_id"] for m in config["models"]])
             report = run_experiment(spark, history, config, manifest, given.output)
-            print(json.dumps({name: values["metrics"] for name, values in report["policies"]["test"].items()}, ensure_ascii=False, indent=2))
+            print(json.dumps({name: values["metrics"] for name, values in report["held_out"]["test"]["policies"].items()}, ensure_ascii=False, indent=2))
     except (ValueError, EOFError) as error:
         parser.error(str(error))
 

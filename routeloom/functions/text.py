@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What marks the kinds of request, white space, segments and digits.
-SPACE = r"[\s\x1c-\x1f]"
+from routeloom.contracts import SPACE
+
+#: What marks the kinds of request, segments and digits.
 WORD = r"[\p{L}\p{N}_]"
 CODE = rf"(?iu)```|(?<!{WORD})(?:def|class|import|return|SELECT)(?!{WORD})|代码|编程|Python|SQL"
 MATH = r"[=+*/^∑∫√≤≥×÷]|\\(?:frac|sum|sqrt)"

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.contracts import HINTS, CandidateEstimate, ModelCandidate, ModelStatistics, RoutingPolicy, enabled_ids
+from routeloom.contracts import HINTS, ModelCandidate, ModelStatistics, RoutingPolicy, enabled_ids
 from routeloom.functions.text import is_blank, task_type_hint
 from routeloom.operators.routing import route_one
 
@@ -32,7 +32,7 @@ def of_decision(decision: Column) -> Column:
     return selection(decision["selected_model"], decision["fallback_used"], decision["pass_probability"], decision["decision_reason"])
 
 
-def _for_text(value: Column) -> Column:
+def for_text(value: Column) -> Column:
     """The selection, or an error while running if the request is blank."""
     return F.when(is_blank(F.col("query")), F.raise_error(F.lit("query is blank")).cast("string")).otherwise(value)
 
@@ -48,19 +48,19 @@ class Baselines:
         self.rules = dict(rules)
         self.strongest_model = min(active, key=lambda m: (-statistics[m].mean_quality, m))
         self.lowest_cost_model = min(active, key=lambda m: (statistics[m].mean_cost, m))
-        estimates = [CandidateEstimate(m, statistics[m].pass_rate, statistics[m].mean_cost, statistics[m].mean_latency_ms) for m in active]
+        estimates = [(m, statistics[m].pass_rate, statistics[m].mean_cost, statistics[m].mean_latency_ms) for m in active]
         self.global_decision = route_one(candidates, estimates, policy, spark)
 
     def strongest(self, requests: DataFrame) -> DataFrame:
-        return requests.withColumn("selection", selection(_for_text(F.lit(self.strongest_model))))
+        return requests.withColumn("selection", selection(for_text(F.lit(self.strongest_model))))
 
     def lowest_cost(self, requests: DataFrame) -> DataFrame:
-        return requests.withColumn("selection", selection(_for_text(F.lit(self.lowest_cost_model))))
+        return requests.withColumn("selection", selection(for_text(F.lit(self.lowest_cost_model))))
 
     def rule_based(self, requests: DataFrame) -> DataFrame:
         by_hint = F.create_map(*[F.lit(x) for pair in sorted(self.rules.items()) for x in pair])
-        return requests.withColumn("selection", selection(_for_text(by_hint[task_type_hint(F.col("query"))])))
+        return requests.withColumn("selection", selection(for_text(by_hint[task_type_hint(F.col("query"))])))
 
     def global_historical(self, requests: DataFrame) -> DataFrame:
         d = self.global_decision
-        return requests.withColumn("selection", selection(_for_text(F.lit(d["selected_model"])), F.lit(d["fallback_used"]), F.lit(d["pass_probability"]), F.lit(d["decision_reason"])))
+        return requests.withColumn("selection", selection(for_text(F.lit(d["selected_model"])), F.lit(d["fallback_used"]), F.lit(d["pass_probability"]), F.lit(d["decision_reason"])))

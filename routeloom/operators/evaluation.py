@@ -6,11 +6,14 @@ that was never observed is an error, not something to impute.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.contracts import whole_number
-from routeloom.operators.baselines import Selector
+from routeloom.contracts import COUNT
+from routeloom.operators.baselines import Selector, for_text, selection
 from routeloom.operators.statistics import passes
 
 #: Fixed value: probabilities are moved this far from 0 and 1 before their logarithm is taken.
@@ -77,7 +80,7 @@ def log_loss_and_brier(rows: DataFrame, *by: str, label: str = "label", probabil
 
 def calibration_bins(rows: DataFrame, bins: int, label: str = "label", probability: str = "probability", by: str | None = None) -> DataFrame:
     """For every bin, the empty ones too: bounds, count, mean prediction and observed rate; the last bin holds 1."""
-    whole_number(bins, "probability_bins", 1)
+    COUNT.check(bins, "probability_bins")
     bucket = F.least(F.floor(F.col(probability) * bins), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []
     sums = rows.groupBy(*keys, bucket.alias("bin")).agg(F.count("*").alias("count"), F.avg(probability).alias("mean_predicted_probability"), F.avg(F.col(label).cast("double")).alias("observed_pass_rate"))
@@ -97,7 +100,7 @@ def calibration_bins(rows: DataFrame, bins: int, label: str = "label", probabili
 
 def probability_diagnostics(rows: DataFrame, bins: int, label: str = "label", probability: str = "probability") -> dict:
     """Log loss, Brier score and bins of paired labels and predictions, which must be valid and not empty."""
-    whole_number(bins, "probability_bins", 1)
+    COUNT.check(bins, "probability_bins")
     y, p = F.col(label), F.col(probability)
     ok = y.isin(0, 1) & (p >= 0) & (p <= 1) & ~F.isnan(p)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad")).first()
@@ -135,10 +138,39 @@ def evaluate_predictor(history: DataFrame, predictions: DataFrame, model_ids: li
         rows.unpersist()
 
 
+#: Cells of equal width in which values are ranked.
+CELLS = 4096
+
+
 def latency_percentiles(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """Exact median and 95th percentile by linear interpolation."""
-    at = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy(*by).agg(F.count("*").alias("observation_count"), F.avg(column).alias("mean"), at[0].alias("p50"), at[1].alias("p95"))
+    """Exact median and 95th percentile by linear interpolation, with the count and the mean.
+
+    Equal values are counted first. Each group's range is cut into CELLS cells; sums over the cells
+    say in which of them the wanted ranks lie, and only values of these cells are ordered.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(key.alias("key"), F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    spread = counts.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    step = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS).otherwise(0.0)
+    placed = counts.join(spread, "key").withColumn("cell", F.least(F.floor(step), F.lit(CELLS - 1)))
+    cells = placed.groupBy("key", "cell").agg(F.sum("n").alias("in_cell"), F.first("total").alias("total"))
+    so_far = F.sum("in_cell").over(Window.partitionBy("key").orderBy("cell"))
+    ranks = {name: F.lit(share) * (F.col("total") - 1) for name, share in (("p50", 0.5), ("p95", 0.95))}
+    wanted = F.array(*[end for rank in ranks.values() for end in (F.floor(rank), F.ceil(rank))])
+    cells = cells.withColumn("before", so_far - F.col("in_cell")).withColumn("wanted", wanted)
+    cells = cells.where(F.exists("wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_cell")))).select("key", "cell", "before")
+    first = F.col("before") + F.sum("n").over(Window.partitionBy("key", "cell").orderBy("v")) - F.col("n")
+    ranked = placed.join(cells, ["key", "cell"]).withColumn("first", first)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), F.col("v")))
+
+    found = ranked.groupBy("key").agg(
+        F.first("total").alias("observation_count"), F.first("mean").alias("mean"),
+        *[F.struct(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"), F.first(rank - F.floor(rank)).alias("part")).alias(name) for name, rank in ranks.items()],
+    )
+    between = [(F.col(f"{name}.low") + (F.col(f"{name}.high") - F.col(f"{name}.low")) * F.col(f"{name}.part")).alias(name) for name in ranks]
+    return found.select(*[F.col(f"key.{c}").alias(c) for c in by], "observation_count", "mean", *between)
 
 
 def evaluate_policy(history: DataFrame, select: Selector, threshold: float, bins: int = 5) -> dict:
@@ -170,3 +202,17 @@ def evaluate_policy(history: DataFrame, select: Selector, threshold: float, bins
 def column_selector(decide: Column) -> Selector:
     """A policy from a selection Column over query."""
     return lambda requests: requests.withColumn("selection", decide)
+
+
+def python_selector(choose: Callable[[str], str]) -> Selector:
+    """A policy from any Python function of a request's text that returns a model id.
+
+    Texts go to Python workers in Arrow batches. Such a policy has no gate, so whether it fell back,
+    its probability and its reason are null; a blank text is an error while running.
+    """
+
+    @F.pandas_udf("string")
+    def chosen(texts: pd.Series) -> pd.Series:
+        return texts.map(choose)
+
+    return lambda requests: requests.withColumn("selection", selection(for_text(chosen("query"))))

@@ -6,10 +6,13 @@ never shuffles. A long table of estimates is gathered first, K rows for each req
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from routeloom.contracts import ESTIMATES, CandidateEstimate, ModelCandidate, RoutingPolicy, enabled_ids
+from routeloom.contracts import ESTIMATED, ESTIMATES, TEXT, ModelCandidate, RoutingPolicy, enabled_ids
 
 #: Precise enough for doubles' shortest decimal forms, and their difference still fits in 38 digits.
 _DECIMAL = "decimal(37,18)"
@@ -69,11 +72,7 @@ def checked(estimates: Column, candidates: list[ModelCandidate] | tuple[ModelCan
     ids = F.transform(rows, lambda e: e["model_id"])
 
     def bad(e: Column) -> Column:
-        p, cost, latency = e["pass_probability"], e["estimated_cost"], e["estimated_latency_ms"]
-        ok = p.between(0, 1) & ~F.isnan(p)
-        for value in (cost, latency):
-            ok = ok & ~F.isnan(value) & (value >= 0) & (value < F.lit(float("inf")))
-        return ~F.coalesce(ok, F.lit(False))
+        return ~reduce(lambda a, b: a & b, [domain.of_column(e[name]) for name, domain in ESTIMATED.items() if domain is not TEXT])
 
     problem = (
         F.when(F.exists(rows, bad), "invalid estimate")
@@ -96,8 +95,8 @@ def route_long(estimates: DataFrame, candidates, policy: RoutingPolicy, key: str
     return route_rows(estimates.groupBy(key).agg(F.collect_list(row).alias("estimates")), candidates, policy).select(key, "decision")
 
 
-def route_one(candidates, estimates: list[CandidateEstimate], policy: RoutingPolicy, spark) -> dict:
-    """The decision for a single request, by the same expression."""
-    rows = [(e.model_id, float(e.pass_probability), float(e.estimated_cost), float(e.estimated_latency_ms)) for e in estimates]
-    frame = spark.createDataFrame([(rows,)], f"estimates {ESTIMATES}")
+def route_one(candidates, estimates: list[tuple[str, float, float, float]], policy: RoutingPolicy, spark) -> dict:
+    """The decision for a single request, by the same expression; an estimate is (model, probability, cost, latency)."""
+    rows = [(model, *map(float, numbers)) for model, *numbers in estimates]
+    frame = spark.createDataFrame([(rows,)], T.StructType([T.StructField("estimates", ESTIMATES)]))
     return route_rows(frame, candidates, policy).select("decision.*").first().asDict(recursive=True)

@@ -2,7 +2,7 @@
 
 A split is a column, not three copies of the table. Two ways to deal groups: by a seeded permutation
 of their sorted names (for few groups; they come to the driver) and by the rank of a seeded hash (for
-any number; a range-partitioned sort, no driver).
+any number; ranks are counted in cells, without the driver).
 """
 
 from __future__ import annotations
@@ -10,22 +10,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.contracts import finite_number, whole_number
+from routeloom.contracts import ORDINAL, SHARE
 
 SPLITS = ("train", "validation", "test")
 #: Groups that the seeded permutation takes at most.
 MOST_GROUPS = 100_000
 
 
-def _check(train_fraction: float, validation_fraction: float, seed: int) -> None:
-    finite_number(train_fraction, "train_fraction", maximum=1)
-    finite_number(validation_fraction, "validation_fraction", maximum=1)
-    if not (train_fraction > 0 and validation_fraction > 0 and train_fraction + validation_fraction < 1):
+def check_fractions(train_fraction: float, validation_fraction: float, seed: int) -> None:
+    """All three splits must get something."""
+    parts = SHARE.check(train_fraction, "train_fraction"), SHARE.check(validation_fraction, "validation_fraction")
+    if min(*parts, 1 - sum(parts)) <= 0:
         raise ValueError("the fractions of train, validation and test must all be positive")
-    whole_number(seed, "seed", 0)
+    ORDINAL.check(seed, "seed")
 
 
 def _halves(names: list[str], fraction: float, seed: int) -> tuple[list[str], list[str]]:
@@ -38,7 +38,7 @@ def _halves(names: list[str], fraction: float, seed: int) -> tuple[list[str], li
 
 def group_split(history: DataFrame, train_fraction: float = 0.6, validation_fraction: float = 0.2, seed: int = 20260906) -> DataFrame:
     """``history`` with a split column, by a seeded permutation of the sorted groups, dealt twice with one seed."""
-    _check(train_fraction, validation_fraction, seed)
+    check_fractions(train_fraction, validation_fraction, seed)
     groups = sorted(r[0] for r in history.select("group_id").distinct().limit(MOST_GROUPS + 1).collect())
     if len(groups) < 3:
         raise ValueError("at least three groups are needed")
@@ -55,30 +55,22 @@ def group_split(history: DataFrame, train_fraction: float = 0.6, validation_frac
 def hash_split_of_groups(groups: DataFrame, train_fraction: float = 0.6, validation_fraction: float = 0.2, seed: int = 20260906) -> DataFrame:
     """(group_id, split) by the hash of seed and group: groups below the first cut train, below the second validate.
 
-    The cuts are exact quantiles of the hashes: floor(fraction x groups) groups lie below each. They
-    are found from the counts of the hashes' leading digits, then within one of 65,536 cells.
+    The cuts are exact: floor(fraction x groups) groups lie below each. A group's rank is the number
+    of groups in smaller cells (65,536 of them, by the hash's leading digits) and its rank in its own
+    cell, so there is neither a global sort nor a step on the driver. Fewer than three groups are an
+    error while running.
     """
-    _check(train_fraction, validation_fraction, seed)
+    check_fractions(train_fraction, validation_fraction, seed)
     keyed = groups.select("group_id").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id")).cast("binary")))
-    cells = sorted((r["cell"], r["n"]) for r in keyed.groupBy(F.substring("h", 1, 4).alias("cell")).agg(F.count("*").alias("n")).collect())
-    total = sum(n for _, n in cells)
-    if total < 3:
-        raise ValueError("at least three groups are needed")
-    ends = [math.floor(train_fraction * total), math.floor(train_fraction * total) + math.floor(validation_fraction * total)]
-    cuts = [_key_at(keyed, cells, end) for end in ends]
-    key = F.concat("h", "group_id")
-    return keyed.select("group_id", F.when(key < cuts[0], "train").when(key < cuts[1], "validation").otherwise("test").alias("split"))
-
-
-def _key_at(keyed: DataFrame, cells: list[tuple[str, int]], rank: int) -> str:
-    """The hash and name of the group at a rank from 0; past the last, a key beyond all."""
-    before = 0
-    for cell, n in cells:
-        if rank < before + n:
-            row = keyed.where(F.substring("h", 1, 4) == cell).select(F.concat("h", "group_id").alias("key")).orderBy("key").offset(rank - before).first()
-            return row["key"]
-        before += n
-    return "g"
+    keyed = keyed.withColumn("cell", F.substring("h", 1, 4))
+    every = Window.partitionBy(F.lit(0))
+    cells = keyed.groupBy("cell").agg(F.count("*").alias("n"))
+    cells = cells.select("cell", F.coalesce(F.sum("n").over(every.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(every).alias("total"))
+    # At most 65,536 short rows, so this side may be broadcast.
+    ranked = keyed.join(F.broadcast(cells), "cell").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "group_id")) - 1)
+    train, validation = (F.floor(F.lit(float(fraction)) * F.col("total")) for fraction in (train_fraction, validation_fraction))
+    few = F.when(F.col("total") < 3, F.raise_error(F.lit("at least three groups are needed")).cast("string"))
+    return ranked.select("group_id", few.when(F.col("rank") < train, SPLITS[0]).when(F.col("rank") < train + validation, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
 
 
 def group_split_by_hash(history: DataFrame, train_fraction: float = 0.6, validation_fraction: float = 0.2, seed: int = 20260906) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.contracts import ESTIMATES, ModelStatistics, distinct_ids, finite_number
+from routeloom.contracts import ESTIMATES, SHARE, ModelStatistics, distinct_ids
 
 
 def passes(threshold: float, quality: str = "quality_score") -> Column:
@@ -22,7 +22,7 @@ def stable_mean(column: str) -> Column:
 
 def model_statistics(history: DataFrame, threshold: float) -> DataFrame:
     """One row for each model: mean cost, latency and quality, observations and pass rate; one shuffle of K partial rows."""
-    finite_number(threshold, "quality_score_threshold", maximum=1)
+    SHARE.check(threshold, "quality_score_threshold")
     return history.groupBy("model_id").agg(
         stable_mean("cost").alias("mean_cost"),
         stable_mean("latency_ms").alias("mean_latency_ms"),

@@ -11,12 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.contracts import OBSERVATION, distinct_ids
-from routeloom.functions.text import is_blank, strip
-
-TEXTS = ("call_id", "query_id", "group_id", "query", "model_id", "task_type")
-#: Largest value of each number; None: no bound.
-NUMBERS = {"quality_score": 1.0, "cost": None, "latency_ms": None}
+from routeloom.contracts import OBSERVATION, OBSERVED, distinct_ids
+from routeloom.functions.text import strip
 
 
 def _violation(rows: DataFrame, rule: str, key, detail) -> DataFrame:
@@ -24,13 +20,8 @@ def _violation(rows: DataFrame, rule: str, key, detail) -> DataFrame:
 
 
 def field_violations(history: DataFrame) -> DataFrame:
-    """Blank texts, and numbers that are null, NaN, infinite or out of bounds."""
-    bad = [F.when(is_blank(F.col(c)), c) for c in TEXTS if c in history.columns]
-    for c, most in NUMBERS.items():
-        if c in history.columns:
-            value = F.col(c).cast("double")
-            ok = ~F.isnan(value) & (value >= 0) & (value <= (most if most is not None else 1.7976931348623157e308))
-            bad.append(F.when(~F.coalesce(ok, F.lit(False)), c))
+    """Fields outside their domain: blank texts, and numbers that are null, NaN, infinite or out of bounds."""
+    bad = [F.when(~domain.of_column(F.col(c)), c) for c, domain in OBSERVED.items() if c in history.columns]
     names = F.array_compact(F.array(*bad))
     return _violation(history.where(F.size(names) > 0), "field", F.col("call_id"), F.array_join(names, ","))
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from routeloom.contracts import HINTS, FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig, enabled_ids, finite_number, whole_number
+from routeloom.contracts import COUNT, HINTS, ORDINAL, FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig, enabled_ids
+from routeloom.operators.splitting import check_fractions
+
+#: Settings of the evaluation, and those that may be left out with their values.
+EVALUATION = {"probability_bins": COUNT, "timing_warmup_queries": ORDINAL, "timing_queries": ORDINAL, "numeric_threads": COUNT}
+EVALUATION_DEFAULTS = {"timing_warmup_queries": 0, "timing_queries": 20, "numeric_threads": 1}
 
 
 def candidates_of(config: dict) -> tuple[ModelCandidate, ...]:
@@ -23,13 +28,11 @@ def check_config(config: dict) -> dict:
     if not set(config["rules"].values()) <= active:
         raise ValueError("rules name unknown or disabled models")
     if "split" in config:
-        train, validation = (finite_number(config["split"][k], k, maximum=1) for k in ("train_fraction", "validation_fraction"))
-        if not (train > 0 and validation > 0 and train + validation < 1):
-            raise ValueError("the fractions of train, validation and test must all be positive")
-        whole_number(config["split"].get("seed", 0), "seed", 0)
+        check_fractions(config["split"]["train_fraction"], config["split"]["validation_fraction"], config["split"].get("seed", 0))
     if "evaluation" in config:
-        whole_number(config["evaluation"]["probability_bins"], "probability_bins", 1)
-        whole_number(config["evaluation"].get("timing_warmup_queries", 0), "timing_warmup_queries", 0)
+        given = EVALUATION_DEFAULTS | config["evaluation"]
+        for name, domain in EVALUATION.items():
+            domain.check(given.get(name), name)
     return config
 
 

@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.contracts import HINTS, OBSERVATION, finite_number, whole_number
+from routeloom.contracts import COUNT, HINTS, OBSERVATION, ORDINAL, POSITIVE, SHARE
 
 TOPICS = ("a sorting routine", "a bus timetable", "the harbour at dawn", "a bread recipe", "tidal forces", "a lease agreement")
 TEMPLATES = {
@@ -25,37 +25,30 @@ TEMPLATES = {
     "translation": ("Translate the paragraph on {t} into French, part {n}.", "Please translate {k} sentences about {t}, set {n}."),
     "qa": ("Why do people care about {t}? Case {n}.", "What should a beginner know about {t} by day {n}?"),
 }
-DEPTHS = ("Be brief.", "Give one worked example and name a limit.", "Compare two ways and say when each holds.", "Weigh several limits, give a counterexample and a check that can be repeated.")
-DEFAULT = {
-    "seed": 7,
-    "variants_per_group": 8,
-    "quality_noise_std": 0.06,
-    "query_shock_std": 0.03,
-    "group_effect_std": 0.03,
-    "latency_log_std": 0.2,
-    "cost_log_std": 0.1,
-}
+#: What a request asks for beyond its template, and how much skill and how many characters of answer that takes.
+DEPTHS = (
+    ("Be brief.", 0.15, 200),
+    ("Give one worked example and name a limit.", 0.4, 700),
+    ("Compare two ways and say when each holds.", 0.6, 1300),
+    ("Weigh several limits, give a counterexample and a check that can be repeated.", 0.85, 2200),
+)
+#: Settings of the generator, and of a model's profile beside its skills.
+SETTINGS = {"seed": ORDINAL, "variants_per_group": COUNT, "softness": POSITIVE, "luck": SHARE, "spread": SHARE}
+PROFILE = {"price_per_1000": POSITIVE, "first_ms": POSITIVE, "ms_per_char": POSITIVE}
+DEFAULT = {"seed": 7, "variants_per_group": 8, "softness": 0.12, "luck": 0.1, "spread": 0.25}
 
 
 def check_generator(config: dict) -> tuple[dict, list[str]]:
+    """The generator's settings and the models' ids; every model needs a profile with a skill for every kind of request."""
     settings, ids = config["generator"], sorted(m["model_id"] for m in config["models"])
-    if sorted(settings["profiles"]) != ids:
-        raise ValueError("the generator's profiles must be those of the models")
-    whole_number(settings["variants_per_group"], "variants_per_group", len(DEPTHS))
-    whole_number(settings["seed"], "seed", 0)
-    for name in ("quality_noise_std", "query_shock_std", "group_effect_std", "latency_log_std", "cost_log_std"):
-        finite_number(settings[name], name)
-    for m in ids:
-        profile = settings["profiles"][m]
-        finite_number(profile["ability"], "ability", maximum=1)
-        finite_number(profile["difficulty_penalty"], "difficulty_penalty", maximum=1)
-        for name in ("base_cost", "base_latency_ms"):
-            if finite_number(profile[name], name) == 0:
-                raise ValueError(f"{name} must be positive")
-        if set(profile["task_bonus"]) != set(HINTS):
-            raise ValueError("task_bonus must cover all task types")
-        for bonus in profile["task_bonus"].values():
-            finite_number(bonus, "task_bonus", minimum=-1, maximum=1)
+    if set(settings["profiles"]) != set(ids):
+        raise ValueError("the generator needs one profile for each model")
+    wanted = [(settings, SETTINGS)] + [(settings["profiles"][m], PROFILE) for m in ids] + [(settings["profiles"][m]["skill"], dict.fromkeys(HINTS, SHARE)) for m in ids]
+    for given, domains in wanted:
+        for name, domain in domains.items():
+            domain.check(given.get(name), name)
+    if settings["variants_per_group"] < len(DEPTHS):
+        raise ValueError(f"variants_per_group must be at least {len(DEPTHS)}, so that every depth occurs")
     return settings, ids
 
 
@@ -64,9 +57,9 @@ def _uniform(seed: int, what: str, *keys: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *keys), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
 
 
-def _normal(seed: int, what: str, std: float, *keys: Column) -> Column:
-    """Two uniform draws make a normal one."""
-    return F.sqrt(-2 * F.log(_uniform(seed, what + " r", *keys))) * F.cos(2 * F.pi() * _uniform(seed, what + " a", *keys)) * std
+def _around(seed: int, what: str, width: float, *keys: Column) -> Column:
+    """In (-width, width), small values likelier: the mean of two uniform draws."""
+    return (_uniform(seed, what + " 1", *keys) + _uniform(seed, what + " 2", *keys) - 1) * width
 
 
 def _pick(values, at: Column) -> Column:
@@ -83,39 +76,30 @@ def generate(spark: SparkSession, config: dict) -> DataFrame:
     )
     task, group = _pick(HINTS, F.col("task")), F.format_string("%s-%03d", _pick(HINTS, F.col("task")), F.col("family"))
     rows = rows.withColumns({"task_type": task, "group_id": group, "query_id": F.format_string("%s-q%03d", group, F.col("variant"))})
-    level = F.col("variant") % len(DEPTHS)
+    depth = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(d).alias("demand"), F.lit(float(c)).alias("answer")) for t, d, c in DEPTHS])
+    rows = rows.withColumn("depth", F.get(depth, (F.col("variant") % len(DEPTHS)).cast("int")))
     texts = F.create_map(*[x for t, forms in TEMPLATES.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in forms]))])
-    form = F.element_at(texts[F.col("task_type")], (F.col("family") % 2 + 1).cast("int"))
-    n = (20 + F.col("variant") * 13 + F.floor(10 * _uniform(seed, "n", F.col("query_id")))).cast("string")
-    k = (2 + F.floor(16 * _uniform(seed, "k", F.col("query_id")))).cast("string")
-    query = form
-    for mark, value in (("{t}", _pick(TOPICS, F.floor(F.col("family") / 2))), ("{n}", n), ("{k}", k)):
-        query = F.replace(query, F.lit(mark), value)
-    rows = rows.withColumns({"query": F.concat_ws(" ", query, _pick(DEPTHS, level), F.format_string("Reference %d.%d.", F.col("family"), F.col("variant"))), "difficulty": (level + 0.05 + 0.9 * _uniform(seed, "difficulty", F.col("query_id"))) / len(DEPTHS)})
-    profile = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("model_id"),
-                *[F.lit(float(settings["profiles"][m][c])).alias(c) for c in ("ability", "difficulty_penalty", "base_cost", "base_latency_ms")],
-                F.create_map(*[x for t in HINTS for x in (F.lit(t), F.lit(float(settings["profiles"][m]["task_bonus"][t])))]).alias("bonus"),
-            )
-            for m in ids
-        ]
-    )
-    rows = rows.withColumn("p", F.explode(profile))
-    pair, p, hard = (F.col("query_id"), F.col("p.model_id")), F.col("p"), F.col("difficulty")
-    quality = (
-        p["ability"] + p["bonus"][F.col("task_type")] - p["difficulty_penalty"] * F.pow(hard, F.lit(1.35))
-        + _normal(seed, "group", settings["group_effect_std"], F.col("group_id"))
-        + _normal(seed, "query", settings["query_shock_std"], F.col("query_id"))
-        + _normal(seed, "quality", settings["quality_noise_std"], *pair)
-    )
-    size = F.length("query")
-    cost = p["base_cost"] * (0.5 + size / 220 + 0.45 * hard) * F.exp(_normal(seed, "cost", settings["cost_log_std"], *pair))
-    latency = p["base_latency_ms"] * (0.7 + size / 500 + 0.6 * hard) * F.exp(_normal(seed, "latency", settings["latency_log_std"], *pair))
+    query = F.element_at(texts[F.col("task_type")], (F.col("family") % 2 + 1).cast("int"))
+    drawn = {"{n}": F.floor(3 + 500 * _uniform(seed, "n", F.col("query_id"))), "{k}": F.floor(2 + 9 * _uniform(seed, "k", F.col("query_id")))}
+    for mark, value in {"{t}": _pick(TOPICS, F.floor(F.col("family") / 2)), **drawn}.items():
+        query = F.replace(query, F.lit(mark), value.cast("string"))
+    rows = rows.withColumn("query", F.concat_ws(" ", query, "depth.text", F.format_string("Reference %d.%d.", F.col("family"), F.col("variant"))))
+    profiles = [(m, settings["profiles"][m]) for m in ids]
+    skills = [F.create_map(*[x for t in HINTS for x in (F.lit(t), F.lit(float(p["skill"][t])))]) for _, p in profiles]
+    models = F.array(*[F.struct(F.lit(m).alias("model_id"), *[F.lit(float(p[c])).alias(c) for c in PROFILE], skill.alias("skill")) for (m, p), skill in zip(profiles, skills)])
+    rows = rows.withColumn("m", F.explode(models))
+    pair, m = (F.col("query_id"), F.col("m.model_id")), F.col("m")
+    # A request succeeds by as much as the model's skill exceeds what it demands, which varies with its group, itself and luck.
+    demand = F.col("depth.demand") + _around(seed, "group", 0.1, F.col("group_id")) + _around(seed, "request", 0.1, F.col("query_id"))
+    margin = m["skill"][F.col("task_type")] - demand + _around(seed, "luck", settings["luck"], *pair)
+    quality = 1 / (1 + F.exp(-margin / settings["softness"]))
+    # Price and time go with the characters that are read and written.
+    answer = F.col("depth.answer") * (1 + _around(seed, "answer", settings["spread"], *pair))
+    cost = m["price_per_1000"] * (F.length("query") + answer) / 1000
+    latency = m["first_ms"] * (1 + _around(seed, "wait", settings["spread"], *pair)) + m["ms_per_char"] * answer
     return rows.select(
-        F.concat_ws("--", "query_id", "p.model_id").alias("call_id"), "query_id", "group_id", "query", p["model_id"].alias("model_id"), "task_type",
-        F.round(F.greatest(F.least(quality, F.lit(1.0)), F.lit(0.0)), 6).alias("quality_score"), F.round(cost, 8).alias("cost"), F.round(latency, 3).alias("latency_ms"),
+        F.concat_ws("--", "query_id", "m.model_id").alias("call_id"), "query_id", "group_id", "query", m["model_id"].alias("model_id"), "task_type",
+        F.round(quality, 6).alias("quality_score"), F.round(cost, 8).alias("cost"), F.round(latency, 3).alias("latency_ms"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from routeloom.contracts import OBSERVATION
 from routeloom.operators.validation import field_violations, validate_history
 
+# The keys that a manifest must have.
 REQUIRED = ("source_kind", "data_version", "generator_version", "seed", "quality_score_range", "cost_unit", "latency_unit", "coverage_kind", "quality_definition", "sha256")
 
 
@@ -55,6 +56,17 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, streamed from whatever store it is in: a digest is sequential, but never in memory whole."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def load_verified(spark: SparkSession, data_path: str, manifest_path: str, model_ids: list[str]) -> tuple[DataFrame, dict]:
     """Observations whose file matches its manifest and which cover every query and model."""
     manifest = read_manifest(spark, manifest_path)
@@ -63,8 +75,7 @@ def load_verified(spark: SparkSession, data_path: str, manifest_path: str, model
         raise ValueError(f"manifest lacks {missing}")
     if manifest["source_kind"] != "synthetic" or manifest["coverage_kind"] != "full" or manifest["quality_score_range"] != [0.0, 1.0] or manifest["latency_unit"] != "ms":
         raise ValueError("a synthetic table of full coverage with quality in [0, 1] and latency in ms is needed")
-    digest = spark.read.format("binaryFile").load(data_path).select(F.sha2("content", 256)).first()[0]
-    if digest != manifest["sha256"]:
+    if file_digest(spark, data_path) != manifest["sha256"]:
         raise ValueError("the data doesn't match the manifest's SHA-256")
     return validate_history(load_history(spark, data_path), model_ids, full_coverage=True), manifest
 

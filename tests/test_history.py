@@ -11,7 +11,7 @@ NAMES = [f.name for f in OBSERVATION]
 HINTS = ("code", "math", "summary", "translation", "qa")
 CONFIG = {
     "models": [{"model_id": m, "enabled": True} for m in ("m1", "m2")],
-    "generator": DEFAULT | {"profiles": {m: {"ability": 0.9 - k / 10, "difficulty_penalty": 0.2, "base_cost": 0.02 + k, "base_latency_ms": 500.0 + k, "task_bonus": dict.fromkeys(HINTS, 0.0)} for k, m in enumerate(("m1", "m2"))}},
+    "generator": DEFAULT | {"profiles": {m: {"skill": dict.fromkeys(HINTS, 0.9 - k / 10), "price_per_1000": 0.02 + k, "first_ms": 500.0 + k, "ms_per_char": 0.5} for k, m in enumerate(("m1", "m2"))}},
 }
 
 

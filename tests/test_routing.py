@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.contracts import ESTIMATES, CandidateEstimate, FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
+from routeloom.contracts import ESTIMATES, FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
 from routeloom.operators.routing import route, route_long, route_one, route_rows
 
 CASES = [
@@ -31,7 +31,7 @@ def _candidates(rows):
 
 @pytest.mark.parametrize("rows,policy,selected,reason", CASES)
 def test_decisions(spark, rows, policy, selected, reason):
-    d = route_one(_candidates(rows), [CandidateEstimate(m, p, float(c), float(t)) for m, p, c, t in rows], RoutingPolicy(*policy), spark)
+    d = route_one(_candidates(rows), rows, RoutingPolicy(*policy), spark)
     assert (d["selected_model"], d["decision_reason"]) == (selected, reason)
     assert d["fallback_used"] == reason.startswith("FALLBACK")
     assert d["qualified_models"] == sorted(m for m, p, *_ in rows if p >= policy[0])
@@ -40,7 +40,7 @@ def test_decisions(spark, rows, policy, selected, reason):
 
 def test_order_of_estimates_does_not_matter(spark):
     rows = [("c", 0.9, 3.0, 10.0), ("a", 0.9, 3.0, 10.0), ("b", 0.9, 3.0, 10.0)]
-    frame = spark.createDataFrame([(list(x),) for x in itertools.permutations(rows)], f"estimates {ESTIMATES}")
+    frame = spark.createDataFrame([(list(x),) for x in itertools.permutations(rows)], f"estimates {ESTIMATES.simpleString()}")
     assert {r[0] for r in route_rows(frame, _candidates(rows), RoutingPolicy()).select("decision.selected_model").collect()} == {"a"}
 
 
@@ -52,14 +52,14 @@ def test_projection_has_no_shuffle_and_long_form_agrees(spark):
     held = {}
     for k, *e in rows:
         held.setdefault(k, []).append(tuple(e))
-    wide = spark.createDataFrame(list(held.items()), f"query_id int, estimates {ESTIMATES}").withColumn("d", route(F.col("estimates"), RoutingPolicy(0.5)))
+    wide = spark.createDataFrame(list(held.items()), f"query_id int, estimates {ESTIMATES.simpleString()}").withColumn("d", route(F.col("estimates"), RoutingPolicy(0.5)))
     assert {r["query_id"]: r["d"]["selected_model"] for r in wide.collect()} == by_long
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
 
 
 def test_disabled_candidates_are_left_out(spark):
     candidates = (ModelCandidate("a", False), ModelCandidate("b"))
-    assert route_one(candidates, [CandidateEstimate("a", 1, 0, 0), CandidateEstimate("b", 0.1, 1, 1)], RoutingPolicy(), spark)["selected_model"] == "b"
+    assert route_one(candidates, [("a", 1, 0, 0), ("b", 0.1, 1, 1)], RoutingPolicy(), spark)["selected_model"] == "b"
 
 
 @pytest.mark.parametrize(
@@ -75,13 +75,13 @@ def test_disabled_candidates_are_left_out(spark):
     ],
 )
 def test_bad_estimates_fail(spark, candidates, rows, message):
-    frame = spark.createDataFrame([(rows,)], f"estimates {ESTIMATES}")
+    frame = spark.createDataFrame([(rows,)], f"estimates {ESTIMATES.simpleString()}")
     with pytest.raises(Exception, match=message):
         route_rows(frame, candidates, RoutingPolicy()).collect()
 
 
 def test_bad_settings_fail(spark):
-    frame = spark.createDataFrame([([("a", 0.5, 1.0, 1.0)],)], f"estimates {ESTIMATES}")
+    frame = spark.createDataFrame([([("a", 0.5, 1.0, 1.0)],)], f"estimates {ESTIMATES.simpleString()}")
     with pytest.raises(ValueError, match="unique"):
         route_rows(frame, (ModelCandidate("a"), ModelCandidate("a")), RoutingPolicy())
     with pytest.raises(ValueError, match="no eligible"):
