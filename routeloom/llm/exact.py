@@ -1,16 +1,18 @@
 """Exact duplicates by a log-structured merge index of digests, in DataFrame operations only.
 
-Memtable and flush: every task sums its rows by digest and writes them as one digest-sorted run with
-a Parquet Bloom filter on the digest, so that looking up a few digests skips most runs. Compaction
-merges runs by digest: the best row stays and the counts add up. A digest of two or more rows is a
-hit; hits are verified by their bytes, by grouping on the digest and the normalised text together.
+Memtable and flush: every task sorts the digests of its rows and writes them as one run, without an
+exchange; runs carry Parquet's Bloom filters, which look-ups of single texts use. Compaction merges
+the runs by digest: the best row stays and the counts add up. A digest of two or more rows is a hit.
+Hits go into a filter of bounded size that every task gets; a row that the filter denies is alone, so
+neither its digest nor its text moves. Only the texts of rows that the filter admits are verified byte by byte.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .sieve import Filter
 from .storage import new_path, settle
 
 #: Fixed value: what is deleted before texts are compared.
@@ -32,39 +34,46 @@ def _best(n_chars: str = "n_chars", doc_id: str = "id") -> Column:
     return F.struct((-F.col(n_chars)).alias("less"), F.col(doc_id).alias("id"))
 
 
-def flush(rows: DataFrame, path: str) -> None:
-    """Write a run for every task: its (id, digest, n_chars) rows, one for each digest, sorted by digest.
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, digest, n_chars) of every row."""
+    raw = docs[text]
+    return docs.select(docs[doc_id].alias("id"), _digest(normalised(raw)).alias("digest"), F.coalesce(F.char_length(raw), F.lit(0)).cast("long").alias("n_chars"))
+
+
+def flush(rows: DataFrame, path: str) -> DataFrame:
+    """Write a run for every task: its (id, digest, n_chars) rows in digest order. Returns all runs under ``path``.
 
-    The sum before the exchange-free write is the memtable: it spills to disk when it outgrows the
-    task's memory.
+    The sort is the memtable: it spills to disk when it outgrows the task's memory.
     """
-    held = rows.groupBy("digest", F.spark_partition_id().alias("memtable")).agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
-    held.drop("memtable").sortWithinPartitions("digest").write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+    rows.sortWithinPartitions("digest").write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Compaction: one row for each digest, with the best of the runs' rows and the sum of their counts."""
-    return runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    """Compaction: one row for each digest, with the best of the runs' rows and how many there are."""
+    return runs.groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest, n_chars) of every row."""
-    raw = docs[text]
-    return docs.select(docs[doc_id].alias("id"), _digest(normalised(raw)).alias("digest"), F.coalesce(F.char_length(raw), F.lit(0)).cast("long").alias("n_chars"))
+def look_up(runs: DataFrame, *texts: str) -> DataFrame:
+    """The runs' rows of a few texts, by their digests; runs whose range or Bloom filter denies them are skipped."""
+    known = runs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in texts])).alias("text")).select(_digest(normalised(F.col("text"))).alias("d")).collect()
+    return runs.where(F.col("digest").isin([bytes(r["d"]) for r in known]))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, digest, best, n) of every row."""
-    spark = docs.sparkSession
-    rows = settle(digests(docs, doc_id, text), "digested")
-    runs = new_path(spark, "digest-runs")
-    flush(rows, runs)
-    table = settle(merged(spark.read.parquet(runs)), "digest-index")
-    clashing = settle(_clashing(docs, doc_id, text), "digest-clashes")
-    found = rows.join(table, "digest").select("id", "digest", "best", "n")
+    runs = flush(digests(docs, doc_id, text), new_path(docs.sparkSession, "digest-runs"))
+    seen = Observation()
+    table = settle(merged(runs).observe(seen, F.count_if(F.col("n") > 1).alias("hits")), "digest-index")
+    hits = table.where("n > 1")
+    known = Filter.of(hits, seen.get["hits"], "digest")
+    found = known.admits(runs, F.col("digest"))
+    alone = found.where("NOT __maybe").select("id", "digest", _best().alias("best"), F.lit(1).cast("long").alias("n"))
+    met = found.where("__maybe").join(hits, "digest", "left").select("id", "digest", F.coalesce("best", _best()).alias("best"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    clashing = settle(_clashing(docs, doc_id, text, known), "digest-clashes")
     if not clashing.isEmpty():
-        found = found.join(clashing, "digest", "left_anti").unionByName(_by_bytes(docs, doc_id, text, clashing))
-    return found
+        met = met.join(clashing, "digest", "left_anti").unionByName(_by_bytes(docs, doc_id, text, clashing))
+    return alone.unionByName(met)
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,17 +95,21 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, in their own columns; of repeated rows with one id and one text, one stays."""
-    found = _grouped(docs, doc_id, text)
-    gone = found.where(~F.col("best.id").eqNullSafe(F.col("id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    """The rows that stay, in their own columns; of repeated rows with one id and one text, one stays.
+
+    Rows to go, and rows of which there are several, are a filter first: the texts of other rows don't move.
+    """
+    found = _grouped(docs, doc_id, text).groupBy("id", "digest").agg(F.max(F.col("best.id").eqNullSafe(F.col("id"))).alias("stays"), F.count("*").alias("copies"))
+    seen = Observation()
+    odd = found.where("NOT stays OR copies > 1").observe(seen, F.count("*").alias("n"))
+    odd = settle(odd.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("stays").alias("__stays")), "dropped-or-repeated")
     digest = _digest(normalised(docs[text]))
-    # What goes has no size bound, so it isn't broadcast however few rows it is here.
-    gone = settle(gone, "dropped").hint("merge")
-    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
-    again = digests(docs, doc_id, text).groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    return kept.withColumn("__digest", digest).dropDuplicates([doc_id, "__digest"]).drop("__digest")
+    near = Filter.of(odd, seen.get["n"], "__id", "__digest").admits(docs.withColumn("__own", digest), docs[doc_id], F.col("__own"))
+    sure = near.where("NOT __maybe").select(*docs.columns)
+    # What is odd has no size bound, so it isn't broadcast however few rows it is here.
+    doubted = near.where("__maybe").join(odd.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
+    rest = doubted.where("__stays IS NULL OR __stays").dropDuplicates([doc_id, "__own"])
+    return sure.unionByName(rest.select(*docs.columns))
 
 
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -104,12 +117,12 @@ def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].alias("id"), norm.alias("norm"), _digest(norm).alias("digest"), F.coalesce(F.char_length(docs[text]), F.lit(0)).cast("long").alias("n_chars"))
 
 
-def _clashing(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Byte verification: the digests under which different bytes were found.
+def _clashing(docs: DataFrame, doc_id: str, text: str, known: Filter) -> DataFrame:
+    """Byte verification of the hits: the digests under which different bytes were found.
 
     Rows are grouped by digest and bytes before anything is sent, so a hot text moves once a task.
     """
-    bodies = _bodies(docs, doc_id, text).groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    bodies = known.admits(_bodies(docs, doc_id, text), F.col("digest")).where("__maybe").groupBy("digest", "norm").agg(F.count("*").alias("n"))
     return bodies.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
