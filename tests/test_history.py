@@ -95,3 +95,23 @@ def test_splits_keep_groups_whole(spark, split):
     assert sorted(map(tuple, split(history.repartition(3)).select("group_id", "split").distinct().collect())) == sorted((g, *s) for g, s in groups.items())
     with pytest.raises(ValueError):
         split(history, train_fraction=0.9, validation_fraction=0.2)
+
+
+def test_experiment_reports_all_policies(spark, tmp_path):
+    from routeloom.plans.experiment import run_experiment
+
+    skills = {"m1": 0.75, "m2": 0.45}
+    config = {
+        "models": CONFIG["models"], "rules": dict.fromkeys(HINTS, "m1"), "policy": {"router_probability_threshold": 0.5}, "features": {"ngram_range": [2, 2], "max_features": 40},
+        "training": {"quality_score_threshold": 0.5, "C": 0.05, "min_model_samples": 4}, "split": {"train_fraction": 0.6, "validation_fraction": 0.2, "seed": 3},
+        "evaluation": {"probability_bins": 5, "timing_warmup_queries": 1, "timing_queries": 3},
+        "generator": DEFAULT | {"profiles": {m: {"skill": dict.fromkeys(HINTS, x), "price_per_1000": 1.0, "first_ms": 100.0, "ms_per_char": 0.5} for m, x in skills.items()}},
+    }
+    report = run_experiment(spark, generate(spark, config), config, {"source_kind": "synthetic"}, str(tmp_path))
+    held = report["held_out"]["test"]
+    assert set(held["policies"]) == {"query_aware_router", "always_strongest", "always_lowest_cost", "rule_based", "global_historical_router"}
+    assert held["runtime"]["single"]["query_count"] == 3 and 0 < held["runtime"]["single"]["p50_ms"] <= held["runtime"]["single"]["p95_ms"]
+    assert held["runtime"]["batch"]["query_count"] == held["policies"]["rule_based"]["metrics"]["query_count"]
+    assert json.loads((tmp_path / "report.json").read_text())["data"]["splits"] == report["data"]["splits"]
+    with pytest.raises(ValueError, match="numeric_threads"):
+        run_experiment(spark, generate(spark, config), config | {"evaluation": {"probability_bins": 5, "numeric_threads": 0}}, {})

@@ -1,12 +1,15 @@
 import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
 from routeloom.functions import text as tx
-from routeloom.learning.artifact import RoutingArtifact, check_document, load_artifact, save_artifact
+from routeloom.learning.artifact import RoutingArtifact, check_document, decide, load_artifact, save_artifact
 from routeloom.learning.features import fit_features
 from routeloom.learning.predictor import NotConverged, fit_predictor
 from routeloom.operators import evaluation
@@ -146,3 +149,86 @@ def test_calibration_bins(spark):
     assert [b["count"] for b in evaluation.probability_diagnostics(rows, 5)["bins"]] == [1, 0, 2, 0, 1]
     with pytest.raises(ValueError):
         evaluation.probability_diagnostics(rows.where("label > 5"), 2)
+
+
+def _plain_features(texts, low, high, most):
+    """Vocabulary, weights and vectors of the texts in plain Python."""
+    texts = [t.strip() for t in texts]
+    distinct = sorted(set(texts))
+
+    def grams(t):
+        norm = re.sub(r"\s\s+", " ", t.lower())
+        return [norm[i : i + n] for n in range(low, high + 1) for i in range(len(norm) - n + 1)]
+
+    total, documents = Counter(), Counter()
+    for t in distinct:
+        total.update(grams(t))
+        documents.update(set(grams(t)))
+    terms = [t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    idf = np.array([math.log((1 + len(distinct)) / (1 + documents[t])) + 1 for t in terms])
+
+    def own(t):
+        hint = re.search(r"(?i)```|\b(def|class|import|return|select)\b|python|sql", t)
+        sign = re.search(r"[=+*/^]", t)
+        return [math.log1p(len(t)), math.log1p(len(re.findall(r"[A-Za-z_]+|\d+(?:\.\d+)?", t))), bool(hint), any(c.isdigit() for c in t), bool(sign)]
+
+    scale = np.array([own(t) for t in distinct], float).std(axis=0)
+    scale[scale == 0] = 1
+
+    def vector(t):
+        count = Counter(grams(t))
+        x = np.array([count[g] for g in terms]) * idf
+        return np.concatenate([np.array(own(t), float) / scale, x / (np.linalg.norm(x) or 1)])
+
+    return {t: vector(t) for t in distinct}
+
+
+def _plain_regression(x, y, c):
+    """Ridge logistic regression with a free intercept, by Newton's method."""
+    n, w = len(y), np.zeros(x.shape[1] + 1)
+    design = np.hstack([x, np.ones((n, 1))])
+    ridge = np.diag([1 / (c * n)] * x.shape[1] + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ w))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design / n + ridge, design.T @ (p - y) / n + ridge @ w)
+        w -= step
+    return lambda v: 1 / (1 + math.exp(-(np.append(v, 1) @ w)))
+
+
+def test_learned_probabilities_and_routes_are_the_plain_ones(spark, fitted):
+    history, predictor = fitted
+    rows = history.collect()
+    vectors = _plain_features([r["query"] for r in rows], 2, 3, 64)
+    want = {}
+    for m in ("a", "b"):
+        mine = [r for r in rows if r["model_id"] == m]
+        p = _plain_regression(np.array([vectors[r["query"]] for r in mine]), np.array([float(r["quality_score"] >= 0.8) for r in mine]), TRAINING.C)
+        want |= {(r["query_id"], m): p(vectors[r["query"]]) for r in mine}
+    got = {(r["query_id"], r["model_id"]): r["probability"] for r in predictor.predict_long(evaluation.requests_of(history)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 0.01
+
+    statistics = summarize_models(history, ["a", "b"], 0.8)
+    decided = decide(evaluation.requests_of(history), predictor, statistics, (ModelCandidate("a"), ModelCandidate("b")), RoutingPolicy(0.5))
+    for r in decided.collect():
+        gated = [m for m in ("a", "b") if want[r["query_id"], m] >= 0.5]
+        best = min(gated, key=lambda m: (statistics[m].mean_cost, m)) if gated else max(("a", "b"), key=lambda m: want[r["query_id"], m])
+        assert r["decision"]["selected_model"] == best and r["decision"]["fallback_used"] == (not gated)
+
+
+def test_a_policy_may_be_a_python_function(spark):
+    history = _toy(spark)
+    select = evaluation.python_selector(lambda text: "b" if "how" in text else "a")
+    m = evaluation.evaluate_policy(history, select, 0.8)["metrics"]
+    assert (m["quality_pass_rate"], m["average_cost"], m["fallback_rate"]) == (1.0, 6.0, None)
+
+
+def test_percentiles_by_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.choice([rng.random(), float(rng.randint(0, 9)), 1e6 * rng.random()])) for k in ("x", "y", None) for _ in range(rng.randint(50, 400))] + [("one", 5.0), ("x", None)]
+    found = evaluation.latency_percentiles(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()
+    assert len(found) == 4
+    for r in found:
+        mine = [v for k, v in rows if k == r["k"] and v is not None]
+        assert (r["observation_count"], r["mean"], r["p50"], r["p95"]) == (len(mine), pytest.approx(np.mean(mine)), pytest.approx(np.percentile(mine, 50)), pytest.approx(np.percentile(mine, 95)))
+    everything = evaluation.latency_percentiles(spark.createDataFrame(rows, "k string, v double"), "v").first()
+    assert everything["p95"] == pytest.approx(np.percentile([v for _, v in rows if v is not None], 95))
