@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-A page is read into blocks of text; what its elements say they are (menus, forms, adverts) is left
-out at once. Every container that stays is hashed with all that it holds. Spark counts, for
-each host, beside how many different texts a hashed subtree occurs; blocks inside a subtree that recurs
-beside many and on enough of its host's pages are the site's, not the page's, and go.
+A page is read into blocks of text. Every element that could be a site's is hashed with all that it
+holds. Spark counts, for each host, beside how many different texts a hashed subtree occurs; subtrees
+that recur beside many, on enough of the host's pages, are the site's and not the page's, and are
+deleted wherever they are. What an element says that it is (a menu, a form, an advert) decides about
+the rest: parts of a page that no other page repeats.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,87 +27,118 @@ from .textbatch import bounded_batches, pick
 #: Different texts of a host beside which a subtree must occur to be a template, and their least share of the host's different pages.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.01
+#: The same for single paragraphs and headings, which pages may well have in common by chance.
+LEAST_LINE_SHARE = 0.1
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<odd>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>""",
     re.S,
 )
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|visibility\s*:\s*hidden")
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
 #: Elements that are never part of an article.
 OUTSIDE = frozenset("head nav footer aside form noscript template object canvas svg math button select option datalist menu dialog audio video map applet".split()) | RAW
 BLOCK = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption hr header footer aside nav form fieldset address details summary center hgroup search menu dialog".split())
-#: Containers that may be a site's template.
-CONTAINER = frozenset("div section ul ol dl table figure details fieldset center header address".split())
+#: Containers that may be a site's template, and single lines that may be one outside of articles.
+CONTAINER = frozenset("div section ul ol dl table figure details fieldset center header address blockquote summary hgroup".split())
+LINE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre".split())
 #: Elements whose start tag ends an open paragraph, and those that end an open element of their own kind.
 ENDS_P = BLOCK - {"html", "body", "thead", "tbody", "tfoot", "tr", "caption"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table select article main section div body html aside nav form footer header".split())
-#: Words of class, id or role that say that an element is not the article.
+#: Roles that aren't an article's.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of a class or id that say that an element is not the article. A name says so if it consists of such words and of NEUTRAL ones.
 MARKS = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
     notification alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs
     sidebar widget widgets footer masthead topbar comment comments disqus respond replies share sharing social related recommended recommendations
-    pagination pager toolbar login search contentinfo complementary form skip""".split()
+    pagination pager toolbar login search skip""".split()
 )
+#: Words that say so outside of articles only.
 SITE_MARKS = frozenset(("header", "top"))
+NEUTRAL = frozenset("site page global top bottom left right inner outer box block bar container wrapper wrap area section list item items links icons buttons form column col row slot unit thread reader".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _names(attrs: str) -> set[str]:
-    found: set[str] = set()
-    for name, a, b, c in ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role"):
-            found.update(x.lower() for x in NAME_PARTS.findall(a or b or c))
-    return found
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case with their values; a name without a value has an empty one."""
+    return {name.lower(): a or b or c for name, a, b, c in ATTR.findall(attrs)}
 
 
+def _telling(names: str, site: bool) -> bool:
+    """Whether one of the white-space separated names says that its element is not the article."""
+    marks = MARKS | SITE_MARKS if site else MARKS
+    for name in names.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(name) if not x.isdigit()}
+        if parts & marks and parts <= marks | NEUTRAL:
+            return True
+    return False
+
+
+@dataclass(slots=True)
 class _Element:
-    __slots__ = ("name", "dropped", "in_article", "in_main", "first", "key", "serial")
+    """An open element; ``first`` is the number of the block that comes next when it opens."""
+
+    name: str
+    dropped: bool
+    in_article: bool
+    in_main: bool
+    first: int
+    key: str
+    marked: bool = False
+    holds: bool = False
+
 
-    def __init__(self, name: str, dropped: bool, in_article: bool, in_main: bool, first: int, key: str, serial: int):
-        self.name, self.dropped, self.in_article, self.in_main, self.first, self.key, self.serial = name, dropped, in_article, in_main, first, key, serial
+@dataclass(slots=True)
+class _Block:
+    text: str
+    rank: int
+    digest: int
+    #: (hash, whether it is a single line) of the elements around it that may be a template.
+    around: list[tuple[int, bool]]
 
 
-def parse(page: str) -> list[tuple[str, list[int]]]:
-    """The blocks of a page's main part in order, each with the hashes of the containers around it.
+def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
+    """The blocks of a page's main part in order, each with the hashes of what is around it and may be a template.
 
     The main part is what articles hold; without any, what main elements hold; without these, all.
+    Elements that name themselves as something else go, unless they hold most of the page's text and its
+    heading, article or main element, or all of its text: then the name is no evidence.
     """
-    blocks: list[tuple[str, int, tuple[int, ...]]] = []
-    hashes: dict[int, int] = {}
-    digests: list[int] = []
-    heads: list[bool] = []
-    stack = [_Element("", False, False, False, 0, "", -1)]
+    blocks: list[_Block] = []
+    marked: list[tuple[int, int, bool]] = []
+    stack = [_Element("", False, False, False, 0, "")]
     open_names: Counter[str] = Counter()
-    around: list[int] = []
     buffer: list[str] = []
-    serial = 0
-    head = False
 
     def flush() -> None:
-        nonlocal head
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, 2 if top.in_article else 1 if top.in_main else 0, tuple(around)))
-                digests.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
-                heads.append(head)
+                blocks.append(_Block(text, 2 if top.in_article else 1 if top.in_main else 0, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), []))
 
     def close() -> None:
         element = stack.pop()
         open_names[element.name] -= 1
-        if element.serial >= 0:
-            around.pop()
-            inside = digests[element.first :]
-            if inside and not any(heads[element.first :]):
-                seed = xxhash.xxh64_intdigest(element.key.encode("utf-8", "surrogatepass"))
-                hashes[element.serial] = xxhash.xxh64_intdigest(np.array(inside, dtype=np.uint64).tobytes(), seed)
+        if element.name in ("h1", "article", "main") or element.holds:
+            stack[-1].holds = True
+        inside = blocks[element.first :]
+        if element.dropped or not inside:
+            return
+        if element.marked:
+            marked.append((element.first, len(blocks), element.holds))
+        line = element.name in LINE and not (element.in_article or element.in_main)
+        if line or element.name in CONTAINER:
+            seed = xxhash.xxh64_intdigest(element.key.encode("utf-8", "surrogatepass"))
+            own = xxhash.xxh64_intdigest(np.array([b.digest for b in inside], dtype=np.uint64).tobytes(), seed)
+            for block in inside:
+                block.around.append((own - (1 << 64) if own >> 63 else own, line))
 
     def close_to(names: tuple[str, ...], scope: frozenset[str]) -> None:
         """Close the nearest open element of these names, if no element of the scope stands between."""
@@ -132,7 +165,6 @@ def parse(page: str) -> list[tuple[str, list[int]]]:
         name = found["start"] or found["odd"]
         if name:
             name = name.lower()
-            attrs = found["attrs"] if found["start"] else found["rest"]
             if name in ENDS_P:
                 close_to(("p",), SCOPE)
             if name in SIBLINGS:
@@ -148,20 +180,20 @@ def parse(page: str) -> list[tuple[str, list[int]]]:
                 at = rest.end() if rest else end
                 continue
             up = stack[-1]
-            dropped = up.dropped or name in OUTSIDE
-            marks: set[str] = set()
-            if not dropped and attrs and attrs.strip():
-                marks = _names(attrs)
-                dropped = name not in ("html", "body", "main") and (bool(marks & MARKS) or (not up.in_article and name != "article" and bool(marks & SITE_MARKS)) or bool(HIDDEN.search(attrs)))
-            if name == "header" and not up.in_article:
-                dropped = True
-            if name == "h1" and not dropped:
-                head = True
-            own = -1
-            if not dropped and name in CONTAINER:
-                own, serial = serial, serial + 1
-                around.append(own)
-            stack.append(_Element(name, dropped, up.in_article or name == "article", up.in_main or name == "main" or "main" in marks, len(digests), f"{name} {' '.join(sorted(marks))}", own))
+            element = _Element(name, up.dropped or name in OUTSIDE, up.in_article or name == "article", up.in_main or name == "main", len(blocks), name)
+            if not element.dropped:
+                attrs = found["attrs"] if found["start"] else found["rest"]
+                if attrs and attrs.strip():
+                    given = _attributes(attrs)
+                    roles = set(given.get("role", "").lower().split())
+                    element.dropped = "hidden" in given or bool(UNSEEN.search(given.get("style", ""))) or bool(roles & ROLES)
+                    element.in_main |= "main" in roles
+                    names = f"{given.get('class', '')} {given.get('id', '')}".strip()
+                    element.key = f"{name} {names}"
+                    element.marked = name not in ("html", "body", "main") and _telling(names, not up.in_article and name != "article")
+                # A header is an article's own only inside of it.
+                element.dropped |= name == "header" and not (up.in_article or up.in_main)
+            stack.append(element)
             open_names[name] += 1
         elif found["end"]:
             name = found["end"].lower()
@@ -176,19 +208,23 @@ def parse(page: str) -> list[tuple[str, list[int]]]:
                         break
                     if flush_inline and stack[depth].name in BLOCK:
                         break
-            if name == "h1":
-                head = False
     flush()
     while len(stack) > 1:
         close()
-    level = max((rank for _, rank, _ in blocks), default=0)
-    kept = [(text, [hashes[s] for s in path if s in hashes]) for text, rank, path in blocks if rank == level]
-    # A container with most of the text is no template, however often the page is mirrored.
-    total, share = sum(len(t) for t, _ in kept), Counter()
-    for text, path in kept:
-        for h in path:
-            share[h] += len(text)
-    return [(text, [h - (1 << 64) if h >> 63 else h for h in path if 2 * share[h] <= total]) for text, path in kept]
+    gone = _named(blocks, marked)
+    level = max((b.rank for k, b in enumerate(blocks) if k not in gone), default=0)
+    return [(b.text, b.around) for k, b in enumerate(blocks) if b.rank == level and k not in gone]
+
+
+def _named(blocks: list[_Block], marked: list[tuple[int, int, bool]]) -> set[int]:
+    """The blocks inside elements that name themselves as something else than the article."""
+    sizes = np.concatenate(([0], np.cumsum([len(b.text) for b in blocks], dtype=np.int64)))
+    gone: set[int] = set()
+    for first, stop, holds in marked:
+        inside = sizes[stop] - sizes[first]
+        if not (inside == sizes[-1] or (holds and 2 * inside > sizes[-1])):
+            gone.update(range(first, stop))
+    return gone
 
 
 def host_of(url):
@@ -196,52 +232,72 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_line_share: float = LEAST_LINE_SHARE) -> DataFrame:
     """Extract the main text of every page.
 
     Returns one row for each input row: id, url, text, n_chars. Null and empty pages, and pages
-    without article text, give the empty text. Pages without a host are one host of their own. Equal
-    texts outside a subtree count as one page, so copies of an article make no template of its parts,
-    whatever else of the pages differs. An empty table gives no rows.
-    Other columns are ignored.
+    without article text, give the empty text. Pages without a host are one host of their own. An empty
+    table gives no rows. Other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
     rows = pick(pages, id=page_id, url=url, html=body).withColumns({"host": host_of(F.col("url")), "print": F.xxhash64("html")})
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,outside:bigint>>")
+    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,line:boolean,beside:bigint>>")
     found = settle(found, "subtrees")
-    hosts = found.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    found = found.select("id", "host", "print", F.inline("subtrees"))
-    templates = found.select("host", "subtree", "outside").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    templates = templates.join(hosts, "host").where(F.col("pages") >= least_share * F.col("host_pages"))
-    gone = found.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
+    templates = recurring(found, least_pages, least_share, least_line_share)
+    gone = found.select("id", "host", "print", F.inline("subtrees")).join(templates, ["host", "subtree"]).groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
     gone = settle(gone, "template-subtrees").withColumnsRenamed({"id": "__id", "print": "__print"})
     marked = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
     texts = marked.select("id", "url", "html", "gone").mapInArrow(_texts, f"id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def recurring(found: DataFrame, least_pages: int, least_share: float, least_line_share: float) -> DataFrame:
+    """(host, subtree) of the templates among the subtrees of pages (host, whole, subtrees).
+
+    A subtree is told from others by the longest block of each page that lies outside of it. It is a
+    template if there are ``least_pages`` different such blocks, as many as the least share of the
+    host's different pages, and half as many as different pages that have it. So copies of an article
+    make no template of its parts, even if a line, an advert or a menu differs in each: their longest
+    blocks are the same ones. Pages of which a subtree is the larger part are no evidence about it.
+    """
+    hosts = found.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    seen = found.select("host", "whole", F.inline("subtrees")).where("beside IS NOT NULL")
+    beside = seen.select("host", "subtree", "line", "beside", "whole").distinct().groupBy("host", "subtree", "line", "beside").agg(F.count("*").alias("pages"))
+    counted = beside.groupBy("host", "subtree", "line").agg(F.count("*").alias("texts"), F.sum("pages").alias("pages")).where((F.col("texts") >= least_pages) & (2 * F.col("texts") >= F.col("pages")))
+    share = F.when(F.col("line"), F.lit(least_line_share)).otherwise(F.lit(least_share))
+    return counted.join(hosts, "host").where(F.col("texts") >= share * F.col("host_pages")).select("host", "subtree")
+
+
 def _signed(h: int) -> int:
     h &= (1 << 64) - 1
     return h - (1 << 64) if h >> 63 else h
 
 
-def _beside(blocks: list[tuple[str, list[int]]]) -> tuple[int, list[dict[str, int]]]:
-    """A hash of all blocks, and for each container one of the blocks outside it."""
-    whole, inside = 0, Counter()
-    for text, around in blocks:
-        digest = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-        whole += digest
-        for h in set(around):
-            inside[h] += digest
-    return _signed(whole), [{"subtree": h, "outside": _signed(whole - x)} for h, x in sorted(inside.items())]
+def _evidence(blocks: list[tuple[str, list[tuple[int, bool]]]]) -> tuple[int, list[dict]]:
+    """A hash of all blocks, and for each subtree the hash of the longest block outside of it; none, if most of the text is inside."""
+    whole, inside, members, lines = 0, Counter(), {}, {}
+    digests = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _ in blocks]
+    for k, (text, around) in enumerate(blocks):
+        whole += digests[k]
+        for h, line in set(around):
+            inside[h] += len(text)
+            members.setdefault(h, set()).add(k)
+            lines[h] = line
+    total = sum(len(text) for text, _ in blocks)
+    longest = sorted(range(len(blocks)), key=lambda k: (-len(blocks[k][0]), digests[k]))
+    out = []
+    for h in sorted(members):
+        other = next((k for k in longest if k not in members[h]), None)
+        out.append({"subtree": h, "line": lines[h], "beside": None if other is None or 2 * inside[h] > total else _signed(digests[other])})
+    return _signed(whole), out
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of every page as a hash, and its containers which may be templates."""
-    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("outside", pa.int64())]))
+    """The text of every page as a hash, and its subtrees that may be templates."""
+    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("line", pa.bool_()), ("beside", pa.int64())]))
     for batch in batches:
-        held = [_beside(parse(x or "")) for x in batch.column("html").to_pylist()]
+        held = [_evidence(parse(x or "")) for x in batch.column("html").to_pylist()]
         yield pa.record_batch([*(batch.column(c) for c in ("id", "host", "print")), pa.array([w for w, _ in held], pa.int64()), pa.array([x for _, x in held], kind)], names=["id", "host", "print", "whole", "subtrees"])
 
 
@@ -250,5 +306,5 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
             held = frozenset(gone or ())
-            texts.append("\n".join(text for text, around in parse(page or "") if held.isdisjoint(around)))
+            texts.append("\n".join(text for text, around in parse(page or "") if held.isdisjoint(h for h, _ in around)))
         yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
