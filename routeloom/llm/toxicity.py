@@ -1,9 +1,12 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 The score of a text is the logistic of a bias, a weight for every distinct term, and the inner
-product of the factors of every two distinct terms, each scaled by how rare the term is; a pair that is worse than its parts (an insult
-and whom it is aimed at) is learned by the factors. A term is a lower-cased word or the beginning of
-a longer one, hashed: beginnings are shared by the forms and compounds of a word, which are rare alone.
+product of the factors of every two distinct terms, each scaled by how rare the term is; a pair that
+is worse than its parts (an insult and whom it is aimed at) is learned by the factors. A term is a
+lower-cased word or the beginning of a longer one, hashed: beginnings are shared by the forms and
+compounds of a word, which are rare alone. A term gets parameters if its share differs between the
+labels, by itself or in the company of terms that speak for label 1: whom an insult is aimed at may be
+as common in clean texts as in toxic ones, and differs only beside the insult.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ BEGINNINGS = (4, 6, 8)
 SAMPLE = 6000
 #: Documents of the sample that a term must be in to get parameters.
 LEAST_DOCUMENTS = 5
-#: Standard errors by which a term's share of the documents must differ between the labels to get parameters.
+#: Standard errors by which a term's share of documents must differ between the labels to get parameters: of all documents, or of those with a term that speaks for label 1.
 LEAST_ERRORS = 3.5
 FACTORS = 4
 FOLDS, HELD_OUT = 3, 1
@@ -84,22 +87,38 @@ def _raw(value: np.ndarray, weights: np.ndarray, factors: np.ndarray, at: np.nda
     return np.add.reduceat(weights[at] * value[at], cuts) + pairs, total
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 100, batch: int = 400, rate: float = 0.05, ridge: float = 2e-5) -> FactorisationMachine:
-    """Fit on distinct buckets of each document by Adam over shuffled batches, from a fixed seed."""
-    rng = np.random.default_rng(7)
-    share = min(max(float(np.mean(labels)) if len(labels) else 0.5, 0.01), 0.99)
-    bias = float(np.log(share / (1 - share)))
+def _errors(documents: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every bucket: in how many documents it is, and by how many standard errors its share is higher under label 1."""
     every = np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.int64)
     spread = np.bincount(every, minlength=BUCKETS)
     toxic = np.bincount(every, weights=np.repeat(labels, [len(d) for d in documents]), minlength=BUCKETS)
     n, n1 = max(len(documents), 2), max(float(labels.sum()), 1.0)
     n0 = max(n - n1, 1.0)
-    error = np.sqrt(np.maximum(spread, 1) / n * (1 - np.minimum(spread, n - 1) / n) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((spread >= LEAST_DOCUMENTS) & (np.abs(toxic / n1 - (spread - toxic) / n0) >= LEAST_ERRORS * error))
+    share = np.minimum(np.maximum(spread, 1), n - 1) / n
+    return spread, (toxic / n1 - (spread - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+
+
+def kept_terms(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The buckets that get parameters: those that differ between the labels, alone or in company."""
+    spread, alone = _errors(documents, labels)
+    kept = (spread >= LEAST_DOCUMENTS) & (np.abs(alone) >= LEAST_ERRORS)
+    speaks = kept & (alone > 0)
+    beside = np.array([speaks[d].any() for d in documents], dtype=bool)
+    near, company = _errors([d for d, b in zip(documents, beside) if b], labels[beside])
+    return np.flatnonzero(kept | ((near >= LEAST_DOCUMENTS) & (np.abs(company) >= LEAST_ERRORS)))
+
+
+def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 60, batch: int = 400, rate: float = 0.05, ridge: float = 2e-5) -> FactorisationMachine:
+    """Fit on distinct buckets of each document by Adam over shuffled batches, from a fixed seed; no ``factors`` leave the linear part."""
+    rng = np.random.default_rng(7)
+    share = min(max(float(np.mean(labels)) if len(labels) else 0.5, 0.01), 0.99)
+    bias = float(np.log(share / (1 - share)))
+    kept = kept_terms(documents, labels)
+    spread = np.bincount(np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
     place = np.full(BUCKETS, -1, dtype=np.int64)
     place[kept] = np.arange(len(kept))
     value = np.log(len(documents) / spread[kept]) / np.log(max(len(documents), 2))
-    params = [np.array([bias]), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))]
+    params = [np.array([bias]), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors))]
     m, v, k = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     inside = [place[d][place[d] >= 0] for d in documents]
     for _ in range(epochs if len(kept) else 0):
@@ -109,14 +128,14 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 100, batc
             some, bare = [i for i in chosen if len(inside[i])], [i for i in chosen if not len(inside[i])]
             lengths = np.array([len(inside[i]) for i in some], dtype=np.int64)
             at, cuts = np.concatenate([*(inside[i] for i in some), np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum(lengths)))[:-1]
-            raw, total = _raw(value, params[1], params[2], at, cuts) if some else (np.zeros(0), np.zeros((0, FACTORS)))
+            raw, total = _raw(value, params[1], params[2], at, cuts) if some else (np.zeros(0), np.zeros((0, factors)))
             gap = 1 / (1 + np.exp(-np.clip(raw + params[0][0], -40, 40))) - labels[some]
             # A document without kept terms has its say on the bias.
             rest = (1 / (1 + np.exp(-np.clip(params[0][0], -40, 40))) - labels[bare]).sum()
             each = np.repeat(gap, lengths) * value[at]
             grads = [np.array([gap.sum() + rest]), np.bincount(at, weights=each, minlength=len(kept)), np.empty_like(params[2])]
             pull = each[:, None] * (np.repeat(total, lengths, axis=0) - params[2][at] * value[at][:, None])
-            for f in range(FACTORS):
+            for f in range(factors):
                 grads[2][:, f] = np.bincount(at, weights=pull[:, f], minlength=len(kept))
             k += 1
             for j, (p, g, a, b) in enumerate(zip(params, grads, m, v)):
