@@ -4,8 +4,9 @@ Texts and licence templates are normalised to lower-case words. The units of a t
 its lines that begin and end with a line sharing a bigram with some template; any other run scores
 less than the run without its outer lines. For each template, so are all runs of words, wherever lines
 break, that begin with a bigram of its head and end with one of its tail (a tenth of it, one bigram at
-least): without these ends, "released under the" alone would be a notice of the Unlicense. A template is compared with a unit only if their numbers of
-bigrams allow the wanted coefficient: with a and b bigrams it is at most 2 min(a, b) / (a + b).
+least): without these ends, "released under the" alone would be a notice of the Unlicense. A template is
+compared with a unit only if their numbers of bigrams allow the wanted coefficient: with a and b
+bigrams it is at most 2 min(a, b) / (a + b).
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ NAMES = {
     "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "BSD-2-Clause"),
     "ISC": ("the ISC License", "ISC"),
     "Unlicense": ("the Unlicense",),
+    "Zlib": ("the zlib License",),
+    "BSL-1.0": ("the Boost Software License, Version 1.0", "BSL-1.0"),
+    "WTFPL": ("the WTFPL",),
     "CC0-1.0": ("CC0 1.0", "the Creative Commons Zero License"),
     "CC-BY-4.0": ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -65,6 +69,24 @@ You should have received a copy of the GNU General Public License along with thi
     "Unlicense": """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
+TEXTS |= {
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
+}
+#: Fixed value: what follows the Unlicense's grant in its whole text.
+UNLICENSE_REST = """
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 #: The third clause, which stands before the disclaimer.
 NO_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", NO_ENDORSEMENT + "THIS SOFTWARE IS PROVIDED BY", 1)
@@ -75,7 +97,7 @@ _WORD = byte_class((48, 57), (97, 122), (128, 255))
 def templates() -> list[tuple[str, str]]:
     """(licence, text) of all notices and licence texts, those with one bigram at least."""
     notices = [(name, f"{verb} {called}") for name, calls in NAMES.items() for called in calls for verb in VERBS]
-    return notices + list(TEXTS.items())
+    return notices + list(TEXTS.items()) + [("Unlicense", TEXTS["Unlicense"] + UNLICENSE_REST)]
 
 
 def normalise(data: bytes) -> bytes:
