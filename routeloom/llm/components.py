@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import discard, settle
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,26 +25,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels: DataFrame | None = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = settle(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root")), "pointers")
-        over = step.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        nearest = settle(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root")), "pointers")
+        over = nearest.select(F.col("node").alias("mid"), F.col("root").alias("top"))
         paired = F.when(F.col("top") == F.col("node"), F.least("node", "root")).otherwise(F.col("root"))
-        step = settle(step.join(over, step["root"] == over["mid"]).select("node", paired.alias("root")), "pointers")
+        written = settle(nearest.join(over, nearest["root"] == over["mid"]).select("node", paired.alias("root")), "pointers")
+        discard(nearest)
         while True:
+            step = written.select("node", "root")
             over = step.select(F.col("node").alias("mid"), F.col("root").alias("top"))
             jumped = settle(step.join(over, step["root"] == over["mid"]).select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "pointers")
-            step = jumped.select("node", "root")
+            discard(written)
+            written = jumped
             if jumped.where("moved").isEmpty():
                 break
+        step = written.select("node", "root")
         if labels is None:
-            labels = step
+            labels = written
         else:
             over = step.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-            labels = labels.join(over, labels["root"] == over["mid"], "left").select("node", F.coalesce("top", "root").alias("root"))
-            labels = settle(labels, "labels")
+            moved = labels.join(over, labels["root"] == over["mid"], "left").select("node", F.coalesce("top", "root").alias("root"))
+            last, labels = labels, settle(moved, "labels")
+            discard(last)
         to_u = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         to_v = step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        live = live.join(to_u, "u").join(to_v, "v").where("ru <> rv")
-        live = settle(live.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct(), "edges")
+        joined = live.join(to_u, "u").join(to_v, "v").where("ru <> rv")
+        last, live = live, settle(joined.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct(), "edges")
+        discard(last, *([] if labels is written else [written]))
     if labels is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return labels
+    return labels.select("node", "root")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import discard, settle
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics by the first pattern that a text matches; the patterns read alike in Java and RE2. The rest is "prose".
@@ -86,7 +86,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             factors = sums.select(name, F.when(F.col("now") > 0, F.coalesce(F.col("target") / F.col("now"), F.lit(1.0))).otherwise(1.0).alias("factor"))
             turned = fitted.join(factors, name).withColumn("weight", F.col("weight") * F.col("factor"))
             turned = turned.observe(moved, F.max(F.abs(F.col("factor") - 1)).alias("most")).drop("factor")
-            fitted = settle(turned, "raked")
+            last, fitted = fitted, settle(turned, "raked")
+            discard(last)
             most = max(most, moved.get["most"] or 0.0)
         if most <= tolerance:
             break
