@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .sieve import Filter
+from .sieve import Filter, dealt_join
 from .storage import new_path, settle
 
 #: Fixed value: what is deleted before texts are compared.
@@ -69,7 +69,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     known = Filter.of(hits, seen.get["hits"], "digest")
     found = known.admits(runs, F.col("digest"))
     alone = found.where("NOT __maybe").select("id", "digest", _best().alias("best"), F.lit(1).cast("long").alias("n"))
-    met = found.where("__maybe").join(hits, "digest", "left").select("id", "digest", F.coalesce("best", _best()).alias("best"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    met = dealt_join(found.where("__maybe").drop("__maybe"), hits.withColumn("group", F.col("n")), "digest", F.col("id"), "left")
+    met = met.select("id", "digest", F.coalesce("best", _best()).alias("best"), F.coalesce("group", F.lit(1)).cast("long").alias("n"))
     clashing = settle(_clashing(docs, doc_id, text, known), "digest-clashes")
     if not clashing.isEmpty():
         met = met.join(clashing, "digest", "left_anti").unionByName(_by_bytes(docs, doc_id, text, clashing))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .sieve import Filter
+from .sieve import Filter, dealt_join
 from .storage import settle
 from .textbatch import bounded_batches, chunks, pick
 
@@ -231,13 +231,13 @@ def similar_fingerprints(prints: DataFrame, limit: int = 2) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str, limit: int) -> DataFrame:
     """(id, fp, component_id, root) of every row; root is the smallest fingerprint of the component."""
     prints = settle(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(similar_fingerprints(distinct.select("fp"), limit))
-    held = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    held = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     held = settle(held, "rooted")
     smallest = held.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = settle(held.join(smallest, "root").select("fp", "component_id", "root"), "component-of-fingerprint")
-    return prints.join(of_print, "fp").select("id", "fp", "component_id", "root")
+    of_print = settle(held.join(smallest, "root").select("fp", "component_id", "root", "n"), "component-of-fingerprint")
+    return dealt_join(prints, of_print, "fp", F.col("id")).select("id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = 2) -> DataFrame:

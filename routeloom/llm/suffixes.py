@@ -3,10 +3,12 @@
 Only suffixes at minimisers are kept: of every run of consecutive word grams, the position of the
 gram with the smallest hash. A passage of LENGTH words or more contains a minimiser at the same place
 in all its copies, so comparing these suffixes finds every repeat. Suffixes whose first gram occurs
-once are dropped after a count; the others meet by that gram. There they are sorted and neighbours
-compared, once for each way in which the required length can lie left and right of the minimiser;
-equal neighbours extend the match as far as those ways reach. A word is repeated if it is inside LENGTH
-consecutive words that two documents have, and this finds exactly those words.
+once are dropped after a count; the others are sorted as suffixes, word by word, and the common
+length of neighbours is measured. Suffixes with enough words in common are one stretch of the sorted
+order; there the match is extended to the left, word by word, and it counts where left and right come
+to LENGTH together. Around one minimiser no more than REACH words on either side can matter: every
+passage beyond that has further minimisers, whose matches overlap. A word is repeated if it is inside
+LENGTH consecutive words that two documents have, and this finds exactly those words.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .sieve import Filter, dealt_join
 from .storage import settle
 from .textbatch import Chunk, ascii_lower, bounded_batches, byte_class, chunks, mix, pick, span_hash, spans
 
@@ -28,8 +31,8 @@ LENGTH = 50
 GRAM = 16
 #: Words of context on either side of a gram that a passage may reach into.
 REACH = LENGTH - GRAM
-#: Suffixes that may meet by one gram in one task; grams with more are counted by their contexts instead.
-LIMIT = 50_000
+#: Suffixes that may meet by one gram in one task; grams with more are split by all their contexts instead.
+LIMIT = 2_000
 
 _WORD = ~byte_class((9, 13), (32, 32))
 _LOWER = ascii_lower()
@@ -110,7 +113,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(words: np.ndarray, offsets: np.ndarray, at: np.ndarray, grams: np.ndarray, row: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    short = (words >> np.uint64(32)).astype(np.uint32)
+    # High bytes first, so that bytes sort as the words' hashes do.
+    ordered = words.astype(">u8")
     n_before, n_after = np.minimum(at - offsets[row], REACH), np.minimum(offsets[row + 1] - at - GRAM, REACH)
     whole = span_hash(words, at - n_before, at + GRAM + n_after)
     key = mix(whole + (n_before * 64 + n_after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -118,40 +122,55 @@ def _context_rows(words: np.ndarray, offsets: np.ndarray, at: np.ndarray, grams:
     cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
     first = order[cuts]
     local = (at - offsets[row]).astype(np.int32)
-    before = [short[a - n : a][::-1].tobytes() for a, n in zip(at[first].tolist(), n_before[first].tolist())]
-    after = [short[a : a + n].tobytes() for a, n in zip((at[first] + GRAM).tolist(), n_after[first].tolist())]
+    before = [ordered[a - n : a][::-1].tobytes() for a, n in zip(at[first].tolist(), n_before[first].tolist())]
+    after = [ordered[a : a + n].tobytes() for a, n in zip((at[first] + GRAM).tolist(), n_after[first].tolist())]
     places = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), pa.array(local[order]))
     return pa.record_batch([pa.array(grams[first].view(np.int64)), pa.array(ids[row[first]]), places, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["gram", "id", "places", "before", "after"])
 
 
 def _side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Running hashes over 0, 1, ... REACH words of a side, and how many words the side has."""
-    size = np.asarray(pa.compute.binary_length(column)) // 4
+    """The words of a side in rows of REACH, and how many words each side has."""
+    size = np.asarray(pa.compute.binary_length(column)) // 8
     words = np.zeros((len(column), REACH), dtype=np.uint64)
-    words[np.arange(REACH) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32)
-    out = np.zeros((len(column), REACH + 1), dtype=np.uint64)
+    words[np.arange(REACH) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), dtype=">u8")
+    return words, size
+
+
+def _running(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... REACH words of every row."""
+    out = np.zeros((len(words), REACH + 1), dtype=np.uint64)
     for j in range(REACH):
         out[:, j + 1] = mix(out[:, j] * np.uint64(0x9E3779B97F4A7C15) + words[:, j] + np.uint64(1))
-    return out, size
+    return out
 
 
-def _ways(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every number of words left of the gram: the rows that have enough words, and the hash of all LENGTH words."""
-    left, n_left = _side(rows.column("before").combine_chunks())
-    right, n_right = _side(rows.column("after").combine_chunks())
-    grams = mix(rows.column("gram").to_numpy().view(np.uint64))
-    for o in range(REACH + 1):
-        some = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
-        yield o, some, mix(grams[some] + mix(left[some, o] + np.uint64(o + 1)) + np.uint64(3) * mix(right[some, REACH - o]))
+def _common(words: np.ndarray, size: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """For each suffix in sorted order, the words after the gram that it has in common with the one before; -1 for another gram."""
+    out = np.full(len(words), -1, dtype=np.int64)
+    if len(words) > 1:
+        differ = words[1:] != words[:-1]
+        length = np.where(differ.any(axis=1), differ.argmax(axis=1), REACH)
+        out[1:] = np.where(grams[1:] == grams[:-1], np.minimum(length, np.minimum(size[1:], size[:-1])), -1)
+    return out
 
 
 def _spans_of(rows: pa.Table) -> pa.RecordBatch | None:
-    """(id, start, stop, first_id) of what rows that meet by their grams share with rows of other documents."""
-    ids = rows.column("id").to_numpy()
+    """(id, start, stop, first_id) of what sorted suffixes share with suffixes of other documents."""
+    ids, grams = rows.column("id").to_numpy(), rows.column("gram").to_numpy()
+    common = _common(*_side(rows.column("after").combine_chunks()), grams)
+    # A suffix that differs from both neighbours right after its gram can only match to the left.
+    words, n_left = _side(rows.column("before").combine_chunks())
+    left = _running(words)
     least, most, first = np.full(len(ids), REACH + 1), np.full(len(ids), -1), ids.copy()
-    for o, some, hashes in _ways(rows):
+    for o in range(REACH + 1):
+        starts = common < REACH - o
+        stretch = np.cumsum(starts)
+        met = ~starts
+        met[:-1] |= ~starts[1:]
+        some = np.flatnonzero(met & (n_left >= o))
         if len(some) < 2:
             continue
+        hashes = mix(left[some, o] + stretch[some].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         order = np.argsort(hashes, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
         sorted_ids = ids[some][order]
@@ -184,7 +203,7 @@ def _merged(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndar
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram in, spans out. A gram's rows may cross batches; at most LIMIT of them meet."""
+    """Suffixes in sorted order in, spans out. A gram's suffixes may cross batches; at most LIMIT of them meet."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -208,10 +227,14 @@ _BLOCK = 4096
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, id, start, stop) for every way of every row."""
+    """(window, id, start, stop) for every way in which LENGTH words lie around a suffix's gram; window is their hash."""
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        for o, some, hashes in _ways(rows):
+        (words, n_right), (before, n_left) = _side(batch.column("after")), _side(batch.column("before"))
+        right, left, grams = _running(words), _running(before), mix(batch.column("gram").to_numpy().view(np.uint64))
+        for o in range(REACH + 1):
+            some = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
+            hashes = mix(grams[some] + mix(left[some, o] + np.uint64(o + 1)) + np.uint64(3) * mix(right[some, REACH - o]))
             places = rows.column("places").combine_chunks().take(pa.array(some))
             own = np.repeat(np.arange(len(some)), np.asarray(pa.compute.list_value_length(places)))
             at = np.asarray(pa.compute.list_flatten(places)).astype(np.int64)
@@ -229,16 +252,23 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     matched by a hash of all their words, so only one of them is searched. No table of documents,
     or one without repeats, gives no rows. Other columns are ignored.
 
-    Grams that more than ``limit`` documents share never meet in one task: each of their windows is
-    counted by itself, in sums that start before the shuffle.
+    Suffixes of grams that more than ``limit`` documents share never meet in one task: they are split
+    by every window of LENGTH words around the gram, and windows are counted in sums that start before
+    the shuffle. The result is the same at any limit.
     """
     bounded_batches(docs.sparkSession)
     rows = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
     sampled = settle(rows.mapInArrow(_sampled, "id long, n_words long, print binary, grams array<bigint>"), "suffixes")
-    same = sampled.groupBy("print").agg(F.min("id").alias("first_id"), (F.min("id") != F.max("id")).alias("copied"))
-    sampled = sampled.join(same, "print")
-    whole = sampled.where(F.col("copied") & (F.col("n_words") >= LENGTH)).select("id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), "first_id")
-    grams = sampled.where(F.col("id") == F.col("first_id")).select("id", F.explode("grams").alias("gram"))
+    # Texts shorter than a passage have no suffixes. Only texts of which there may be copies are dealt by their hashes.
+    sampled = sampled.where(F.col("n_words") >= LENGTH)
+    seen = Observation()
+    same = sampled.groupBy("print").agg(F.min("id").alias("first_id"), F.max("id").alias("high"), F.count("*").alias("n")).where("first_id <> high").select("print", "first_id", "n")
+    same = settle(same.observe(seen, F.count("*").alias("n")), "copied-texts")
+    sampled = Filter.of(same, seen.get["n"], "print").admits(sampled, F.col("print"))
+    met = dealt_join(sampled.where("__maybe").drop("__maybe"), same, "print", F.col("id"), "left")
+    whole = met.where("first_id IS NOT NULL").select("id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), "first_id")
+    searched = sampled.where("NOT __maybe").select("id", "grams").unionByName(met.where("first_id IS NULL OR id = first_id").select("id", "grams"))
+    grams = settle(searched.select("id", F.explode("grams").alias("gram")), "grams")
     shared = grams.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > limit).alias("hot"))
     shared = settle(shared, "shared-grams")
     wanted = settle(grams.join(shared, "gram").groupBy("id", "hot").agg(F.collect_set("gram").alias("wanted")), "wanted-suffixes")
@@ -248,11 +278,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return rows.join(of, "id").select("id", "text", "wanted").mapInArrow(_contexts, "gram long, id long, places array<int>, before binary, after binary")
 
     columns = "id long, start long, stop long, first_id long"
-    found = contexts(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_met, columns)
+    found = contexts(False).repartition("gram").sortWithinPartitions("gram", "after").mapInArrow(_met, columns)
     if not shared.where("hot").isEmpty():
         windows = settle(contexts(True).mapInArrow(_counted, "window long, id long, start long, stop long"), "hot-windows")
-        twice = windows.groupBy("window").agg(F.min("id").alias("first_id"), F.max("id").alias("high")).where("first_id <> high").select("window", "first_id")
-        found = found.unionByName(windows.join(twice, "window").select("id", "start", "stop", "first_id"))
+        twice = windows.groupBy("window").agg(F.min("id").alias("first_id"), F.max("id").alias("high"), F.count("*").alias("n")).where("first_id <> high")
+        twice = settle(twice.select("window", "first_id", "n"), "shared-windows")
+        found = found.unionByName(dealt_join(windows, twice, "window", F.col("id")).select("id", "start", "stop", "first_id"))
     found = settle(found, "shared-spans")
     # A copy shares with others whatever the copy that was searched shares with them.
     best = found.groupBy(F.col("id").alias("first_id")).agg(F.min("first_id").alias("best"))
