@@ -287,4 +287,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return pd.Series([t if t is None else one(t, s) for t, s in zip(texts, all_spans)], dtype=object)
 
-    return read.select(*[cut(read[c], read["__spans"]).alias(c) if c == text else read[c] for c in docs.columns])
+    # Only texts with a long span are sent to be cut.
+    spans = read["__spans"]
+    long = F.size(F.filter(spans, lambda end, at: (at % 2 == 1) & (end - F.get(spans, at - 1) > max_words))) > 0
+    return read.select(*[F.coalesce(cut(F.when(long, read[c]), spans), read[c]).alias(c) if c == text else read[c] for c in docs.columns])
