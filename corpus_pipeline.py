@@ -1,65 +1,8 @@
-"""The corpus pipeline: five stages over the documents table, each written and read again before the next.
+"""The corpus pipeline: documents through toxicity, exact and near dedup, decontamination and mixing.
 
-Every stage takes (spark, docs, sf_dir) and returns documents in their own columns; the last adds
-mix_topic, mix_weight and mix_probability. The rows of the first stage depend on a fitted model, so
-there is no SQL for run(); tests/llm compares every stage with a plain version of itself.
+Its stages are in routeloom.llm.pipeline; this module names them where they are looked for.
 """
 
-from __future__ import annotations
+from routeloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from routeloom.llm import decontamination, exact, mixing, simhash, toxicity
-from routeloom.llm.storage import settle
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores at its threshold or above go."""
-    return toxicity.reject_toxic(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for blanks, the longest stays."""
-    return exact.drop_exact_duplicates(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest identifier stays."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in windows of benchmark items go."""
-    return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics come near their target weights."""
-    return mixing.mix(docs)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("near dedup", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-]
-
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents table of ``sf_dir``."""
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
