@@ -7,16 +7,14 @@ one statement of what is valid; records are rows of tables, and only settings ar
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import MISSING, dataclass, field, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space at the ends of a text, as Python strips it; it also holds the four separators below the blank.
-SPACE = r"[\s\x1c-\x1f]"
-_BLANK = re.compile(rf"{SPACE}*\Z")
+#: Fixed value: white space at the ends of a text, as Python strips it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _LARGEST = 1.7976931348623157e308
 
 
@@ -31,7 +29,7 @@ class Domain:
 
     def holds(self, value: object) -> bool:
         if self.kind == "text":
-            return isinstance(value, str) and not _BLANK.match(value)
+            return isinstance(value, str) and bool(value.strip(SPACES))
         if self.kind == "flag":
             return isinstance(value, bool)
         if isinstance(value, bool) or not isinstance(value, int if self.kind == "whole" else (int, float)):
@@ -47,7 +45,7 @@ class Domain:
     def of_column(self, value: Column) -> Column:
         """Whether a column's value is in the domain; null never is."""
         if self.kind == "text":
-            return F.coalesce(F.length(F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+$", "")) > 0, F.lit(False))
+            return F.coalesce(F.length(F.btrim(value, F.lit(SPACES))) > 0, F.lit(False))
         number = value.cast("double")
         least = number > F.lit(float(self.low)) if self.above else number >= F.lit(float(self.low))
         return F.coalesce(least & (number <= F.lit(float(self.high))) & ~F.isnan(number), F.lit(False))

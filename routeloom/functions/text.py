@@ -5,19 +5,25 @@ Java's word boundary and white space differ from Python's, so both are spelled o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from routeloom.contracts import SPACE
+from routeloom.contracts import SPACES
 
 #: What marks the kinds of request, segments and digits.
 WORD = r"[\p{L}\p{N}_]"
 CODE = rf"(?iu)```|(?<!{WORD})(?:def|class|import|return|SELECT)(?!{WORD})|代码|编程|Python|SQL"
+#: One of these is in whatever CODE matches.
+CODE_WORDS = ("```", "def", "class", "import", "return", "select", "代码", "编程", "python", "sql")
 MATH = r"[=+*/^∑∫√≤≥×÷]|\\(?:frac|sum|sqrt)"
 MATH_WORDS = r"计算|求解|证明|概率|方程|几何|数列"
 TRANSLATION = r"(?iu)翻译|译成|译为|translate"
 SUMMARY = r"(?iu)摘要|总结|概括|提炼|summari"
 SEGMENT = r"[㐀-鿿]|[A-Za-z_]+|\p{Nd}+(?:\.\p{Nd}+)?"
+#: The same for texts that are ASCII.
+ASCII_SEGMENT = r"[A-Za-z_]+|[0-9]+(?:\.[0-9]+)?"
 DIGIT = (
     r"[\p{Nd}\x{00B2}-\x{00B3}\x{00B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}"
     r"\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
@@ -26,7 +32,7 @@ DIGIT = (
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends, as Python strips it."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -34,8 +40,14 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def is_code(text: Column) -> Column:
-    return text.rlike(CODE)
+    """Whether the pattern occurs; it is only tried on texts that have one of its words in some case, with what folds to ASCII."""
+    folded = F.lower(F.when(is_ascii(text), text).otherwise(F.translate(text, "ſıİ\u212a", "siik")))
+    return reduce(lambda a, b: a | b, [folded.contains(word) for word in CODE_WORDS]) & text.rlike(CODE)
 
 
 def is_math(text: Column) -> Column:
@@ -55,13 +67,15 @@ STRUCTURAL = ("log_length", "log_segments", "has_code", "has_digit", "has_math")
 def structural_features(text: Column) -> dict[str, Column]:
     """The five structural features of the stripped text, as doubles."""
     t = strip(text)
-    values = (F.log1p(F.length(t)), F.log1p(F.regexp_count(t, F.lit(SEGMENT))), is_code(t), t.rlike(DIGIT), is_math(t))
+    segments = F.when(is_ascii(t), F.regexp_count(t, F.lit(ASCII_SEGMENT))).otherwise(F.regexp_count(t, F.lit(SEGMENT)))
+    digit = F.when(is_ascii(t), t.rlike("[0-9]")).otherwise(t.rlike(DIGIT))
+    values = (F.log1p(F.length(t)), F.log1p(segments), is_code(t), digit, is_math(t))
     return {name: value.cast("double") for name, value in zip(STRUCTURAL, values)}
 
 
 def normalised(text: Column) -> Column:
     """Stripped and lower-cased, with each run of two or more white-space characters made one blank."""
-    return F.regexp_replace(F.lower(strip(text)), rf"(?U){SPACE}{{2,}}", " ")
+    return F.regexp_replace(F.lower(strip(text)), f"[{SPACES}]{{2,}}", " ")
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:

@@ -23,7 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+    """White space as single blanks; a blank that stands alone is what it should be, so it isn't replaced."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r]{2,}|[\t\n\r]", " "))
 
 
 def requests(docs: DataFrame) -> DataFrame:
