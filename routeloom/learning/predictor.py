@@ -19,6 +19,8 @@ _FEATURES = "__features"
 #: Models whose Spark jobs run at the same time, and the relative gain at which a fit has converged.
 AT_A_TIME = 4
 TOLERANCE = 1e-4
+#: Training rows of one task, at least: an iteration is a Spark job, and over many small tasks it is mostly overhead.
+TASK_ROWS = 5_000
 
 
 class NotConverged(ValueError):
@@ -71,7 +73,8 @@ def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureCon
     # One row for each request text with its vector, then K labels a row: vectors are made once, not K times.
     labelled = own.select("query", "model_id", passes(training.quality_score_threshold).cast("double").alias("label"))
     vectors = fitted.transform(labelled.select("query").distinct(), output=_FEATURES).persist()
-    rows = labelled.join(vectors, "query").select("model_id", "label", _FEATURES).persist()
+    parts = max(1, sum(counts[m]["observation_count"] for m in ids) // TASK_ROWS)
+    rows = labelled.join(vectors, "query").select("model_id", "label", _FEATURES).coalesce(parts).persist()
     try:
 
         def train(m: str) -> LogisticRegressionModel:
