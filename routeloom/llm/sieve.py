@@ -64,4 +64,5 @@ def dealt_join(rows: DataFrame, table: DataFrame, key: str, spread: Column, how:
     dealt = known.admits(rows, F.col(key)).withColumn("__part", F.when(F.col("__maybe"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("__maybe")
     every = F.when(F.col("__maybe"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     copied = known.admits(table.drop("n"), F.col(key)).withColumn("__part", F.explode(every)).drop("__maybe")
-    return dealt.join(copied, [key, "__part"], how).drop("__part")
+    # The copies have no size bound, so they are never broadcast, and parts stay apart.
+    return dealt.join(copied.hint("merge"), [key, "__part"], how).drop("__part")
