@@ -31,6 +31,12 @@ def vocabulary(texts: DataFrame, config: FeatureConfig, text: str = "query") ->
     return term_totals(texts, config, text).orderBy(F.desc("total"), "term").limit(config.max_features)
 
 
+def structural_spread(texts: DataFrame, text: str = "query") -> DataFrame:
+    """One row: the number of texts, and the population standard deviation of each structural feature."""
+    own = texts.select(*[c.alias(n) for n, c in structural_features(F.col(text)).items()])
+    return own.agg(F.count("*").alias("n"), *[F.stddev_pop(n).alias(n) for n in STRUCTURAL])
+
+
 def idf(n_texts: int, documents: int) -> float:
     import math
 
@@ -82,7 +88,7 @@ def fit_features(rows: DataFrame, config: FeatureConfig = FeatureConfig(), text:
         raise ValueError("query is blank")
     texts = rows.select(strip(F.col(text)).alias("query")).distinct().persist()
     try:
-        spread = texts.select(*[c.alias(n) for n, c in structural_features(F.col("query")).items()]).agg(F.count("*").alias("n"), *[F.stddev_pop(n).alias(n) for n in STRUCTURAL]).first()
+        spread = structural_spread(texts).first()
         if not spread["n"]:
             raise ValueError("no training queries")
         # A feature that never varies keeps its scale.

@@ -8,10 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.contracts import FeatureConfig, RoutingPolicy, TrainingConfig
+from routeloom.contracts import FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
 from routeloom.functions import text as tx
 from routeloom.learning.artifact import decide
-from routeloom.learning.features import fit_features, vocabulary
+from routeloom.learning.features import fit_features, structural_spread, vocabulary
 from routeloom.learning.predictor import fit_predictor
 from routeloom.operators import evaluation, splitting, statistics, validation
 from routeloom.operators.baselines import Baselines, of_decision
@@ -49,6 +49,24 @@ def violations_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.field_violations(rows)
 
 
+def violations_repeated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that share an id once the ids of two models' calls are no longer told apart."""
+    name = F.when(F.col("model_id").isin("model-a", "model-b"), "model-a").otherwise(F.col("model_id"))
+    rows = observations(documents(spark, sf_dir)).where(F.col("quality_score") >= 0.5)
+    return validation.duplicate_keys(rows.withColumn("call_id", F.concat_ws("--", F.col("query_id").cast("string"), name)))
+
+
+def violations_query_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that have several task types once bad answers are filed under another one."""
+    task = F.when(F.col("quality_score") < 0.1, "unknown").otherwise(F.col("task_type"))
+    rows = observations(documents(spark, sf_dir)).withColumns({"task_type": task, "query": F.col("query_id").cast("string")})
+    return validation.inconsistent_identities(rows)
+
+
+def violations_unknown_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.unknown_models(observations(documents(spark, sf_dir)), MODEL_IDS[:3])
+
+
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that are missing if only answers of some quality had been kept."""
     return validation.coverage_gaps(observations(documents(spark, sf_dir)).where(F.col("quality_score") >= 0.25), MODEL_IDS)
@@ -84,6 +102,11 @@ def structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_texts(spark, sf_dir).select("key", *[c.alias(n) for n, c in own.items()]), "log_length", "log_segments")
 
 
+def structural_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By what each structural feature is divided."""
+    return _rounded(structural_spread(request_texts(documents(spark, sf_dir))), *tx.STRUCTURAL)
+
+
 def char_ngram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = request_texts(documents(spark, sf_dir))
     return vocabulary(texts.repartition(spark.sparkContext.defaultParallelism), FeatureConfig())
@@ -127,6 +150,12 @@ def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_decided(spark, sf_dir, RoutingPolicy(0.999)))
 
 
+def route_disabled_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the models are disabled; their estimates are there and aren't used."""
+    candidates = tuple(ModelCandidate(m, m not in ("model-b", "model-e")) for m in MODEL_IDS)
+    return _shown(route_long(_estimates(documents(spark, sf_dir)), candidates, RoutingPolicy(0.6, TOLERANCE)))
+
+
 def route_without_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision as a projection: the five estimates of a request are an array in its row."""
     docs = documents(spark, sf_dir)
@@ -184,6 +213,13 @@ def logloss_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.log_loss_and_brier(rows, "model_id").unionByName(pooled), "log_loss", "brier_score")
 
 
+def labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations joined to the predictions that were made for some of them."""
+    rows = observations(documents(spark, sf_dir))
+    made = rows.where(F.col("p") >= 0.2).select("query_id", "model_id", F.col("p").alias("probability"))
+    return _rounded(evaluation.labelled_predictions(rows, made, THRESHOLD), "probability")
+
+
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.latency_percentiles(observations(documents(spark, sf_dir)), "latency_ms", "model_id"), "mean", "p50", "p95")
 
@@ -209,8 +245,8 @@ def learned_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        history_observations, violations_text_identity, violations_fields, coverage_gaps, split_by_group_hash, split_summary, model_statistics, label_counts, task_hint, structural_features, char_ngram_vocab, tfidf_weights,
-        route_decisions, route_cost_band, route_fallback, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, latency_percentiles, learned_pass_probability, learned_route,
+        history_observations, violations_text_identity, violations_fields, violations_repeated_calls, violations_query_identity, violations_unknown_models, coverage_gaps, split_by_group_hash, split_summary, model_statistics, label_counts, task_hint, structural_features, structural_scale, char_ngram_vocab, tfidf_weights,
+        route_decisions, route_cost_band, route_fallback, route_disabled_candidate, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, labelled_predictions, latency_percentiles, learned_pass_probability, learned_route,
     )
 } | {"baseline_strongest": _baseline("strongest"), "baseline_lowest_cost": _baseline("lowest_cost"), "baseline_rule": _baseline("rule_based"), "baseline_global": _baseline("global_historical")}
 
@@ -297,6 +333,11 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS query FROM documents) WHERE length(query) > 0 GROUP BY query HAVING count(DISTINCT doc_id) > 1""",
     "violations_fields": _with(SQL) + """ SELECT 'field' AS rule, call_id AS key, concat_ws(',', CASE WHEN quality_score + CAST(0.01 AS DOUBLE) > 1 THEN 'quality_score' END, CASE WHEN cost - 10 < 0 THEN 'cost' END) AS detail
         FROM o WHERE quality_score + CAST(0.01 AS DOUBLE) > 1 OR cost - 10 < 0""",
+    "violations_repeated_calls": _with(SQL) + """ SELECT 'duplicate call_id' AS rule, k AS key, CAST(count(*) AS VARCHAR) AS detail
+        FROM (SELECT CAST(query_id AS VARCHAR) || '--' || CASE WHEN model_id IN ('model-a', 'model-b') THEN 'model-a' ELSE model_id END AS k FROM o WHERE quality_score >= CAST(0.5 AS DOUBLE)) GROUP BY k HAVING count(*) > 1""",
+    "violations_query_identity": _with(SQL) + """ SELECT 'query identity' AS rule, CAST(query_id AS VARCHAR) AS key, CAST(count(DISTINCT CASE WHEN quality_score < CAST(0.1 AS DOUBLE) THEN 'unknown' ELSE task_type END) AS VARCHAR) AS detail
+        FROM o GROUP BY query_id HAVING count(DISTINCT CASE WHEN quality_score < CAST(0.1 AS DOUBLE) THEN 'unknown' ELSE task_type END) > 1""",
+    "violations_unknown_models": _with(SQL) + " SELECT 'unknown model' AS rule, model_id AS key, CAST(count(*) AS VARCHAR) AS detail FROM o WHERE model_id NOT IN ('model-a', 'model-b', 'model-c') GROUP BY model_id",
     "coverage_gaps": _with(SQL) + " SELECT query_id, model_id, CAST(0 AS BIGINT) AS n FROM o WHERE quality_score < CAST(0.25 AS DOUBLE) AND query_id IN (SELECT query_id FROM o WHERE quality_score >= CAST(0.25 AS DOUBLE))",
     "split_by_group_hash": _with(SQL, _SPLIT) + " SELECT group_id, split FROM s",
     "split_summary": _with(SQL, _SPLIT) + """, j AS (SELECT split, group_id, query_id, task_type FROM o JOIN s USING (group_id)),
@@ -308,12 +349,17 @@ ORACLES: dict[str, str] = {
     "structural_features": _with(_TEXTS) + rf""" SELECT key, round(ln(1 + CAST(length(t) AS DOUBLE)), 6) AS log_length, round(ln(1 + CAST(len(regexp_extract_all(t, '[㐀-鿿]|[A-Za-z_]+|\p{{Nd}}+(\.\p{{Nd}}+)?')) AS DOUBLE)), 6) AS log_segments,
         {_FEWEST.format(f"regexp_matches(t, '{_CODE}')")} AS has_code, {_FEWEST.format(f"regexp_matches(t, '{tx.DIGIT}')")} AS has_digit, {_FEWEST.format(f"regexp_matches(t, '{_MATH}')")} AS has_math
         FROM (SELECT key, regexp_replace(query, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g') AS t FROM x)""",
+    "structural_scale": _with(SQL) + rf""" SELECT count(*) AS n, round(stddev_pop(ln(1 + CAST(length(query) AS DOUBLE))), 6) AS log_length,
+        round(stddev_pop(ln(1 + CAST(len(regexp_extract_all(query, '[㐀-鿿]|[A-Za-z_]+|\p{{Nd}}+(\.\p{{Nd}}+)?')) AS DOUBLE))), 6) AS log_segments,
+        round(stddev_pop({_FEWEST.format(f"regexp_matches(query, '{_CODE}')")}), 6) AS has_code, round(stddev_pop({_FEWEST.format(f"regexp_matches(query, '{tx.DIGIT}')")}), 6) AS has_digit,
+        round(stddev_pop({_FEWEST.format(f"regexp_matches(query, '{_MATH}')")}), 6) AS has_math FROM q""",
     "char_ngram_vocab": _with(SQL, _CHARS) + " SELECT term, total, documents FROM vocab",
     "tfidf_weights": _with(SQL, _CHARS) + """, weighed AS (SELECT query_id, n * (ln((1 + (SELECT count(*) FROM t)) / CAST(1 + documents AS DOUBLE)) + 1) AS x FROM per JOIN vocab USING (term))
         SELECT t.query_id, count(x) AS n_terms, coalesce(round(sum(x) / sqrt(sum(x * x)), 4), 0) AS sum_weights FROM t LEFT JOIN weighed USING (query_id) GROUP BY t.query_id""",
     "route_decisions": _with(SQL, _STATS, _decision_sql(0.8, 0)) + _SHOWN,
     "route_cost_band": _with(SQL, _STATS, _decision_sql(0.8, TOLERANCE)) + _SHOWN,
     "route_fallback": _with(SQL, _STATS, _decision_sql(0.999, 0)) + _SHOWN,
+    "route_disabled_candidate": _with(SQL, _STATS, _decision_sql(0.6, TOLERANCE, "SELECT query_id, model_id, p, mean_cost AS c, mean_latency_ms AS l FROM o JOIN stats USING (model_id) WHERE model_id NOT IN ('model-b', 'model-e')")) + _SHOWN,
     "route_without_shuffle": _with(SQL, _STATS, _decision_sql(0.8, TOLERANCE)) + _SHOWN,
     "policy_outcomes": _OUTCOMES + " SELECT query_id, task_type, selected_model, fallback_used, round(predicted_pass_probability, 6) AS predicted_pass_probability, decision_reason, round(observed_quality_score, 6) AS observed_quality_score, round(observed_cost, 6) AS observed_cost, round(observed_latency_ms, 6) AS observed_latency_ms, quality_pass FROM seen",
     "policy_metrics": _OUTCOMES + " SELECT " + _METRICS_SQL,
@@ -323,6 +369,7 @@ ORACLES: dict[str, str] = {
         SELECT a.model_id, a.bin, round(a.bin / CAST(5 AS DOUBLE), 6) AS lower_inclusive, round((a.bin + 1) / CAST(5 AS DOUBLE), 6) AS upper, a.bin = 4 AS upper_inclusive, coalesce(n, 0) AS count,
             round(mean_p, 6) AS mean_predicted_probability, round(rate, 6) AS observed_pass_rate FROM a LEFT JOIN b USING (model_id, bin)""",
     "logloss_brier": _with(SQL) + f" SELECT model_id, {_LOSS} GROUP BY model_id UNION ALL SELECT '(all)', {_LOSS}",
+    "labelled_predictions": _with(SQL) + " SELECT query_id, model_id, CAST(CASE WHEN quality_score >= CAST(0.8 AS DOUBLE) THEN 1 ELSE 0 END AS INTEGER) AS label, round(p, 6) AS probability FROM o WHERE p >= CAST(0.2 AS DOUBLE)",
     "latency_percentiles": _with(SQL) + " SELECT model_id, count(*) AS observation_count, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM o GROUP BY model_id",
     "baseline_strongest": _baseline_sql("(SELECT model_id FROM stats ORDER BY mean_quality DESC, model_id LIMIT 1)"),
     "baseline_lowest_cost": _baseline_sql("(SELECT model_id FROM stats ORDER BY mean_cost, model_id LIMIT 1)"),
