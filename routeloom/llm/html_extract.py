@@ -190,7 +190,9 @@ def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
                     element.in_main |= "main" in roles
                     names = f"{given.get('class', '')} {given.get('id', '')}".strip()
                     element.key = f"{name} {names}"
-                    element.marked = name not in ("html", "body", "main") and _telling(names, not up.in_article and name != "article")
+                    telling = name not in ("html", "body", "main") and _telling(names, not up.in_article and name != "article")
+                    # Part of a line holds no page's text, so its name is believed at once.
+                    element.marked, element.dropped = telling and name in BLOCK, element.dropped or (telling and name not in BLOCK)
                 # A header is an article's own only inside of it.
                 element.dropped |= name == "header" and not (up.in_article or up.in_main)
             stack.append(element)

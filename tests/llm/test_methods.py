@@ -144,7 +144,7 @@ def test_recurring_subtrees_by_brute_force(spark):
     [
         "<div class='long-form'><p>Article</p></div>", "<article class='post social-sciences'>Article</article>", "<div id='content' class='no-sidebar layout'>Article</div>",
         "<div class='page-with-comments'>Article</div>", "<p title='the hidden door'>Article</p>", "<div class='sidebar'><p>Article</p></div>",
-        "<p hidden>no</p><p>Article</p>", "<div role=navigation>no</div><div style='display: none'>no</div>Article", "<div class='cookie-banner'>no</div>Article", "<h1>Article</h1><section id=reader-comments>a comment that is much longer</section>",
+        "<p hidden>no</p><p>Article</p>", "<div role=navigation>no</div><div style='display: none'>no</div>Article", "<div class='cookie-banner'>no</div>Article", "<p>Article<span class=ad-box>no</span> <a class='skip' href=x>no</a></p>", "<h1>Article</h1><section id=reader-comments>a comment that is much longer</section>",
     ],
 )
 def test_names_of_elements(page):
