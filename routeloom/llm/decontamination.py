@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import discard, settle
 from .textbatch import bounded_batches, chunks, pick
 
 #: Words in a window, and the share of hit words from which a text is contaminated.
@@ -208,9 +208,13 @@ def _read(rows: DataFrame, benchmark: DataFrame, text: str, window: int, block_w
     none = [F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items")]
     state = rows.select(*rows.columns, *none)
     schema = state.schema
+    held: list[DataFrame] = []
     for k, block in enumerate(_blocks(benchmark, block_words)):
-        # One automaton is in a task at a time: a further block starts from a table.
-        state = settle(state, "decontamination") if k else state
+        if k:
+            # One automaton is in a task at a time: a further block starts from a table, which replaces the last one.
+            state = settle(state, "decontamination")
+            discard(*held)
+            held = [state]
         state = state.mapInArrow(_pass(rows.sparkSession.sparkContext.broadcast(Matcher.of(block, window)), at), schema)
     return state
 
