@@ -175,9 +175,11 @@ def train(features: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_featu
         inside, expected, _ = _forward_backward(model, features, offsets)
         gap = truth - inside
         grads = [np.zeros(shapes[0]), moved - expected, gap[firsts].sum(axis=0)]
-        for label in range(n_labels):
+        # The gaps of a position sum to zero, so the last label's are those of the others with another sign.
+        for label in range(n_labels - 1):
             for column in range(features.shape[1]):
                 grads[0][:, label] += np.bincount(features[:, column], weights=gap[:, label], minlength=n_features)
+        grads[0][:, -1] = -grads[0][:, :-1].sum(axis=1)
         for p, g, a, b in zip(params, grads, m, v):
             g = (g - ridge * p) / len(labels)
             a *= 0.9
