@@ -356,9 +356,9 @@ def test_raking_meets_all_targets(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     targets = mixing.targets_by_power(cells)
     assert sum(r["target"] for r in targets["lang"].collect()) == pytest.approx(sum(r[3] for r in rows))
-    fitted = mixing.rake(cells, targets)
+    fitted = mixing.rake(cells, targets, tolerance=1e-4)
     assert fitted.columns == [*cells.columns, "weight"] and fitted.count() == len(rows)
-    assert max(mixing.residuals(fitted, targets).values()) < 1e-9
+    assert max(mixing.residuals(fitted, targets).values()) < 1e-4
     # After one round only the last dimension's targets are met.
     missed = mixing.residuals(mixing.rake(cells, targets, rounds=1), targets)
-    assert missed["topic"] < 1e-9 < missed["source"]
+    assert missed["topic"] < 1e-9 and missed["source"] > 1e-4
