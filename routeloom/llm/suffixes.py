@@ -75,19 +75,31 @@ def _least(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) ->
     return np.where(first, a, b), np.where(first, at_a, at_b)
 
 
+def _context_keys(words: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A hash for each suffix: equal for those of one row that agree in their grams and all words within REACH of them."""
+    n_before, n_after = np.minimum(at - offsets[row], REACH), np.minimum(offsets[row + 1] - at - GRAM, REACH)
+    whole = span_hash(words, at - n_before, at + GRAM + n_after)
+    return mix(whole + (n_before * 64 + n_after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, print, grams) of every row: the hash of all its words and those of its minimisers' grams."""
+    """(id, n_words, print, grams, contexts) of every row: the hash of all its words, those of its minimisers' grams, and in how many contexts each gram is."""
     for batch in batches:
-        counts, prints, grams = [np.zeros(0, np.int64)], [], []
+        counts, prints, grams, contexts = [np.zeros(0, np.int64)], [], [], []
         for chunk in chunks(batch):
             words, offsets = word_hashes(chunk)
             at, hashes = minimisers(words, offsets)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            first = np.sort(np.unique(_context_keys(words, offsets, at, row), return_index=True)[1])
             counts.append(np.diff(offsets))
-            cuts = np.searchsorted(at, offsets)
+            cuts = np.searchsorted(row[first], np.arange(chunk.hi - chunk.lo + 1))
             for k in range(chunk.hi - chunk.lo):
                 prints.append(xxhash.xxh3_128_digest(words[offsets[k] : offsets[k + 1]].tobytes()))
-                grams.append(np.unique(hashes[cuts[k] : cuts[k + 1]]).view(np.int64))
-        yield pa.record_batch([batch.column("id"), pa.array(np.concatenate(counts)), pa.array(prints, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], names=["id", "n_words", "print", "grams"])
+                own, n = np.unique(hashes[first[cuts[k] : cuts[k + 1]]], return_counts=True)
+                grams.append(own.view(np.int64))
+                contexts.append(n)
+        columns = [batch.column("id"), pa.array(np.concatenate(counts)), pa.array(prints, pa.binary()), pa.array(grams, pa.list_(pa.int64())), pa.array(contexts, pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, names=["id", "n_words", "print", "grams", "contexts"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +128,7 @@ def _context_rows(words: np.ndarray, offsets: np.ndarray, at: np.ndarray, grams:
     # High bytes first, so that bytes sort as the words' hashes do.
     ordered = words.astype(">u8")
     n_before, n_after = np.minimum(at - offsets[row], REACH), np.minimum(offsets[row + 1] - at - GRAM, REACH)
-    whole = span_hash(words, at - n_before, at + GRAM + n_after)
-    key = mix(whole + (n_before * 64 + n_after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    key = _context_keys(words, offsets, at, row)
     order = np.argsort(key, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
     first = order[cuts]
@@ -252,13 +263,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     matched by a hash of all their words, so only one of them is searched. No table of documents,
     or one without repeats, gives no rows. Other columns are ignored.
 
-    Suffixes of grams that more than ``limit`` documents share never meet in one task: they are split
+    Suffixes of grams with more than ``limit`` contexts never meet in one task: they are split
     by every window of LENGTH words around the gram, and windows are counted in sums that start before
     the shuffle. The result is the same at any limit.
     """
     bounded_batches(docs.sparkSession)
     rows = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
-    sampled = settle(rows.mapInArrow(_sampled, "id long, n_words long, print binary, grams array<bigint>"), "suffixes")
+    sampled = settle(rows.mapInArrow(_sampled, "id long, n_words long, print binary, grams array<bigint>, contexts array<bigint>"), "suffixes")
     # Texts shorter than a passage have no suffixes. Only texts of which there may be copies are dealt by their hashes.
     sampled = sampled.where(F.col("n_words") >= LENGTH)
     seen = Observation()
@@ -267,9 +278,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sampled = Filter.of(same, seen.get["n"], "print").admits(sampled, F.col("print"))
     met = dealt_join(sampled.where("__maybe").drop("__maybe"), same, "print", F.col("id"), "left")
     whole = met.where("first_id IS NOT NULL").select("id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), "first_id")
-    searched = sampled.where("NOT __maybe").select("id", "grams").unionByName(met.where("first_id IS NULL OR id = first_id").select("id", "grams"))
-    grams = settle(searched.select("id", F.explode("grams").alias("gram")), "grams")
-    shared = grams.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > limit).alias("hot"))
+    kept = ["id", F.arrays_zip("grams", "contexts").alias("grams")]
+    searched = sampled.where("NOT __maybe").select(*kept).unionByName(met.where("first_id IS NULL OR id = first_id").select(*kept))
+    grams = settle(searched.select("id", F.inline("grams").alias("gram", "contexts")), "grams")
+    shared = grams.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("contexts").alias("n")).where("low <> high").select("gram", (F.col("n") > limit).alias("hot"))
     shared = settle(shared, "shared-grams")
     wanted = settle(grams.join(shared, "gram").groupBy("id", "hot").agg(F.collect_set("gram").alias("wanted")), "wanted-suffixes")
 
