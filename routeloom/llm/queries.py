@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, exact, html_extract, licences, mixing, pii, quality, simhash, suffixes, toxicity
+from . import alignment, decontamination, exact, html_extract, licences, mixing, pii, quality, simhash, suffix_trees, suffixes, toxicity
 from . import pipeline as corpus
 
 
@@ -82,6 +82,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_trees.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_alignment": op11_alignment,
+    "op12_substring_dedup": op12_substring_dedup,
     "pipeline": pipeline,
 }
 
