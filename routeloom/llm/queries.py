@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, exact, html_extract, licences, mixing, pii, quality, simhash, suffix_trees, suffixes, toxicity
+from . import alignment, decontamination, exact, html_extract, lexical, licences, mixing, pii, quality, simhash, suffix_trees, suffixes, toxicity
 from . import pipeline as corpus
 
 
@@ -87,6 +87,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -104,10 +109,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_alignment": op11_alignment,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
@@ -133,4 +142,28 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
             first_value(doc_id) OVER w = doc_id AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (
+            SELECT r, i, rank() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS later
+            FROM (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20 AND doc_id IS NOT NULL))),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM win WHERE later),
+        kept AS (
+            SELECT r, count(gone.p) AS n, string_agg(t, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS s
+            FROM (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        q AS (SELECT DISTINCT i, item_id, t FROM (SELECT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark))),
+        p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+        s AS (SELECT count(*) AS total, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+        m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * total) // words AS m FROM d, s WHERE len(w) > 0),
+        weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+        scored AS (
+            SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM q JOIN weight USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, r)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 10""",
 }
