@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,17 +80,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip(text)), f"[{SPACES}]{{2,}}", " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: it becomes a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` characters of the normalised text, repeats included.
 
-    The text is split into characters once and bound to a lambda's variable: the lambdas over
-    positions would otherwise split it anew for each, and substrings would scan it from its start.
+    The text is split into characters once. Runs of n characters are those of n - 1 with the next
+    character after each, so every run is one concatenation.
     """
-    chars = F.filter(F.split(normalised(text), ""), lambda c: c != "")
 
-    def runs(c: Column, n: int) -> Column:
-        last = F.size(c) - n + 1
-        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
-        return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+    def longer(chars: Column, shorter: Column, n: int) -> Column:
+        many = F.size(chars) - n + 1
+        made = F.zip_with(F.slice(shorter, F.lit(1), many), F.slice(chars, F.lit(n), many), lambda a, b: F.concat(a, b))
+        return F.when(many >= 1, made).otherwise(F.array().cast("array<string>"))
+
+    def runs(chars: Column, last: Column, n: int, made: list[Column]) -> Column:
+        made = [*made, last] if n >= low else made
+        return F.concat(*made) if n == high else bound(longer(chars, last, n + 1), lambda own: runs(chars, own, n + 1, made))
 
-    return F.element_at(F.transform(F.array(chars), lambda c: F.concat(*[runs(c, n) for n in range(low, high + 1)])), 1)
+    return bound(F.filter(F.split(normalised(text), ""), lambda c: c != ""), lambda chars: runs(chars, chars, 1, []))

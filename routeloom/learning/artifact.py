@@ -1,17 +1,16 @@
-"""A trained router on disk: Spark ML models and one JSON document, checked against each other when read."""
+"""A trained router on disk: one JSON document, whose parts are checked against each other when it is read."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, ModelCandidate, ModelStatistics, RoutingPolicy, TrainingConfig, enabled_ids
 from routeloom.learning.features import FeatureModel
-from routeloom.learning.predictor import QualityPredictor
+from routeloom.learning.predictor import LinearModel, QualityPredictor
 from routeloom.operators.baselines import of_decision
 from routeloom.operators.routing import route_rows
 from routeloom.operators.statistics import estimates_column
@@ -55,13 +54,9 @@ def _write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 
 def save_artifact(spark: SparkSession, artifact: RoutingArtifact, path: str) -> None:
-    """Write the models, then the document that names them: a folder without it is no artifact."""
-    models = {m: f"model-{k}" for k, m in enumerate(sorted(artifact.predictor.models))}
-    for m, name in models.items():
-        artifact.predictor.models[m].write().overwrite().save(f"{path}/{name}")
     document = {
         "artifact_version": VERSION,
-        "models": models,
+        "models": {m: asdict(model) for m, model in artifact.predictor.models.items()},
         "features": artifact.predictor.features.to_json(),
         "training": asdict(artifact.predictor.training),
         "training_counts": artifact.predictor.training_counts,
@@ -110,8 +105,12 @@ def check_document(x: dict) -> None:
 def load_artifact(spark: SparkSession, path: str) -> RoutingArtifact:
     x = json.loads(spark.read.text(f"{path}/artifact", wholetext=True).first()["value"])
     check_document(x)
-    models = {m: LogisticRegressionModel.load(f"{path}/{name}") for m, name in x["models"].items()}
-    predictor = QualityPredictor(FeatureModel.from_json(x["features"]), TrainingConfig(**x["training"]), models, x["training_counts"])
+    features = FeatureModel.from_json(x["features"])
+    models = {m: LinearModel(model["intercept"], tuple(model["coefficients"])) for m, model in x["models"].items()}
+    for m, model in models.items():
+        if len(model.coefficients) != features.size:
+            raise ValueError(f"artifact model {m} has {len(model.coefficients)} coefficients for {features.size} features")
+    predictor = QualityPredictor(features, TrainingConfig(**x["training"]), models, x["training_counts"])
     return RoutingArtifact(
         predictor,
         {m: ModelStatistics(**s) for m, s in x["statistics"].items()},

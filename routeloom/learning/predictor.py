@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, TrainingConfig, distinct_ids
-from routeloom.learning.features import FeatureModel, fit_features
+from routeloom.functions.text import STRUCTURAL, normalised
+from routeloom.learning import regression
+from routeloom.learning.features import FeatureModel, fit_features, spread_out
+from routeloom.learning.regression import TOLERANCE, NotConverged
 from routeloom.operators.statistics import label_counts, passes
 
+__all__ = ["TOLERANCE", "LinearModel", "NotConverged", "QualityPredictor", "fit_predictor"]
 
-_FEATURES = "__features"
-#: Models whose Spark jobs run at the same time, and the relative gain at which a fit has converged.
-AT_A_TIME = 4
-TOLERANCE = 1e-4
-#: Training rows of one task, at least: an iteration is a Spark job, and over many small tasks it is mostly overhead.
-TASK_ROWS = 5_000
-
+@dataclass(frozen=True)
+class LinearModel:
+    """Coefficients of the structural features, then of the vocabulary's terms."""
 
-class NotConverged(ValueError):
-    pass
+    intercept: float
+    coefficients: tuple[float, ...]
 
 
 @dataclass(frozen=True)
@@ -33,35 +33,65 @@ class QualityPredictor:
 
     features: FeatureModel
     training: TrainingConfig
-    models: dict[str, LogisticRegressionModel]
+    models: dict[str, LinearModel]
     training_counts: dict[str, dict] = field(default_factory=dict)
 
     def predict(self, requests: DataFrame, model_ids: list[str] | None = None) -> DataFrame:
-        """``requests`` (with a query column) and a map column pass_probabilities; features are made once for all models."""
+        """``requests`` (with a query column) and a map column pass_probabilities: one projection, whatever the number of models."""
         ids = sorted(self.models) if model_ids is None else list(model_ids)
         distinct_ids(ids, "prediction model ids")
         unknown = sorted(set(ids) - set(self.models))
         if unknown:
             raise ValueError(f"unknown models: {unknown}")
-        out = self.features.transform(requests, output=_FEATURES)
-        pairs = []
-        for m in ids:
-            out = self.models[m].transform(out)
-            pairs += [F.lit(m), vector_to_array(F.col(self.models[m].getProbabilityCol()))[1]]
-        return out.select(*requests.columns, F.create_map(*pairs).alias("pass_probabilities"))
+        scored = requests.withColumn("__scores", self._scores(ids)(normalised(F.col("query")), self.features.dense(F.col("query"))))
+        pairs = [x for k, m in enumerate(ids) for x in (F.lit(m), 1 / (1 + F.exp(-F.get("__scores", F.lit(k)))))]
+        return scored.select(*requests.columns, F.create_map(*pairs).alias("pass_probabilities"))
+
+    def _scores(self, ids: list[str]):
+        """An Arrow function of normalised texts and their dense features: the scores of all models, an array."""
+        weigh, n_dense = self.features.weigh, len(STRUCTURAL)
+        table = np.array([self.models[m].coefficients for m in ids])
+        intercepts, dense_part, sparse_part = np.array([self.models[m].intercept for m in ids]), table[:, :n_dense], np.ascontiguousarray(table[:, n_dense:].T)
+
+        def scores(texts: pa.Array, dense: pa.Array) -> pa.Array:
+            out = np.asarray(pa.compute.list_flatten(dense)).reshape(-1, n_dense) @ dense_part.T + intercepts
+            for own, text in zip(out, texts.to_pylist()):
+                positions, weights = weigh(text)
+                own += weights @ sparse_part[positions]
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(ids), pa.int32()), pa.array(out.ravel()))
+
+        return F.arrow_udf(scores, "array<double>")
 
     def predict_long(self, requests: DataFrame) -> DataFrame:
         """(query_id, model_id, probability)."""
         return self.predict(requests).select("query_id", F.explode("pass_probabilities").alias("model_id", "probability"))
 
 
+def training_rows(history: DataFrame, ids: list[str], features: FeatureModel, threshold: float, n_texts: int) -> DataFrame:
+    """One row for each request text, as ``regression.ROWS``: its features, and for each model its observations and how many of them passed."""
+    own = history.select("query", "model_id", passes(threshold).cast("int").alias("label"))
+    seen = [F.count_if(F.col("model_id") == m) for m in ids]
+    positive = [F.count_if((F.col("model_id") == m) & (F.col("label") == 1)) for m in ids]
+    texts = own.groupBy("query").agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
+    made = spread_out(texts, n_texts).select(F.xxhash64("query").alias("draw"), features.dense(F.col("query")).alias("dense"), features.sparse(F.col("query")).alias("terms"), "seen", "positive")
+    return made.select("draw", "dense", "terms.positions", "terms.weights", "seen", "positive")
+
+
 def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureConfig = FeatureConfig(), training: TrainingConfig = TrainingConfig()) -> QualityPredictor:
     """Fit on the query texts and passing labels of ``history``; nothing else of it is a feature.
 
-    Too few observations, a single label, and a fit that doesn't converge are errors.
+    Too few observations, a single label, and a fit that doesn't converge are errors. All models are
+    fitted together, with one job for each step of all of them.
     """
     ids = sorted(distinct_ids(list(model_ids), "training model ids"))
-    own = history.where(F.col("model_id").isin(ids))
+    own = history.where(F.col("model_id").isin(ids)).select("query", "model_id", "quality_score").persist()
+    try:
+        return _fitted(own, ids, features, training)
+    finally:
+        own.unpersist()
+
+
+def _fitted(own: DataFrame, ids: list[str], features: FeatureConfig, training: TrainingConfig) -> QualityPredictor:
     counts = {r["model_id"]: {k: v for k, v in r.asDict().items() if k != "model_id"} for r in label_counts(own, training.quality_score_threshold).collect()}
     for m in ids:
         c = counts.setdefault(m, {"observation_count": 0, "positive_count": 0, "negative_count": 0, "positive_rate": None})
@@ -70,26 +100,12 @@ def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureCon
         if not c["positive_count"] or not c["negative_count"]:
             raise ValueError(f"single label for {m}: {c}")
     fitted = fit_features(own.select("query"), features)
-    # One row for each request text with its vector, then K labels a row: vectors are made once, not K times.
-    labelled = own.select("query", "model_id", passes(training.quality_score_threshold).cast("double").alias("label"))
-    vectors = fitted.transform(labelled.select("query").distinct(), output=_FEATURES).persist()
-    parts = max(1, sum(counts[m]["observation_count"] for m in ids) // TASK_ROWS)
-    rows = labelled.join(vectors, "query").select("model_id", "label", _FEATURES).coalesce(parts).persist()
+    # A text is observed once with most models, so the model with most observations tells how many texts there are.
+    texts = max(counts[m]["observation_count"] for m in ids)
+    rows = training_rows(own, ids, fitted, training.quality_score_threshold, texts).persist()
     try:
-
-        def train(m: str) -> LogisticRegressionModel:
-            k, n = ids.index(m), counts[m]["observation_count"]
-            trainer = LogisticRegression(regParam=1 / (training.C * n), elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=training.max_iter, tol=TOLERANCE,
-                                         featuresCol=_FEATURES, probabilityCol=f"__p{k}", rawPredictionCol=f"__r{k}", predictionCol=f"__d{k}")
-            model = trainer.fit(rows.where(F.col("model_id") == m))
-            if model.summary.totalIterations >= training.max_iter:
-                raise NotConverged(f"{m} didn't converge in {training.max_iter} iterations")
-            return model
-
-        rows.count()  # so that models trained at a time share the cached rows
-        with ThreadPoolExecutor(AT_A_TIME) as pool:
-            models = dict(zip(ids, pool.map(train, ids)))
+        found = regression.fit(rows, len(ids), len(STRUCTURAL), len(fitted.terms), training.C, training.max_iter, ids)
+        models = {m: LinearModel(intercept, tuple(own.tolist())) for m, (intercept, own) in zip(ids, found)}
         return QualityPredictor(fitted, training, models, {m: counts[m] for m in ids})
     finally:
         rows.unpersist()
-        vectors.unpersist()

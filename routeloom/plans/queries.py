@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +115,8 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms of the vocabulary each request has, and the sum of their weights, which are of length one."""
     texts = request_texts(documents(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism)
     model = fit_features(texts, FeatureConfig())
-    values = F.slice(vector_to_array("features"), len(tx.STRUCTURAL) + 1, len(model.terms))
-    sums = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    return model.transform(texts).select("query_id", F.size(F.filter(values, lambda x: x != 0)).cast("long").alias("n_terms"), F.round(sums, 4).alias("sum_weights"))
+    own = texts.select("query_id", model.sparse(F.col("query")).alias("terms"))
+    return own.select("query_id", F.size("terms.weights").cast("long").alias("n_terms"), F.round(F.aggregate("terms.weights", F.lit(0.0), lambda s, x: s + x), 4).alias("sum_weights"))
 
 
 def _estimates(docs: DataFrame) -> DataFrame:
@@ -227,9 +225,9 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _learned(spark: SparkSession, sf_dir: str):
     docs = documents(spark, sf_dir)
     history = observations(docs).join(request_texts(docs), "query_id").select(F.col("query_id").cast("string").alias("query_id"), "query", "model_id", "quality_score", "cost", "latency_ms")
-    # All settings are the operator's own but the bar: a lower one leaves both labels for all models at every size.
-    predictor = fit_predictor(history, MODEL_IDS, FeatureConfig(), TrainingConfig(quality_score_threshold=0.5))
-    return request_texts(docs), predictor, statistics.summarize_models(history, MODEL_IDS, 0.5)
+    predictor = fit_predictor(history, MODEL_IDS, FeatureConfig(), TrainingConfig())
+    # Scoring is much work for a row's bytes, so few bytes are many tasks.
+    return request_texts(docs).repartition(spark.sparkContext.defaultParallelism), predictor, statistics.summarize_models(history, MODEL_IDS, THRESHOLD)
 
 
 def learned_pass_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +237,7 @@ def learned_pass_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, predictor, own = _learned(spark, sf_dir)
-    return _shown(decide(texts, predictor, own, CANDIDATES, RoutingPolicy(0.5)))
+    return _shown(decide(texts, predictor, own, CANDIDATES, RoutingPolicy()))
 
 
 QUERIES: dict[str, Query] = {

@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 from routeloom.contracts import ESTIMATES, FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
 from routeloom.operators.routing import route, route_long, route_one, route_rows
 
-CASES = [
-    ([("a", 0.99, 10, 10), ("b", 0.81, 5, 100), ("c", 0.7, 1, 1)], (0.8, 0), "b", "QUALIFIED_MINIMUM_COST"),
-    ([("a", 0.8, 10, 100), ("b", 0.79999, 1, 1)], (0.8, 0), "a", "QUALIFIED_ONLY_MODEL"),
-    ([("a", 0.79, 10, 100), ("b", 0.7, 1, 1)], (0.8, 0), "a", "FALLBACK_MAX_PASS_PROBABILITY"),
-    ([("a", 0.95, 3, 100), ("b", 0.85, 3, 50)], (0.8, 0), "b", "QUALIFIED_LATENCY_COST_ID_TIEBREAK"),
-    ([("a", 0.9, 10, 100), ("b", 0.9, 10.5, 50), ("c", 0.9, 11, 1)], (0.8, 0.5), "b", "QUALIFIED_LATENCY_COST_ID_TIEBREAK"),
-    ([("a", 0.9, 10, 100), ("b", 0.9, 10.5001, 1)], (0.8, 0.5), "a", "QUALIFIED_MINIMUM_COST"),
-    ([("a", 0.9, 1.0, 100), ("b", 0.9, 1.1, 1)], (0.8, 0.1), "b", "QUALIFIED_LATENCY_COST_ID_TIEBREAK"),
-    ([("a", 0.9, 1.0, 100), ("b", 0.9, 1.1000001, 1)], (0.8, 0.1), "a", "QUALIFIED_MINIMUM_COST"),
-    ([("a", 0.9, 1.0, 100), ("b", 0.9, 1.0000000000000002, 1)], (0.8, 0), "a", "QUALIFIED_MINIMUM_COST"),
-    ([("a", 0.9, 10.5, 50), ("z", 0.85, 10, 50)], (0.8, 1), "z", "QUALIFIED_LATENCY_COST_ID_TIEBREAK"),
-    ([("a", 0.9, 0, 100), ("b", 0.9, 1, 1)], (0.8, 0), "a", "QUALIFIED_MINIMUM_COST"),
-    ([("a", 0.5, 2, 1), ("b", 0.5, 1, 9)], (0.8, 0), "b", "FALLBACK_MAX_PASS_PROBABILITY"),
-    ([("a", 0.5, 1, 9), ("b", 0.5, 1, 1)], (0.8, 0), "b", "FALLBACK_MAX_PASS_PROBABILITY"),
-    ([("b", 0.5, 1, 1), ("a", 0.5, 1, 1)], (0.8, 0), "a", "FALLBACK_MAX_PASS_PROBABILITY"),
-]
+COST, ONLY, TIE, LAST = "QUALIFIED_MINIMUM_COST", "QUALIFIED_ONLY_MODEL", "QUALIFIED_LATENCY_COST_ID_TIEBREAK", "FALLBACK_MAX_PASS_PROBABILITY"
+#: (model, probability, cost, latency), (bar, tolerance), the model chosen and the reason.
+CASES = {
+    "the cheapest of three that pass": ([("m", 0.72, 6.5, 3), ("n", 0.93, 4.25, 80), ("o", 0.7, 9, 1), ("p", 0.69, 0.5, 2)], (0.7, 0), "n", COST),
+    "the bar itself passes": ([("m", 0.65, 12, 70), ("n", 0.6499999, 2, 3)], (0.65, 0), "m", ONLY),
+    "a bar of zero lets all pass": ([("m", 0.0, 2, 5), ("n", 1.0, 3, 1)], (0.0, 0), "m", COST),
+    "nobody passes a bar of one": ([("m", 0.999, 9, 9), ("n", 0.98, 1, 1)], (1.0, 0), "m", LAST),
+    "the faster of equal costs": ([("m", 0.9, 7.5, 61), ("n", 0.81, 7.5, 60.5)], (0.8, 0), "n", TIE),
+    "the band begins at the least cost, not at the next one": ([("m", 0.9, 20, 90), ("n", 0.9, 21.5, 45), ("o", 0.9, 23, 2)], (0.8, 1.5), "n", TIE),
+    "a little beyond the band": ([("m", 0.9, 20, 90), ("n", 0.9, 21.50001, 2)], (0.8, 1.5), "m", COST),
+    "costs are compared as decimals": ([("m", 0.9, 2.0, 90), ("n", 0.9, 2.3, 2)], (0.8, 0.3), "n", TIE),
+    "and beyond them": ([("m", 0.9, 2.0, 90), ("n", 0.9, 2.3000001, 2)], (0.8, 0.3), "m", COST),
+    "the next double is another cost": ([("m", 0.9, math.nextafter(4.0, 5), 2), ("n", 0.9, 4.0, 90)], (0.8, 0), "n", COST),
+    "of equal latencies in the band the cheaper": ([("m", 0.9, 31, 8), ("z", 0.99, 30, 8)], (0.8, 2), "z", TIE),
+    "of equal costs and latencies the first id": ([("q", 0.95, 5, 8), ("h", 0.85, 5, 8)], (0.8, 2), "h", TIE),
+    "costs of nothing": ([("m", 0.9, 0, 400), ("n", 0.9, 0.001, 1)], (0.8, 0), "m", COST),
+    "fallback: the cheaper of equal chances": ([("m", 0.31, 8, 2), ("n", 0.31, 7, 30)], (0.8, 0), "n", LAST),
+    "fallback: then the faster": ([("m", 0.31, 7, 30), ("n", 0.31, 7, 29)], (0.8, 0), "n", LAST),
+    "fallback: then the first id": ([("w", 0.31, 7, 30), ("k", 0.31, 7, 30)], (0.8, 0), "k", LAST),
+}
 
 
 def _candidates(rows):
     return tuple(ModelCandidate(r[0]) for r in rows)
 
 
-@pytest.mark.parametrize("rows,policy,selected,reason", CASES)
+@pytest.mark.parametrize("rows,policy,selected,reason", CASES.values(), ids=CASES)
 def test_decisions(spark, rows, policy, selected, reason):
     d = route_one(_candidates(rows), rows, RoutingPolicy(*policy), spark)
     assert (d["selected_model"], d["decision_reason"]) == (selected, reason)
@@ -39,9 +43,9 @@ def test_decisions(spark, rows, policy, selected, reason):
 
 
 def test_order_of_estimates_does_not_matter(spark):
-    rows = [("c", 0.9, 3.0, 10.0), ("a", 0.9, 3.0, 10.0), ("b", 0.9, 3.0, 10.0)]
+    rows = [("s", 0.87, 6.5, 14.0), ("r", 0.87, 6.5, 14.0), ("t", 0.87, 6.5, 14.0), ("u", 0.5, 1.0, 1.0)]
     frame = spark.createDataFrame([(list(x),) for x in itertools.permutations(rows)], f"estimates {ESTIMATES.simpleString()}")
-    assert {r[0] for r in route_rows(frame, _candidates(rows), RoutingPolicy()).select("decision.selected_model").collect()} == {"a"}
+    assert {r[0] for r in route_rows(frame, _candidates(rows), RoutingPolicy()).select("decision.selected_model").collect()} == {"r"}
 
 
 def test_projection_has_no_shuffle_and_long_form_agrees(spark):

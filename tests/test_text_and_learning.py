@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.contracts import FeatureConfig, ModelCandidate, RoutingPolicy, TrainingConfig
+from routeloom.contracts import FeatureConfig, ModelCandidate, ModelStatistics, RoutingPolicy, TrainingConfig
 from routeloom.functions import text as tx
+from routeloom.learning import regression
 from routeloom.learning.artifact import RoutingArtifact, check_document, decide, load_artifact, save_artifact
 from routeloom.learning.features import fit_features
 from routeloom.learning.predictor import NotConverged, fit_predictor
@@ -53,18 +54,19 @@ def test_ngrams(spark):
 
 def test_features_of_short_texts_are_structural_only(spark):
     model = fit_features(spark.createDataFrame([("a",), ("b",)], "query string"))
-    assert model.terms == () and model.transform(spark.createDataFrame([("x",)], "query string")).first()["features"].size == 5
+    own = spark.createDataFrame([("x",)], "query string").select(model.dense(F.col("query")), model.sparse(F.col("query"))).first()
+    assert model.terms == () and len(own[0]) == 5 and own[1]["positions"] == []
     with pytest.raises(ValueError, match="blank"):
         fit_features(spark.createDataFrame([(" ",)], "query string"))
 
 
-def _history(spark, noise=0.0):
+def _history(spark):
+    """Ninety requests of three kinds; "east" does well with queries and letters, "west" with sums, and prices go with the request's number."""
     rows = []
-    for i in range(80):
-        code = i % 2 == 0
-        text = f"write python function number {i}" if code else f"solve equation {i} = x + {i % 7}"
-        for m, good in (("a", code), ("b", not code)):
-            rows.append((f"c{i}{m}", f"q{i}", f"g{i // 4}", text, m, "any", 0.9 if good else 0.6, 1.0 if m == "a" else 2.0, 10.0 if m == "a" else 20.0))
+    for i in range(90):
+        kind, text = (("sum", f"add up {i} = {i % 5} * y + {i % 7}"), ("letter", f"draft letter {i} to the harbour office"), ("sql", f"sql over table {i % 11} with {i} rows"))[i % 3]
+        for m, good, price in (("east", kind != "sum", 1.25), ("west", kind == "sum", 0.75)):
+            rows.append((f"{m}/{i}", f"r{i:03d}", f"set{i % 15}", text, m, kind, (0.97 if good else 0.31) - 0.001 * (i % 9), price + 0.01 * (i % 6), 35.0 + 10 * (m == "west") + i % 4))
     return spark.createDataFrame(rows, "call_id string, query_id string, group_id string, query string, model_id string, task_type string, quality_score double, cost double, latency_ms double").coalesce(2).persist()
 
 
@@ -74,20 +76,20 @@ FEATURES, TRAINING = FeatureConfig((2, 3), 64), TrainingConfig(C=0.5, min_model_
 @pytest.fixture(scope="module")
 def fitted(spark):
     history = _history(spark)
-    return history, fit_predictor(history, ["a", "b"], FEATURES, TRAINING)
+    return history, fit_predictor(history, ["east", "west"], FEATURES, TRAINING)
 
 
 def test_predictor_learns_who_is_good_at_what(spark, fitted, tmp_path):
     history, predictor = fitted
-    new = spark.createDataFrame([("x", "write python function for me"), ("y", "solve equation 9 = x + 2")], "query_id string, query string")
+    new = spark.createDataFrame([("x", "draft letter 200 to the harbour master"), ("y", "add up 900 = 3 * y + 2")], "query_id string, query string")
     p = {r["query_id"]: r["pass_probabilities"] for r in predictor.predict(new).collect()}
-    assert p["x"]["a"] > p["x"]["b"] and p["y"]["b"] > p["y"]["a"]
+    assert p["x"]["east"] > p["x"]["west"] and p["y"]["west"] > p["y"]["east"]
     with pytest.raises(ValueError, match="unknown"):
         predictor.predict(new, ["z"])
 
-    statistics = summarize_models(history, ["a", "b"], 0.8)
-    candidates = (ModelCandidate("a"), ModelCandidate("b"))
-    config = {"models": [{"model_id": m, "enabled": True} for m in "ab"], "features": {"ngram_range": [2, 3], "max_features": 64}, "training": {"C": 0.5, "min_model_samples": 4}, "policy": {}, "rules": dict.fromkeys(("code", "math", "summary", "translation", "qa"), "a")}
+    statistics = summarize_models(history, ["east", "west"], 0.8)
+    candidates = (ModelCandidate("east"), ModelCandidate("west"))
+    config = {"models": [{"model_id": m, "enabled": True} for m in ("east", "west")], "features": {"ngram_range": [2, 3], "max_features": 64}, "training": {"C": 0.5, "min_model_samples": 4}, "policy": {}, "rules": dict.fromkeys(("code", "math", "summary", "translation", "qa"), "east")}
     artifact = RoutingArtifact(predictor, statistics, candidates, RoutingPolicy(), {}, config, {})
     save_artifact(spark, artifact, f"file://{tmp_path}/art")
     again = load_artifact(spark, f"file://{tmp_path}/art")
@@ -100,19 +102,19 @@ def test_predictor_learns_who_is_good_at_what(spark, fitted, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
     result = evaluation.evaluate_policy(history, artifact.select, 0.8)
-    assert result["metrics"]["query_count"] == 80 and result["metrics"]["quality_pass_rate"] > 0.9
-    report = evaluation.evaluate_predictor(history, predictor.predict_long(evaluation.requests_of(history)), ["a", "b"], 0.8, 5)
-    assert report["pooled"]["observation_count"] == 160 and sum(b["count"] for b in report["pooled"]["bins"]) == 160
+    assert result["metrics"]["query_count"] == 90 and result["metrics"]["quality_pass_rate"] > 0.9
+    report = evaluation.evaluate_predictor(history, predictor.predict_long(evaluation.requests_of(history)), ["east", "west"], 0.8, 5)
+    assert report["pooled"]["observation_count"] == 180 and sum(b["count"] for b in report["pooled"]["bins"]) == 180
 
 
 def test_training_guards(spark, fitted):
     history, _ = fitted
     with pytest.raises(ValueError, match="insufficient"):
-        fit_predictor(history, ["a", "z"], FEATURES, TRAINING)
+        fit_predictor(history, ["east", "z"], FEATURES, TRAINING)
     with pytest.raises(ValueError, match="single label"):
-        fit_predictor(history, ["a"], FEATURES, TrainingConfig(quality_score_threshold=0.1, min_model_samples=4))
+        fit_predictor(history, ["east"], FEATURES, TrainingConfig(quality_score_threshold=0.1, min_model_samples=4))
     with pytest.raises(NotConverged):
-        fit_predictor(history, ["a"], FEATURES, TrainingConfig(max_iter=1, min_model_samples=4))
+        fit_predictor(history, ["east"], FEATURES, TrainingConfig(max_iter=1, min_model_samples=4))
 
 
 def test_drifted_artifacts_are_rejected():
@@ -121,32 +123,37 @@ def test_drifted_artifacts_are_rejected():
 
 
 def _toy(spark):
-    rows = [("1", "q1", "g", "how are you", "a", "qa", 0.2, 3.0, 20.0), ("2", "q1", "g", "how are you", "b", "qa", 0.9, 7.0, 40.0), ("3", "q2", "h", "python code", "a", "code", 1.0, 5.0, 30.0), ("4", "q2", "h", "python code", "b", "code", 0.7, 9.0, 60.0)]
+    """Three requests of two kinds, each answered by "low" and "high"; low passes one of three, high two."""
+    rows = [
+        ("i", "k1", "s", "where is the tide table", "low", "qa", 0.55, 1.5, 12.0), ("ii", "k1", "s", "where is the tide table", "high", "qa", 0.85, 4.5, 18.0),
+        ("iii", "k2", "t", "import a csv in python", "low", "code", 0.8, 2.5, 16.0), ("iv", "k2", "t", "import a csv in python", "high", "code", 0.95, 6.0, 25.0),
+        ("v", "k3", "t", "when do ferries leave", "low", "qa", 0.1, 2.0, 11.0), ("vi", "k3", "t", "when do ferries leave", "high", "qa", 0.79, 5.25, 21.0),
+    ]
     return spark.createDataFrame(rows, "call_id string, query_id string, group_id string, query string, model_id string, task_type string, quality_score double, cost double, latency_ms double")
 
 
 def test_baselines_and_observed_outcomes(spark):
     history = _toy(spark)
-    own = summarize_models(history, ["a", "b"], 0.8)
-    rules = {"code": "a", "math": "a", "summary": "a", "translation": "a", "qa": "b"}
-    base = Baselines((ModelCandidate("a"), ModelCandidate("b")), own, RoutingPolicy(), rules, spark)
-    assert (base.strongest_model, base.lowest_cost_model) == ("b", "a")
+    own = summarize_models(history, ["low", "high"], 0.8)
+    rules = {"code": "low", "math": "low", "summary": "low", "translation": "low", "qa": "high"}
+    base = Baselines((ModelCandidate("low"), ModelCandidate("high")), own, RoutingPolicy(), rules, spark)
+    assert (base.strongest_model, base.lowest_cost_model) == ("high", "low")
     m = evaluation.evaluate_policy(history, base.rule_based, 0.8)["metrics"]
-    assert (m["quality_pass_rate"], m["average_cost"], m["fallback_rate"], m["normal_query_count"]) == (1.0, 6.0, None, None)
+    assert (m["quality_pass_rate"], m["average_cost"], m["fallback_rate"], m["normal_query_count"]) == (pytest.approx(2 / 3), pytest.approx((4.5 + 2.5 + 5.25) / 3), None, None)
     m = evaluation.evaluate_policy(history, base.global_historical, 0.8)
     assert m["metrics"]["fallback_rate"] == 1.0 and m["metrics"]["normal_routing_actual_pass_rate"] is None and set(m["by_task_type"]) == {"code", "qa"}
     with pytest.raises(ValueError, match="unobserved"):
-        evaluation.evaluate_policy(history.where("call_id <> '2'"), base.rule_based, 0.8)
+        evaluation.evaluate_policy(history.where("call_id <> 'vi'"), base.rule_based, 0.8)
     with pytest.raises(Exception, match="blank"):
         base.strongest(spark.createDataFrame([("x", " ")], "query_id string, query string")).collect()
 
 
 def test_calibration_bins(spark):
-    rows = spark.createDataFrame([(0, 0.0), (1, 0.5), (0, 0.5), (1, 1.0)], "label int, probability double")
-    found = evaluation.probability_diagnostics(rows, 2)
-    assert [b["count"] for b in found["bins"]] == [1, 3] and found["brier_score"] == 0.125
-    assert found["bins"][1]["observed_pass_rate"] == pytest.approx(2 / 3)
-    assert [b["count"] for b in evaluation.probability_diagnostics(rows, 5)["bins"]] == [1, 0, 2, 0, 1]
+    rows = spark.createDataFrame([(1, 0.2), (0, 0.4), (1, 0.75), (1, 0.9), (0, 0.25), (0, 1.0)], "label int, probability double")
+    found = evaluation.probability_diagnostics(rows, 4)
+    assert [b["count"] for b in found["bins"]] == [1, 2, 0, 3] and found["brier_score"] == pytest.approx((0.64 + 0.16 + 0.0625 + 0.01 + 0.0625 + 1) / 6)
+    assert found["bins"][3]["observed_pass_rate"] == pytest.approx(2 / 3) and found["bins"][2]["observed_pass_rate"] is None
+    assert [b["count"] for b in evaluation.probability_diagnostics(rows, 10)["bins"]] == [0, 0, 2, 0, 1, 0, 0, 1, 0, 2]
     with pytest.raises(ValueError):
         evaluation.probability_diagnostics(rows.where("label > 5"), 2)
 
@@ -198,28 +205,60 @@ def _plain_regression(x, y, c):
 def test_learned_probabilities_and_routes_are_the_plain_ones(spark, fitted):
     history, predictor = fitted
     rows = history.collect()
+    ids = ("east", "west")
     vectors = _plain_features([r["query"] for r in rows], 2, 3, 64)
     want = {}
-    for m in ("a", "b"):
+    for m in ids:
         mine = [r for r in rows if r["model_id"] == m]
         p = _plain_regression(np.array([vectors[r["query"]] for r in mine]), np.array([float(r["quality_score"] >= 0.8) for r in mine]), TRAINING.C)
         want |= {(r["query_id"], m): p(vectors[r["query"]]) for r in mine}
     got = {(r["query_id"], r["model_id"]): r["probability"] for r in predictor.predict_long(evaluation.requests_of(history)).collect()}
-    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 0.01
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
 
-    statistics = summarize_models(history, ["a", "b"], 0.8)
-    decided = decide(evaluation.requests_of(history), predictor, statistics, (ModelCandidate("a"), ModelCandidate("b")), RoutingPolicy(0.5))
+    statistics = summarize_models(history, list(ids), 0.8)
+    decided = decide(evaluation.requests_of(history), predictor, statistics, tuple(map(ModelCandidate, ids)), RoutingPolicy())
     for r in decided.collect():
-        gated = [m for m in ("a", "b") if want[r["query_id"], m] >= 0.5]
-        best = min(gated, key=lambda m: (statistics[m].mean_cost, m)) if gated else max(("a", "b"), key=lambda m: want[r["query_id"], m])
+        gated = [m for m in ids if want[r["query_id"], m] >= 0.8]
+        best = min(gated, key=lambda m: (statistics[m].mean_cost, m)) if gated else max(ids, key=lambda m: want[r["query_id"], m])
         assert r["decision"]["selected_model"] == best and r["decision"]["fallback_used"] == (not gated)
 
 
+def test_scoring_is_one_projection(spark, fitted):
+    _, predictor = fitted
+    statistics = {m: ModelStatistics(m, 1.0, 1.0, 1, 0.5, 0.5) for m in predictor.models}
+    decided = decide(spark.range(3).selectExpr("concat('letter ', id) AS query"), predictor, statistics, tuple(map(ModelCandidate, predictor.models)), RoutingPolicy())
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert "ScalaUDF" not in plan and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_all_models_are_fitted_in_few_passes(spark, monkeypatch):
+    """Correlated dense columns of large mean, rare sparse ones, and repeated texts, against Newton's method."""
+    rng = np.random.default_rng(3)
+    n, wide, models = 400, 30, 3
+    dense = np.column_stack([base := 8 + rng.normal(size=n), base + 0.1 * rng.normal(size=n), rng.integers(0, 2, n)])
+    sparse = (rng.random((n, wide)) < 0.1) * rng.random((n, wide))
+    seen = rng.integers(0, 3, (n, models))
+    positive = rng.binomial(seen, 1 / (1 + np.exp(-(dense[:, :1] - 8 + sparse[:, :models] * 4))))
+    rows = [(int(rng.integers(1 << 60)), d.tolist(), np.flatnonzero(s).tolist(), s[s > 0].tolist(), a.tolist(), b.tolist()) for d, s, a, b in zip(dense, sparse, seen, positive)]
+    frame = spark.createDataFrame(rows, regression.ROWS).repartition(20).persist()
+    passes, sums = [], regression._summed
+    monkeypatch.setattr(regression, "_summed", lambda *x: passes.append(1) or sums(*x))
+    found = regression.fit(frame, models, 3, wide, 2.0, 100)
+    assert len(passes) < 30
+    x = np.hstack([dense, sparse])
+    for k, (intercept, w) in enumerate(found):
+        plain = np.repeat(np.arange(n), seen[:, k])
+        y = np.concatenate([np.arange(a) < b for a, b in zip(seen[:, k], positive[:, k])]).astype(float)
+        p = _plain_regression(x[plain], y, 2.0)
+        assert max(abs(1 / (1 + math.exp(-(v @ w + intercept))) - p(v)) for v in x) < 1e-6
+    frame.unpersist()
+
+
 def test_a_policy_may_be_a_python_function(spark):
     history = _toy(spark)
-    select = evaluation.python_selector(lambda text: "b" if "how" in text else "a")
+    select = evaluation.python_selector(lambda text: "high" if "wh" in text else "low")
     m = evaluation.evaluate_policy(history, select, 0.8)["metrics"]
-    assert (m["quality_pass_rate"], m["average_cost"], m["fallback_rate"]) == (1.0, 6.0, None)
+    assert (m["quality_pass_rate"], m["average_cost"], m["fallback_rate"]) == (pytest.approx(2 / 3), pytest.approx(12.25 / 3), None)
 
 
 def test_percentiles_by_brute_force(spark):
