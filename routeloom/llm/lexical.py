@@ -213,7 +213,7 @@ class Postings:
         self.scores = (SCALE * times) // (1000 * times + SLOPE * corpus.length_terms(shard.sizes)[self.rows])
         self.weights = items.weights[known]
         first = variable_blocks(self.scores, self.starts, price * SCALE / 1000, longest)
-        last = np.append(first[1:], len(self.scores)) - 1
+        last = np.append(first[1:], len(self.scores))[: len(first)] - 1
         self.block_starts = np.searchsorted(first, self.starts)
         self.low, self.high = self.rows[first], self.rows[last]
         self.most = np.maximum.reduceat(self.scores, first) if len(first) else np.zeros(0, np.int64)
