@@ -6,9 +6,9 @@ sums the documents that hold each term of the items. Then every shard cuts the p
 terms into blocks and keeps of each block the largest score of its postings. Where blocks begin is
 chosen by dynamic programming, so that block maxima are as little above the scores as can be for a
 price per block. A document can be among the best only if the maxima of the blocks that cover it,
-summed over an item's terms, reach the score of the worst document held so far; this is tested for
-all documents of a shard at once, and whatever fails is skipped with its blocks. What remains is
-scored exactly, best bound first. A task carries its worst scores from shard to shard and returns
+summed over an item's terms, reach the score of the worst document held so far, and if it has one of
+the terms without which the others can't reach it; this is tested for all documents of a shard at
+once, and whatever fails is skipped. What remains is scored exactly, best bound first. A task carries its worst scores from shard to shard and returns
 its best documents once.
 
 Terms are compared by 64-bit hashes.
@@ -217,6 +217,7 @@ class Postings:
         self.block_starts = np.searchsorted(first, self.starts)
         self.low, self.high = self.rows[first], self.rows[last]
         self.most = np.maximum.reduceat(self.scores, first) if len(first) else np.zeros(0, np.int64)
+        self.peaks = self.weights * (np.maximum.reduceat(self.most, self.block_starts[:-1]) if len(first) else np.zeros(0, np.int64))
         self.n = len(shard.sizes)
 
     def of(self, terms: np.ndarray) -> np.ndarray:
@@ -230,6 +231,14 @@ class Postings:
         change = np.bincount(low, weighted, self.n + 1) - np.bincount(high + 1, weighted, self.n + 1)
         return np.cumsum(change)[:-1]
 
+    def pivots(self, lists: np.ndarray, floor: int) -> np.ndarray:
+        """Whether each document is in a list without which the others can't reach ``floor`` together."""
+        order = lists[np.argsort(self.peaks[lists])]
+        out = np.zeros(self.n, dtype=bool)
+        for k in order[np.cumsum(self.peaks[order]) >= floor].tolist():
+            out[self.rows[self.starts[k] : self.starts[k + 1]]] = True
+        return out
+
     def exact(self, lists: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Scores of the sorted ``rows``; postings are looked up, not read through."""
         out = np.zeros(len(rows), dtype=np.int64)
@@ -247,13 +256,13 @@ class Postings:
         if not len(lists):
             return none, none
         bounds = self.bounds(lists)
-        near = np.flatnonzero(bounds >= max(floor, 1))
+        near = np.flatnonzero((bounds >= max(floor, 1)) & self.pivots(lists, max(floor, 1)))
         if len(near) > first:
             top = np.sort(near[np.argpartition(-bounds[near], first)[:first]])
             reached = self.exact(lists, top)
             if first >= best:
                 floor = max(floor, int(np.partition(reached, -best)[-best]))
-            near = near[bounds[near] >= floor]
+            near = near[(bounds[near] >= floor) & self.pivots(lists, floor)[near]]
         scores = self.exact(lists, near)
         good = scores >= max(floor, 1)
         return near[good], scores[good]
