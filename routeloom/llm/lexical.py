@@ -258,7 +258,11 @@ class Postings:
         bounds = self.bounds(lists)
         near = np.flatnonzero((bounds >= max(floor, 1)) & self.pivots(lists, max(floor, 1)))
         if len(near) > first:
-            top = np.sort(near[np.argpartition(-bounds[near], first)[:first]])
+            # The likeliest documents are those of the term that can add most, if there are enough of them.
+            lead = lists[np.argmax(self.peaks[lists])]
+            own = np.intersect1d(near, self.rows[self.starts[lead] : self.starts[lead + 1]])
+            top = own if len(own) >= best else near
+            top = np.sort(top[np.argsort(-bounds[top])[:first]])
             reached = self.exact(lists, top)
             if first >= best:
                 floor = max(floor, int(np.partition(reached, -best)[-best]))
