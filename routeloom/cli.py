@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 from routeloom.learning.artifact import load_artifact
 from routeloom.plans.experiment import run_experiment
 from routeloom.sources.config import read_config
-from routeloom.sources.fixtures import current_dataset, write_dataset
-from routeloom.sources.history import load_verified
+from routeloom.sources.fixtures import write_dataset
+from routeloom.sources.history import load_sealed
+from routeloom.sources.sealed import current
 
 
 def _show(spark: SparkSession, path: str, query: str) -> None:
@@ -45,8 +46,8 @@ def main(args: list[str] | None = None) -> None:
         elif given.command == "make-data":
             print(write_dataset(spark, read_config(given.config), given.root))
         else:
-            config, folder = read_config(given.config), current_dataset(given.root)
-            history, manifest = load_verified(spark, f"{folder}/data.jsonl", f"{folder}/data.meta.json", [m["model_id"] for m in config["models"]])
+            config, folder = read_config(given.config), current(spark, given.root)
+            history, manifest = load_sealed(spark, folder, [m["model_id"] for m in config["models"]])
             report = run_experiment(spark, history, config, manifest, given.output)
             print(json.dumps({name: values["metrics"] for name, values in report["held_out"]["test"]["policies"].items()}, ensure_ascii=False, indent=2))
     except (ValueError, EOFError) as error:

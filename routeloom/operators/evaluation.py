@@ -50,10 +50,24 @@ def policy_outcomes(history: DataFrame, selected: DataFrame, threshold: float) -
 
 def outcome_metrics(outcomes: DataFrame, *by: str) -> DataFrame:
     """The metrics of all outcomes, or of each value of ``by``; those that don't apply or have no rows are null."""
+    return outcomes.groupBy(*by).agg(*_metrics())
+
+
+def outcome_metrics_by_sets(outcomes: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """The metrics for each value of several groupings in one pass over the outcomes; [] is all of them together.
+
+    Columns that a row isn't grouped by are null there. ``level`` has a bit for each of the columns, in
+    the order in which they first occur, that is set where a row isn't grouped by it.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    return outcomes.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("level"), *_metrics())
+
+
+def _metrics() -> list[Column]:
     passed = F.col("quality_pass").cast("double")
     normal, fallback = ~F.col("fallback_used"), F.col("fallback_used")
     gated = F.count("fallback_used") == F.count("*")
-    return outcomes.groupBy(*by).agg(
+    return [
         F.count("*").alias("query_count"),
         F.avg(passed).alias("quality_pass_rate"),
         F.avg("observed_quality_score").alias("average_quality"),
@@ -64,18 +78,27 @@ def outcome_metrics(outcomes: DataFrame, *by: str) -> DataFrame:
         F.when(gated, F.count_if(fallback)).alias("fallback_query_count"),
         F.avg(F.when(normal, passed)).alias("normal_routing_actual_pass_rate"),
         F.avg(F.when(fallback, passed)).alias("fallback_actual_pass_rate"),
-    )
+    ]
 
 
 def log_loss_and_brier(rows: DataFrame, *by: str, label: str = "label", probability: str = "probability") -> DataFrame:
     """(by..., observation_count, log_loss, brier_score)."""
+    return rows.groupBy(*by).agg(*_losses(label, probability))
+
+
+def pooled_log_loss_and_brier(rows: DataFrame, by: str, label: str = "label", probability: str = "probability") -> DataFrame:
+    """The same for each value of ``by`` and, with ``pooled`` true and a null there, for all rows; in one pass over them."""
+    return rows.groupingSets([[F.col(by)], []], by).agg((F.grouping_id() > 0).alias("pooled"), *_losses(label, probability))
+
+
+def _losses(label: str, probability: str) -> list[Column]:
     y, p = F.col(label).cast("double"), F.col(probability)
     clipped = F.greatest(F.least(p, F.lit(1 - EPSILON)), F.lit(EPSILON))
-    return rows.groupBy(*by).agg(
+    return [
         F.count("*").alias("observation_count"),
         F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"),
         F.avg((p - y) * (p - y)).alias("brier_score"),
-    )
+    ]
 
 
 def calibration_bins(rows: DataFrame, bins: int, label: str = "label", probability: str = "probability", by: str | None = None) -> DataFrame:
@@ -186,10 +209,11 @@ def evaluate_policy(history: DataFrame, select: Selector, threshold: float, bins
             raise ValueError(f"unobserved choice: ({lost['query_id']}, {lost['selected_model']}); outcomes aren't imputed")
         if flags["flags"] not in (0, flags["n"]):
             raise ValueError("one policy must say for all or none of its choices whether it fell back")
+        measured = outcome_metrics_by_sets(outcomes, [["task_type"], []]).orderBy("task_type").collect()
         result = {
             "measurement_kind": "simulated",
-            "metrics": outcome_metrics(outcomes).first().asDict(),
-            "by_task_type": {r["task_type"]: {k: r[k] for k in METRICS} for r in outcome_metrics(outcomes, "task_type").orderBy("task_type").collect()},
+            "metrics": next({k: r[k] for k in METRICS} for r in measured if r["level"]),
+            "by_task_type": {r["task_type"]: {k: r[k] for k in METRICS} for r in measured if not r["level"]},
         }
         if flags["n"] and flags["p"] == flags["n"]:
             rows = outcomes.select(F.col("quality_pass").cast("int").alias("label"), F.col("predicted_pass_probability").alias("probability"))

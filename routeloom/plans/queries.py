@@ -13,9 +13,11 @@ from routeloom.learning.artifact import decide
 from routeloom.learning.features import fit_features, structural_spread, vocabulary
 from routeloom.learning.predictor import fit_predictor
 from routeloom.operators import evaluation, splitting, statistics, validation
+from routeloom.operators.as_of import as_of_join
 from routeloom.operators.baselines import Baselines, of_decision
 from routeloom.operators.routing import route, route_long
 from routeloom.plans.observations import CANDIDATES, MODEL_IDS, RULES, SQL, THRESHOLD, documents, observations, request_text, request_texts, requests
+from routeloom.streaming.outcomes import decisions_with_outcomes, model_estimates, windowed_sums
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 20260906
@@ -206,9 +208,47 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logloss_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    pooled = evaluation.log_loss_and_brier(rows).withColumn("model_id", F.lit("(all)"))
-    return _rounded(evaluation.log_loss_and_brier(rows, "model_id").unionByName(pooled), "log_loss", "brier_score")
+    found = evaluation.pooled_log_loss_and_brier(_labelled(spark, sf_dir), "model_id")
+    return _rounded(found.withColumn("model_id", F.when(F.col("pooled"), "(all)").otherwise(F.col("model_id"))).drop("pooled"), "log_loss", "brier_score")
+
+
+def policy_metrics_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all choices, of each model chosen, of each kind of request, and of both together, from one scan."""
+    sets = [[], ["selected_model"], ["task_type"], ["selected_model", "task_type"]]
+    return _rounded(evaluation.outcome_metrics_by_sets(_outcomes(spark, sf_dir), sets), *_MEANS, digits=9)
+
+
+#: Seconds over which requests are spread, and of the windows that statistics are taken of.
+_SPAN, _DAY = 30 * 86_400, 86_400
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with a second at which they were made."""
+    return observations(documents(spark, sf_dir)).withColumn("second", F.col("query_id") * 7919 % _SPAN)
+
+
+def statistics_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each observation what the last finished day said of its model: the observations, mean cost and mean latency of that day."""
+    rows = _timed(spark, sf_dir)
+    day = F.floor(F.col("second") / _DAY)
+    finished = rows.groupBy("model_id", ((day + 1) * _DAY).alias("second")).agg(F.count("*").alias("day_count"), statistics.stable_mean("cost").alias("day_cost"), statistics.stable_mean("latency_ms").alias("day_latency_ms"))
+    found = as_of_join(rows.select("query_id", "model_id", "second"), finished, ["model_id"], "second")
+    return _rounded(found.withColumn("day_count", F.coalesce("day_count", F.lit(0).cast("long"))), "day_cost", "day_latency_ms")
+
+
+def daily_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each model and day, as a stream would keep them, and from these the statistics of each model and week."""
+    rows = _timed(spark, sf_dir).withColumn("observed_at", F.timestamp_seconds("second"))
+    windows = windowed_sums(rows, THRESHOLD).withColumn("week", F.floor(F.unix_timestamp("window_start") / (7 * _DAY)))
+    return _rounded(model_estimates(windows, "week"), "mean_cost", "mean_latency_ms", "mean_quality", "pass_rate")
+
+
+def outcomes_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with their outcomes, which come up to two hours later; those that come after an hour aren't seen."""
+    rows = _outcomes(spark, sf_dir)
+    decided = rows.select("query_id", "selected_model", F.timestamp_seconds(F.col("query_id") * 7919 % _SPAN).alias("decided_at"))
+    seen = rows.select("query_id", F.col("selected_model").alias("model_id"), F.timestamp_seconds(F.col("query_id") * 7919 % _SPAN + F.col("query_id") * 31 % 7200).alias("observed_at"), F.col("observed_cost").alias("cost"))
+    return _rounded(decisions_with_outcomes(decided, seen).select("query_id", "selected_model", "cost", "observed"), "cost")
 
 
 def labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +284,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         history_observations, violations_text_identity, violations_fields, violations_repeated_calls, violations_query_identity, violations_unknown_models, coverage_gaps, split_by_group_hash, split_summary, model_statistics, label_counts, task_hint, structural_features, structural_scale, char_ngram_vocab, tfidf_weights,
-        route_decisions, route_cost_band, route_fallback, route_disabled_candidate, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, labelled_predictions, latency_percentiles, learned_pass_probability, learned_route,
+        route_decisions, route_cost_band, route_fallback, route_disabled_candidate, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, policy_metrics_by_sets, statistics_as_of, daily_estimates, outcomes_in_time, labelled_predictions, latency_percentiles, learned_pass_probability, learned_route,
     )
 } | {"baseline_strongest": _baseline("strongest"), "baseline_lowest_cost": _baseline("lowest_cost"), "baseline_rule": _baseline("rule_based"), "baseline_global": _baseline("global_historical")}
 
@@ -367,6 +407,13 @@ ORACLES: dict[str, str] = {
         SELECT a.model_id, a.bin, round(a.bin / CAST(5 AS DOUBLE), 6) AS lower_inclusive, round((a.bin + 1) / CAST(5 AS DOUBLE), 6) AS upper, a.bin = 4 AS upper_inclusive, coalesce(n, 0) AS count,
             round(mean_p, 6) AS mean_predicted_probability, round(rate, 6) AS observed_pass_rate FROM a LEFT JOIN b USING (model_id, bin)""",
     "logloss_brier": _with(SQL) + f" SELECT model_id, {_LOSS} GROUP BY model_id UNION ALL SELECT '(all)', {_LOSS}",
+    "policy_metrics_by_sets": _OUTCOMES + " SELECT selected_model, task_type, CAST(grouping(selected_model, task_type) AS BIGINT) AS level, " + _METRICS_SQL + " GROUP BY GROUPING SETS ((), (selected_model), (task_type), (selected_model, task_type))",
+    "statistics_as_of": _with(SQL) + """, t AS (SELECT *, query_id * 7919 % 2592000 AS second FROM o),
+        d AS (SELECT model_id, (second // 86400 + 1) * 86400 AS second, count(*) AS day_count, CAST(sum(CAST(cost AS DECIMAL(28, 8))) AS DOUBLE) / count(*) AS day_cost, CAST(sum(CAST(latency_ms AS DECIMAL(28, 8))) AS DOUBLE) / count(*) AS day_latency_ms FROM t GROUP BY ALL)
+        SELECT t.query_id, t.model_id, t.second, coalesce(day_count, 0) AS day_count, round(day_cost, 6) AS day_cost, round(day_latency_ms, 6) AS day_latency_ms FROM t ASOF LEFT JOIN d ON t.model_id = d.model_id AND t.second >= d.second""",
+    "daily_estimates": _with(SQL) + f""" SELECT model_id, (query_id * 7919 % 2592000) // 86400 // 7 AS week, count(*) AS observation_count, round(CAST(sum(CAST(cost AS DECIMAL(28, 8))) AS DOUBLE) / count(*), 6) AS mean_cost,
+        round(CAST(sum(CAST(latency_ms AS DECIMAL(28, 8))) AS DOUBLE) / count(*), 6) AS mean_latency_ms, round(CAST(sum(CAST(quality_score AS DECIMAL(28, 8))) AS DOUBLE) / count(*), 6) AS mean_quality, round(avg({_Y}), 6) AS pass_rate FROM o GROUP BY ALL""",
+    "outcomes_in_time": _OUTCOMES + " SELECT query_id, selected_model, CASE WHEN query_id * 31 % 7200 <= 3600 THEN round(observed_cost, 6) END AS cost, query_id * 31 % 7200 <= 3600 AS observed FROM seen",
     "labelled_predictions": _with(SQL) + " SELECT query_id, model_id, CAST(CASE WHEN quality_score >= CAST(0.8 AS DOUBLE) THEN 1 ELSE 0 END AS INTEGER) AS label, round(p, 6) AS probability FROM o WHERE p >= CAST(0.2 AS DOUBLE)",
     "latency_percentiles": _with(SQL) + " SELECT model_id, count(*) AS observation_count, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM o GROUP BY model_id",
     "baseline_strongest": _baseline_sql("(SELECT model_id FROM stats ORDER BY mean_quality DESC, model_id LIMIT 1)"),

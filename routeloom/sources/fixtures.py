@@ -6,16 +6,11 @@ partitions. Requests are put together from our own templates.
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-from hashlib import sha256
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.contracts import COUNT, HINTS, OBSERVATION, ORDINAL, POSITIVE, SHARE
+from routeloom.sources import sealed
 
 TOPICS = ("a sorting routine", "a bus timetable", "the harbour at dawn", "a bread recipe", "tidal forces", "a lease agreement")
 TEMPLATES = {
@@ -25,12 +20,13 @@ TEMPLATES = {
     "translation": ("Translate the paragraph on {t} into French, part {n}.", "Please translate {k} sentences about {t}, set {n}."),
     "qa": ("Why do people care about {t}? Case {n}.", "What should a beginner know about {t} by day {n}?"),
 }
-#: What a request asks for beyond its template, and how much skill and how many characters of answer that takes.
-DEPTHS = (
-    ("Be brief.", 0.15, 200),
-    ("Give one worked example and name a limit.", 0.4, 700),
-    ("Compare two ways and say when each holds.", 0.6, 1300),
-    ("Weigh several limits, give a counterexample and a check that can be repeated.", 0.85, 2200),
+#: Who the answer is for and in which form, with the skill that takes and the characters of an answer.
+FORMS = (
+    ("Answer in a single word.", 0.05, 30),
+    ("Write for a child of nine.", 0.45, 600),
+    ("Write it as a table of four columns.", 0.55, 1100),
+    ("Write for a colleague who will check every step.", 0.7, 1900),
+    ("Write it as a letter that a court may read.", 0.8, 2600),
 )
 #: Settings of the generator, and of a model's profile beside its skills.
 SETTINGS = {"seed": ORDINAL, "variants_per_group": COUNT, "softness": POSITIVE, "luck": SHARE, "spread": SHARE}
@@ -47,8 +43,6 @@ def check_generator(config: dict) -> tuple[dict, list[str]]:
     for given, domains in wanted:
         for name, domain in domains.items():
             domain.check(given.get(name), name)
-    if settings["variants_per_group"] < len(DEPTHS):
-        raise ValueError(f"variants_per_group must be at least {len(DEPTHS)}, so that every depth occurs")
     return settings, ids
 
 
@@ -74,27 +68,28 @@ def generate(spark: SparkSession, config: dict) -> DataFrame:
     rows = spark.range(len(HINTS) * per_task * variants).select(
         (F.col("id") % variants).alias("variant"), (F.floor(F.col("id") / variants) % per_task).alias("family"), F.floor(F.col("id") / (variants * per_task)).alias("task")
     )
-    task, group = _pick(HINTS, F.col("task")), F.format_string("%s-%03d", _pick(HINTS, F.col("task")), F.col("family"))
-    rows = rows.withColumns({"task_type": task, "group_id": group, "query_id": F.format_string("%s-q%03d", group, F.col("variant"))})
-    depth = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(d).alias("demand"), F.lit(float(c)).alias("answer")) for t, d, c in DEPTHS])
-    rows = rows.withColumn("depth", F.get(depth, (F.col("variant") % len(DEPTHS)).cast("int")))
+    family = F.concat(F.lit("f"), F.lpad(F.hex(F.col("task") * per_task + F.col("family")), 4, "0"))
+    rows = rows.withColumns({"task_type": _pick(HINTS, F.col("task")), "group_id": family, "query_id": F.concat(family, F.lit("."), F.col("variant"))})
+    # Forms are drawn, so a family may have one twice and lack another.
+    forms = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(d).alias("demand"), F.lit(float(c)).alias("answer")) for t, d, c in FORMS])
+    rows = rows.withColumn("form", F.get(forms, F.floor(_uniform(seed, "form", F.col("query_id")) * len(FORMS)).cast("int")))
     texts = F.create_map(*[x for t, forms in TEMPLATES.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in forms]))])
     query = F.element_at(texts[F.col("task_type")], (F.col("family") % 2 + 1).cast("int"))
     drawn = {"{n}": F.floor(3 + 500 * _uniform(seed, "n", F.col("query_id"))), "{k}": F.floor(2 + 9 * _uniform(seed, "k", F.col("query_id")))}
     for mark, value in {"{t}": _pick(TOPICS, F.floor(F.col("family") / 2)), **drawn}.items():
         query = F.replace(query, F.lit(mark), value.cast("string"))
-    rows = rows.withColumn("query", F.concat_ws(" ", query, "depth.text", F.format_string("Reference %d.%d.", F.col("family"), F.col("variant"))))
+    rows = rows.withColumn("query", F.concat_ws(" ", query, "form.text", F.format_string("Reference %d.%d.", F.col("family"), F.col("variant"))))
     profiles = [(m, settings["profiles"][m]) for m in ids]
     skills = [F.create_map(*[x for t in HINTS for x in (F.lit(t), F.lit(float(p["skill"][t])))]) for _, p in profiles]
     models = F.array(*[F.struct(F.lit(m).alias("model_id"), *[F.lit(float(p[c])).alias(c) for c in PROFILE], skill.alias("skill")) for (m, p), skill in zip(profiles, skills)])
     rows = rows.withColumn("m", F.explode(models))
     pair, m = (F.col("query_id"), F.col("m.model_id")), F.col("m")
     # A request succeeds by as much as the model's skill exceeds what it demands, which varies with its group, itself and luck.
-    demand = F.col("depth.demand") + _around(seed, "group", 0.1, F.col("group_id")) + _around(seed, "request", 0.1, F.col("query_id"))
+    demand = F.col("form.demand") + _around(seed, "group", 0.1, F.col("group_id")) + _around(seed, "request", 0.1, F.col("query_id"))
     margin = m["skill"][F.col("task_type")] - demand + _around(seed, "luck", settings["luck"], *pair)
     quality = 1 / (1 + F.exp(-margin / settings["softness"]))
     # Price and time go with the characters that are read and written.
-    answer = F.col("depth.answer") * (1 + _around(seed, "answer", settings["spread"], *pair))
+    answer = F.col("form.answer") * (1 + _around(seed, "answer", settings["spread"], *pair))
     cost = m["price_per_1000"] * (F.length("query") + answer) / 1000
     latency = m["first_ms"] * (1 + _around(seed, "wait", settings["spread"], *pair)) + m["ms_per_char"] * answer
     return rows.select(
@@ -103,34 +98,13 @@ def generate(spark: SparkSession, config: dict) -> DataFrame:
     )
 
 
-def write_dataset(spark: SparkSession, config: dict, root: str | Path) -> Path:
-    """Write a small fixture as JSON lines with its manifest; both appear together.
-
-    They go to a new folder, and one file that names it is replaced: a failure leaves the old pair.
-    Returns the folder. For tables beyond a fixture, write ``generate()`` as Parquet.
-    """
-    root = Path(root)
-    rows = [r.asDict() for r in generate(spark, config).orderBy("call_id").toLocalIterator()]
-    names = [f.name for f in OBSERVATION]
-    data = "".join(json.dumps({c: r[c] for c in names}, ensure_ascii=False, allow_nan=False) + "\n" for r in rows).encode()
+def write_dataset(spark: SparkSession, config: dict, folder: str) -> str:
+    """Make the observations and seal them as the current data set of ``folder``; returns its path."""
+    rows = generate(spark, config)
+    counts = rows.agg(F.count("*").alias("observation_count"), F.count_distinct("query_id").alias("query_count"), F.count_distinct("group_id").alias("group_count")).first()
     manifest = {
-        "source_kind": "synthetic", "data_version": 1, "generator_version": 1, "seed": config["generator"]["seed"], "quality_score_range": [0.0, 1.0],
+        "source_kind": "synthetic", "data_version": 1, "generator_version": 2, "seed": config["generator"]["seed"], "quality_score_range": [0.0, 1.0],
         "cost_unit": "synthetic_cost_unit", "latency_unit": "ms", "coverage_kind": "full", "quality_definition": "Simulated; no model was asked.",
-        "observation_count": len(rows), "query_count": len({r["query_id"] for r in rows}), "group_count": len({r["group_id"] for r in rows}),
-        "model_ids": sorted({r["model_id"] for r in rows}), "generator_config": config["generator"], "sha256": sha256(data).hexdigest(),
+        **counts.asDict(), "model_ids": sorted(m["model_id"] for m in config["models"]), "generator_config": config["generator"],
     }
-    folder = root / f"dataset-{uuid.uuid4().hex[:12]}"
-    folder.mkdir(parents=True)
-    (folder / "data.jsonl").write_bytes(data)
-    (folder / "data.meta.json").write_text(json.dumps(manifest, ensure_ascii=False, indent=2, allow_nan=False) + "\n", encoding="utf-8")
-    staged = root / f".current-{uuid.uuid4().hex}"
-    try:
-        staged.write_text(folder.name, encoding="utf-8")
-        os.replace(staged, root / "CURRENT")
-    finally:
-        staged.unlink(missing_ok=True)
-    return folder
-
-
-def current_dataset(root: str | Path) -> Path:
-    return Path(root) / (Path(root) / "CURRENT").read_text(encoding="utf-8").strip()
+    return sealed.seal(rows.select(*[f.name for f in OBSERVATION]), folder, manifest)

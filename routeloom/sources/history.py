@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom.contracts import OBSERVATION
 from routeloom.operators.validation import field_violations, validate_history
+from routeloom.sources import sealed
 
 # The keys that a manifest must have.
 REQUIRED = ("source_kind", "data_version", "generator_version", "seed", "quality_score_range", "cost_unit", "latency_unit", "coverage_kind", "quality_definition", "sha256")
@@ -29,17 +30,29 @@ def _problem(value: Column) -> Column:
     return problem
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The observations of a JSON lines file; the first bad line, with its number from 1, is an error.
+def first_problem(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+    """(file, line from 1, problem) of the first bad line of one or many files, files in the order of their paths.
 
-    Lines are only numbered once one of them is known to be bad.
+    A file may be read in several blocks, and lines have no numbers. Rows of a block are numbered by
+    the task that reads it, and the blocks of a file are counted, so a line's number is its place in
+    its block and the lines of the blocks before. One aggregate; what is sorted is blocks.
     """
-    lines = spark.read.text(path)
-    judged = lines.select("value", _problem(F.col("value")).alias("problem"))
-    if not judged.where("problem IS NOT NULL").isEmpty():
-        number, row = judged.rdd.zipWithIndex().filter(lambda x: x[0]["problem"] is not None).map(lambda x: (x[1] + 1, x[0]["problem"])).min()
-        raise ValueError(f"invalid history at line {number}: {row}")
-    return lines.select(F.from_json("value", OBSERVATION).alias("row")).select("row.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    judged = lines.select("file", "start", "row", _problem(F.col("value")).alias("problem"))
+    bad = F.min(F.when(F.col("problem").isNotNull(), F.struct("row", "problem"))).alias("bad")
+    blocks = judged.groupBy("file", "start").agg(F.count("*").alias("lines"), F.min("row").alias("first"), bad)
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = blocks.withColumn("before", before).where("bad IS NOT NULL").orderBy("file", "start").first()
+    return None if found is None else (found["file"], found["before"] + found["bad"]["row"] - found["first"] + 1, found["bad"]["problem"])
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The observations of JSON lines, in one file or many; the first bad line, with its number from 1 and its file, is an error."""
+    found = first_problem(spark, path)
+    if found is not None:
+        file, number, problem = found
+        raise ValueError(f"invalid history at line {number} of {file.rsplit('/', 1)[-1]}: {problem}")
+    return spark.read.text(path).select(F.from_json("value", OBSERVATION).alias("row")).select("row.*")
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
@@ -56,26 +69,27 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def file_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file's bytes, streamed from whatever store it is in: a digest is sequential, but never in memory whole."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
-
-
-def load_verified(spark: SparkSession, data_path: str, manifest_path: str, model_ids: list[str]) -> tuple[DataFrame, dict]:
-    """Observations whose file matches its manifest and which cover every query and model."""
-    manifest = read_manifest(spark, manifest_path)
+def check_manifest(manifest: dict) -> None:
     missing = sorted(set(REQUIRED) - manifest.keys())
     if missing:
         raise ValueError(f"manifest lacks {missing}")
+    # What a manifest must say.
     if manifest["source_kind"] != "synthetic" or manifest["coverage_kind"] != "full" or manifest["quality_score_range"] != [0.0, 1.0] or manifest["latency_unit"] != "ms":
         raise ValueError("a synthetic table of full coverage with quality in [0, 1] and latency in ms is needed")
-    if file_digest(spark, data_path) != manifest["sha256"]:
+
+
+def load_sealed(spark: SparkSession, path: str, model_ids: list[str]) -> tuple[DataFrame, dict]:
+    """Observations of a sealed data set whose files are as they were written and which cover every query and model."""
+    manifest = sealed.verify(spark, path)
+    check_manifest(manifest)
+    return validate_history(load_history(spark, f"{path}/data/part-*"), model_ids, full_coverage=True), manifest
+
+
+def load_verified(spark: SparkSession, data_path: str, manifest_path: str, model_ids: list[str]) -> tuple[DataFrame, dict]:
+    """The same of one file (2 GB at most, read by one task) with its manifest, whose digest is that of the file's bytes."""
+    manifest = read_manifest(spark, manifest_path)
+    check_manifest(manifest)
+    if [r["sha256"] for r in sealed.leaves(spark, data_path).collect()] != [manifest["sha256"]]:
         raise ValueError("the data doesn't match the manifest's SHA-256")
     return validate_history(load_history(spark, data_path), model_ids, full_coverage=True), manifest
 

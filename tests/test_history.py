@@ -1,11 +1,13 @@
+import hashlib
 import json
 
 import pytest
 
 from routeloom.contracts import OBSERVATION
 from routeloom.operators import splitting, validation
-from routeloom.sources.fixtures import DEFAULT, current_dataset, generate, write_dataset
-from routeloom.sources.history import load_history, load_verified
+from routeloom.sources import sealed
+from routeloom.sources.fixtures import DEFAULT, generate, write_dataset
+from routeloom.sources.history import REQUIRED, load_history, load_sealed, load_verified
 
 NAMES = [f.name for f in OBSERVATION]
 HINTS = ("code", "math", "summary", "translation", "qa")
@@ -71,15 +73,28 @@ def test_strict_lines(spark, tmp_path):
 def test_fixture_is_repeatable_and_verified(spark, tmp_path):
     first = sorted(map(tuple, generate(spark, CONFIG).collect()))
     assert first == sorted(map(tuple, generate(spark, CONFIG).repartition(7).collect()))
-    folder = write_dataset(spark, CONFIG, tmp_path)
-    assert current_dataset(tmp_path) == folder
-    history, manifest = load_verified(spark, f"{folder}/data.jsonl", f"{folder}/data.meta.json", ["m1", "m2"])
-    assert history.count() == len(first) == manifest["observation_count"]
-    (folder / "data.jsonl").write_text((folder / "data.jsonl").read_text() + "\n")
+    path = write_dataset(spark, CONFIG, str(tmp_path))
+    assert sealed.current(spark, str(tmp_path)) == path
+    history, manifest = load_sealed(spark, path, ["m1", "m2"])
+    assert sorted(map(tuple, history.select(*NAMES).collect())) == first and len(first) == manifest["observation_count"]
+    with pytest.raises(ValueError, match="code must be"):
+        profiles = {m: {k: v for k, v in p.items() if k != "first_ms"} | {"first_ms": 1.0, "skill": {}} for m, p in CONFIG["generator"]["profiles"].items()}
+        generate(spark, CONFIG | {"generator": CONFIG["generator"] | {"profiles": profiles}})
+
+
+def test_one_file_and_its_manifest(spark, tmp_path):
+    data, at = tmp_path / "h.jsonl", tmp_path / "h.json"
+    data.write_text("".join(json.dumps(_row(call_id=f"c{k}", model_id=m)) + "\n" for k, m in enumerate("ab")))
+    manifest = dict.fromkeys(REQUIRED, "x") | {"source_kind": "synthetic", "coverage_kind": "full", "quality_score_range": [0.0, 1.0], "latency_unit": "ms", "sha256": hashlib.sha256(data.read_bytes()).hexdigest()}
+    at.write_text(json.dumps(manifest))
+    assert load_verified(spark, str(data), str(at), ["a", "b"])[0].count() == 2
+    at.write_text(json.dumps({k: v for k, v in manifest.items() if k != "seed"}))
+    with pytest.raises(ValueError, match="lacks"):
+        load_verified(spark, str(data), str(at), ["a", "b"])
+    at.write_text(json.dumps(manifest))
+    data.write_text(data.read_text() + "\n")
     with pytest.raises(ValueError, match="SHA-256"):
-        load_verified(spark, f"{folder}/data.jsonl", f"{folder}/data.meta.json", ["m1", "m2"])
-    with pytest.raises(ValueError):
-        generate(spark, CONFIG | {"generator": CONFIG["generator"] | {"variants_per_group": 3}})
+        load_verified(spark, str(data), str(at), ["a", "b"])
 
 
 @pytest.mark.parametrize("split", [splitting.group_split, splitting.group_split_by_hash])
