@@ -1,10 +1,10 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 A page is read into blocks of text. Every element that could be a site's is hashed with all that it
-holds. Spark counts, for each host, beside how many different texts a hashed subtree occurs; subtrees
-that recur beside many, on enough of the host's pages, are the site's and not the page's, and are
-deleted wherever they are. What an element says that it is (a menu, a form, an advert) decides about
-the rest: parts of a page that no other page repeats.
+holds, menus and footers included. Spark counts, for each host, beside how many different texts a
+hashed subtree occurs; subtrees that recur beside many, on enough of the host's pages, are the site's
+and not the page's, and are deleted wherever they are. What an element says that it is (a menu, a
+form, an advert) decides about the rest: parts of a page that no other page repeats.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sieve import dealt_join
 from .storage import settle
 from .textbatch import bounded_batches, pick
 
@@ -39,11 +40,12 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
-#: Elements that are never part of an article.
-OUTSIDE = frozenset("head nav footer aside form noscript template object canvas svg math button select option datalist menu dialog audio video map applet".split()) | RAW
+#: Elements whose text isn't read, and those that are never part of an article.
+UNREAD = frozenset("head noscript template object canvas svg math button select option datalist audio video map applet".split()) | RAW
+OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 BLOCK = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption hr header footer aside nav form fieldset address details summary center hgroup search menu dialog".split())
 #: Containers that may be a site's template, and single lines that may be one outside of articles.
-CONTAINER = frozenset("div section ul ol dl table figure details fieldset center header address blockquote summary hgroup".split())
+CONTAINER = frozenset("div section ul ol dl table figure details fieldset center header address blockquote summary hgroup".split()) | OUTSIDE
 LINE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre".split())
 #: Elements whose start tag ends an open paragraph, and those that end an open element of their own kind.
 ENDS_P = BLOCK - {"html", "body", "thead", "tbody", "tfoot", "tr", "caption"}
@@ -56,11 +58,11 @@ MARKS = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
     notification alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs
     sidebar widget widgets footer masthead topbar comment comments disqus respond replies share sharing social related recommended recommendations
-    pagination pager toolbar login search skip""".split()
+    pagination pager toolbar login search skip advertorial advertorials sponsorship disclaimer""".split()
 )
 #: Words that say so outside of articles only.
 SITE_MARKS = frozenset(("header", "top"))
-NEUTRAL = frozenset("site page global top bottom left right inner outer box block bar container wrapper wrap area section list item items links icons buttons form column col row slot unit thread reader".split())
+NEUTRAL = frozenset("site page global top bottom left right inner outer box block bar container wrapper wrap area section list item items links icons buttons form column col row slot unit thread reader user users legal body content text title head group panel inline mobile desktop sticky fixed small large count author meta".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -89,6 +91,8 @@ class _Element:
     in_main: bool
     first: int
     key: str
+    outside: bool = False
+    in_heading: bool = False
     marked: bool = False
     holds: bool = False
 
@@ -97,17 +101,20 @@ class _Element:
 class _Block:
     text: str
     rank: int
+    outside: bool
+    heading: bool
     digest: int
     #: (hash, whether it is a single line) of the elements around it that may be a template.
     around: list[tuple[int, bool]]
 
 
-def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
-    """The blocks of a page's main part in order, each with the hashes of what is around it and may be a template.
+def parse(page: str) -> list[tuple[str, list[tuple[int, bool]], bool]]:
+    """The blocks of a page in order, each with the hashes of what is around it and may be a template, and whether it is in the main part.
 
-    The main part is what articles hold; without any, what main elements hold; without these, all.
-    Elements that name themselves as something else go, unless they hold most of the page's text and its
-    heading, article or main element, or all of its text: then the name is no evidence.
+    The main part is what articles hold, if that is most of the page's text or has its heading; or
+    else what main elements hold, if that is; or else all that isn't in menus, footers, forms and the
+    like. Elements that name themselves as something else go, unless they hold most of the page's text
+    and its heading, article or main element, or all of its text: then the name is no evidence.
     """
     blocks: list[_Block] = []
     marked: list[tuple[int, int, bool]] = []
@@ -121,12 +128,12 @@ def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append(_Block(text, 2 if top.in_article else 1 if top.in_main else 0, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), []))
+                blocks.append(_Block(text, 2 if top.in_article else 1 if top.in_main else 0, top.outside, top.in_heading, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), []))
 
     def close() -> None:
         element = stack.pop()
         open_names[element.name] -= 1
-        if element.name in ("h1", "article", "main") or element.holds:
+        if (element.name in ("h1", "article", "main") and not element.outside) or element.holds:
             stack[-1].holds = True
         inside = blocks[element.first :]
         if element.dropped or not inside:
@@ -180,13 +187,15 @@ def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
                 at = rest.end() if rest else end
                 continue
             up = stack[-1]
-            element = _Element(name, up.dropped or name in OUTSIDE, up.in_article or name == "article", up.in_main or name == "main", len(blocks), name)
+            element = _Element(name, up.dropped or name in UNREAD, up.in_article or name == "article", up.in_main or name == "main", len(blocks), name, up.outside or name in OUTSIDE, up.in_heading or name == "h1")
             if not element.dropped:
                 attrs = found["attrs"] if found["start"] else found["rest"]
                 if attrs and attrs.strip():
                     given = _attributes(attrs)
                     roles = set(given.get("role", "").lower().split())
-                    element.dropped = "hidden" in given or bool(UNSEEN.search(given.get("style", ""))) or bool(roles & ROLES)
+                    element.dropped = "hidden" in given or bool(UNSEEN.search(given.get("style", "")))
+                    if roles & ROLES:
+                        element.outside, element.dropped = True, element.dropped or name not in BLOCK
                     element.in_main |= "main" in roles
                     names = f"{given.get('class', '')} {given.get('id', '')}".strip()
                     element.key = f"{name} {names}"
@@ -194,7 +203,7 @@ def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
                     # Part of a line holds no page's text, so its name is believed at once.
                     element.marked, element.dropped = telling and name in BLOCK, element.dropped or (telling and name not in BLOCK)
                 # A header is an article's own only inside of it.
-                element.dropped |= name == "header" and not (up.in_article or up.in_main)
+                element.outside |= name == "header" and not (up.in_article or up.in_main)
             stack.append(element)
             open_names[name] += 1
         elif found["end"]:
@@ -213,14 +222,19 @@ def parse(page: str) -> list[tuple[str, list[tuple[int, bool]]]]:
     flush()
     while len(stack) > 1:
         close()
-    gone = _named(blocks, marked)
-    level = max((b.rank for k, b in enumerate(blocks) if k not in gone), default=0)
-    return [(b.text, b.around) for k, b in enumerate(blocks) if b.rank == level and k not in gone]
+    kept = set(range(len(blocks))) - _named(blocks, marked) - {k for k, b in enumerate(blocks) if b.outside}
+    total = sum(len(blocks[k].text) for k in kept)
+    for rank in (2, 1):
+        inner = {k for k in kept if blocks[k].rank >= rank}
+        if 2 * sum(len(blocks[k].text) for k in inner) > total or any(blocks[k].heading for k in inner):
+            kept = inner
+            break
+    return [(b.text, b.around, k in kept) for k, b in enumerate(blocks)]
 
 
 def _named(blocks: list[_Block], marked: list[tuple[int, int, bool]]) -> set[int]:
     """The blocks inside elements that name themselves as something else than the article."""
-    sizes = np.concatenate(([0], np.cumsum([len(b.text) for b in blocks], dtype=np.int64)))
+    sizes = np.concatenate(([0], np.cumsum([0 if b.outside else len(b.text) for b in blocks], dtype=np.int64)))
     gone: set[int] = set()
     for first, stop, holds in marked:
         inside = sizes[stop] - sizes[first]
@@ -247,7 +261,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
     found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,line:boolean,beside:bigint>>")
     found = settle(found, "subtrees")
     templates = recurring(found, least_pages, least_share, least_line_share)
-    gone = found.select("id", "host", "print", F.inline("subtrees")).join(templates, ["host", "subtree"]).groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
+    # A footer is on all pages of its host, and a host may have a third of all pages.
+    held = found.select("id", "host", "print", F.inline("subtrees")).select("id", "print", F.xxhash64("host", "subtree").alias("key"), "subtree", "host")
+    wanted = settle(templates.withColumnsRenamed({"host": "of_host", "subtree": "of_subtree"}).withColumn("key", F.xxhash64("of_host", "of_subtree")), "templates")
+    met = dealt_join(held, wanted, "key", F.col("print")).where((F.col("host") == F.col("of_host")) & (F.col("subtree") == F.col("of_subtree")))
+    gone = met.groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
     gone = settle(gone, "template-subtrees").withColumnsRenamed({"id": "__id", "print": "__print"})
     marked = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
     texts = marked.select("id", "url", "html", "gone").mapInArrow(_texts, f"id {kind}, url string, text string")
@@ -255,7 +273,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
 
 
 def recurring(found: DataFrame, least_pages: int, least_share: float, least_line_share: float) -> DataFrame:
-    """(host, subtree) of the templates among the subtrees of pages (host, whole, subtrees).
+    """(host, subtree, n) of the templates (and how many different pages have each) among the subtrees of pages (host, whole, subtrees).
 
     A subtree is told from others by the longest block of each page that lies outside of it. It is a
     template if there are ``least_pages`` different such blocks, as many as the least share of the
@@ -268,7 +286,7 @@ def recurring(found: DataFrame, least_pages: int, least_share: float, least_line
     beside = seen.select("host", "subtree", "line", "beside", "whole").distinct().groupBy("host", "subtree", "line", "beside").agg(F.count("*").alias("pages"))
     counted = beside.groupBy("host", "subtree", "line").agg(F.count("*").alias("texts"), F.sum("pages").alias("pages")).where((F.col("texts") >= least_pages) & (2 * F.col("texts") >= F.col("pages")))
     share = F.when(F.col("line"), F.lit(least_line_share)).otherwise(F.lit(least_share))
-    return counted.join(hosts, "host").where(F.col("texts") >= share * F.col("host_pages")).select("host", "subtree")
+    return counted.join(hosts, "host").where(F.col("texts") >= share * F.col("host_pages")).select("host", "subtree", F.col("pages").alias("n"))
 
 
 def _signed(h: int) -> int:
@@ -276,18 +294,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _evidence(blocks: list[tuple[str, list[tuple[int, bool]]]]) -> tuple[int, list[dict]]:
-    """A hash of all blocks, and for each subtree the hash of the longest block outside of it; none, if most of the text is inside."""
+def _evidence(blocks: list[tuple[str, list[tuple[int, bool]], bool]]) -> tuple[int, list[dict]]:
+    """A hash of the main part's blocks, and for each subtree the hash of its longest block outside of the subtree; none, if most of the main part is inside."""
     whole, inside, members, lines = 0, Counter(), {}, {}
-    digests = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _ in blocks]
-    for k, (text, around) in enumerate(blocks):
-        whole += digests[k]
+    digests = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _, _ in blocks]
+    for k, (text, around, main) in enumerate(blocks):
+        whole += digests[k] if main else 0
         for h, line in set(around):
-            inside[h] += len(text)
+            inside[h] += len(text) if main else 0
             members.setdefault(h, set()).add(k)
             lines[h] = line
-    total = sum(len(text) for text, _ in blocks)
-    longest = sorted(range(len(blocks)), key=lambda k: (-len(blocks[k][0]), digests[k]))
+    total = sum(len(text) for text, _, main in blocks if main)
+    longest = sorted((k for k, (_, _, main) in enumerate(blocks) if main), key=lambda k: (-len(blocks[k][0]), digests[k]))
     out = []
     for h in sorted(members):
         other = next((k for k in longest if k not in members[h]), None)
@@ -308,5 +326,5 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
             held = frozenset(gone or ())
-            texts.append("\n".join(text for text, around in parse(page or "") if held.isdisjoint(h for h, _ in around)))
+            texts.append("\n".join(text for text, around, main in parse(page or "") if main and held.isdisjoint(h for h, _ in around)))
         yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])

@@ -124,7 +124,7 @@ def test_recurring_subtrees_by_brute_force(spark):
             s["line"] = s["subtree"] % 2 == 0
         rows.append((rng.choice("ab"), rng.randint(1, 60), subtrees))
     frame = spark.createDataFrame(rows, "host string, whole long, subtrees array<struct<subtree:bigint,line:boolean,beside:bigint>>")
-    got = {tuple(r) for r in html_extract.recurring(frame, 3, 0.05, 0.12).collect()}
+    got = {tuple(r) for r in html_extract.recurring(frame, 3, 0.05, 0.12).select("host", "subtree").collect()}
     host_pages, seen = collections.defaultdict(set), collections.defaultdict(set)
     for host, whole, subtrees in rows:
         host_pages[host].add(whole)
@@ -148,7 +148,7 @@ def test_recurring_subtrees_by_brute_force(spark):
     ],
 )
 def test_names_of_elements(page):
-    assert [t for t, _ in html_extract.parse(page)] == ["Article"]
+    assert [t for t, _, main in html_extract.parse(page) if main] == ["Article"]
 
 
 def test_very_long_and_repeated_pages(spark):
@@ -407,3 +407,22 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
         plain = rows.join(table.drop("n"), "k", how)
         got = sieve.dealt_join(rows, table, "k", F.col("id"), how)
         assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_an_article_card_is_not_the_page(spark):
+    story, teaser = "The long story. " * 40, "A teaser."
+    pages = {
+        f"<div class=story><h1>Head</h1><p>{story}</p></div><div class=more><article>{teaser}</article></div>": f"Head\n{story.strip()}\n{teaser}",
+        f"<article><h1>Head</h1><p>Short.</p></article><div>{story}</div>": "Head\nShort.",
+        f"<main><p>{story}</p></main><div>Beside</div>": story.strip(),
+        f"<nav>{story}</nav><p>Body</p><footer>Foot</footer><div role=search>Find</div><p>More <span role=alert>now</span></p>": "Body\nMore",
+        "<h1>T</h1><p>Text</p>" + "".join(f"<div class='{c}'>no</div>" for c in ("legal-notice", "user-comments", "comment-body", "user-comments-section", "advertorial")): "T\nText",
+    }
+    frame = spark.createDataFrame([(k, "https://h.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["id"]: r["text"] for r in html_extract.main_text(frame).collect()} == dict(enumerate(pages.values()))
+
+
+def test_menus_that_name_themselves_are_found_by_counting_too():
+    told, _ = _site(90, told=True)
+    counts = collections.Counter(s["subtree"] for _, _, page in told for s in html_extract._evidence(html_extract.parse(page))[1] if s["beside"] is not None)
+    assert sum(n >= 25 for n in counts.values()) >= 6

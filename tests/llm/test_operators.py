@@ -286,7 +286,7 @@ def test_pages(spark):
     want = [(i, f"T{i}\ntext {i} " + "word " * 19 + "word") for i in range(6)] + [(0, ""), (9, body), (9, ""), (10, "Follow us")]
     assert got == sorted((i, t, len(t)) for i, t in want)
     assert html_extract.main_text(pages.limit(0)).count() == 0
-    assert [t for t, _ in html_extract.parse("<p>" + html.escape("<script>") + "<script>var a='</p>'</script> ok")] == ["<script> ok"]
+    assert [t for t, _, _ in html_extract.parse("<p>" + html.escape("<script>") + "<script>var a='</p>'</script> ok")] == ["<script> ok"]
 
 
 def test_near_copies_of_articles_keep_their_parts(spark):
