@@ -140,6 +140,14 @@ the quick brown fox jumps over the lazy dog
 We signed the contract in March and paid in April.
 It was the best of times | it was the worst of times
 ORDERS CLOSE AT NOON!! CALL NOW!! DO NOT WAIT!!
+NOTHING WAS SAID OF THIS MATTER!! NOT ONE WORD, NOT A LETTER.
+LAST CHANCE FOR CHEAP FLIGHTS BEYOND ROME, BOOK TODAY!!
+!!   GREAT SAVINGS WITH EVERY GARDEN TOOL, UNTIL SUNDAY. HURRY!!
+TERMS APPLY TO ORDERS PLACED BEFORE MIDNIGHT, AS SHOWN. OF COURSE.
+POUR CELA NOUS AVONS TROUVÉ ÉGALEMENT UNE RÉPONSE, ENFIN. OÙ ALLER.
+ÉTÉ COMME HIVER ÎLES ÉTROITES ET PÂLES, ENCORE UNE FOIS.
+GRATIS ENVÍO PARA CADA PEDIDO ÚNICO, SOLO HOY
+NEUE REIFEN FÜR ÄLTERE WAGEN, JETZT ÜBERALL. DIE LETZTEN.
 the name of the river is old
 a token of thanks was given to all
 the secret of the garden is water
