@@ -95,6 +95,25 @@ Regards, [name Emma Stone]
 Patient: [name Carlos Vega]
 Customer: [name Hannah Roth], order 5521
 Prof. [name Ada Winter] gave the talk
+Dear [name Marion Holt], thank you for the letter
+Dear [name Igor Pavlov],
+DEAR [name LENA VOSS], WELCOME
+Mr [name Stefan Krol] has paid
+Mrs [name Ellen Ward] called at noon
+Dr [name NINA FALK] will see you now
+Best wishes, [name Laura Finch]
+Yours, [name Tim Adler]
+Account holder: [name Diego Marin]
+Holder: [name JANA KOVAR]
+Contact [name Elsa Brandt] for the keys
+Contact: [name Ravi Menon]
+KIND REGARDS, [name PAULA STORM]
+Signed, [name GUSTAV REUTER]
+Call [name ERIK LUND] today
+Ask for [name ROSA DIAZ] at the gate
+Patient: [name IDA BLOOM]
+Customer: [name OSCAR PRYCE], order 18
+Prof. [name HELGA RING] was there
 the IBAN is [identity DE12500105170648489890]
 his iban is [identity FR1420041010050500013M02606]
 iban: [identity NL91ABNA0417164300], thanks
@@ -195,7 +214,7 @@ commit by build 20240117 of branch main
 """
 
 #: Words that may be cues: what stands near labelled spans in the table.
-CUES = ("name", "full", "contact", "ask", "mr", "mrs", "ms", "dr", "dear", "ssn", "social", "security", "number", "passport", "iban", "token", "secret", "api_key", "password", "key", "bearer", "authorization", "call", "signed", "regards", "patient", "customer", "prof", "passwd", "pwd", "aws", "access", "the", "of", "a", "my", "his", "her", "and")
+CUES = ("name", "full", "contact", "ask", "mr", "mrs", "ms", "dr", "dear", "ssn", "social", "security", "number", "passport", "iban", "token", "secret", "api_key", "password", "key", "bearer", "authorization", "call", "signed", "regards", "patient", "customer", "prof", "passwd", "pwd", "aws", "access", "the", "of", "a", "my", "his", "her", "and", "wishes", "yours", "holder")
 
 _WORD = byte_class((48, 57), (65, 90), (95, 95), (97, 122), (128, 255)) | byte_class((45, 45))
 _LINE = ~byte_class((10, 10))
