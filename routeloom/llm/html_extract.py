@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .sieve import dealt_join
+from .sieve import Filter, dealt_join
 from .storage import settle
 from .textbatch import bounded_batches, pick
 
@@ -258,16 +258,22 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
     bounded_batches(pages.sparkSession)
     rows = pick(pages, id=page_id, url=url, html=body).withColumns({"host": host_of(F.col("url")), "print": F.xxhash64("html")})
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,line:boolean,beside:bigint>>")
+    found = rows.select("id", "host", "print", "html").mapInArrow(_subtrees, f"id {kind}, host string, print long, whole long, subtrees array<struct<subtree:bigint,line:boolean,beside:bigint,main:boolean>>")
     found = settle(found, "subtrees")
     templates = recurring(found, least_pages, least_share, least_line_share)
     # A footer is on all pages of its host, and a host may have a third of all pages.
-    held = found.select("id", "host", "print", F.inline("subtrees")).select("id", "print", F.xxhash64("host", "subtree").alias("key"), "subtree", "host")
+    # What is in menus and the like goes by its name already; only subtrees with a block of the main part change a page.
+    held = found.select("id", "host", "print", F.inline("subtrees")).where("main").select("id", "print", F.xxhash64("host", "subtree").alias("key"), "subtree", "host")
     wanted = settle(templates.withColumnsRenamed({"host": "of_host", "subtree": "of_subtree"}).withColumn("key", F.xxhash64("of_host", "of_subtree")), "templates")
     met = dealt_join(held, wanted, "key", F.col("print")).where((F.col("host") == F.col("of_host")) & (F.col("subtree") == F.col("of_subtree")))
     gone = met.groupBy("id", "print").agg(F.collect_set("subtree").alias("gone"))
-    gone = settle(gone, "template-subtrees").withColumnsRenamed({"id": "__id", "print": "__print"})
-    marked = rows.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
+    seen = Observation()
+    gone = settle(gone.observe(seen, F.count("*").alias("n")), "template-subtrees")
+    # Pages without any aren't shuffled.
+    flagged = Filter.of(gone, seen.get["n"], "id", "print").admits(rows, F.col("id"), F.col("print"))
+    gone = gone.withColumnsRenamed({"id": "__id", "print": "__print"})
+    marked = flagged.where("__maybe").join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left").select("id", "url", "html", "gone")
+    marked = marked.unionByName(flagged.where("NOT __maybe").select("id", "url", "html", F.lit(None).cast("array<bigint>").alias("gone")))
     texts = marked.select("id", "url", "html", "gone").mapInArrow(_texts, f"id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -295,7 +301,7 @@ def _signed(h: int) -> int:
 
 
 def _evidence(blocks: list[tuple[str, list[tuple[int, bool]], bool]]) -> tuple[int, list[dict]]:
-    """A hash of the main part's blocks, and for each subtree the hash of its longest block outside of the subtree; none, if most of the main part is inside."""
+    """A hash of the main part's blocks, and for each subtree whether it has one of them and the hash of the longest one outside of it; none, if most of the main part is inside."""
     whole, inside, members, lines = 0, Counter(), {}, {}
     digests = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _, _ in blocks]
     for k, (text, around, main) in enumerate(blocks):
@@ -309,13 +315,13 @@ def _evidence(blocks: list[tuple[str, list[tuple[int, bool]], bool]]) -> tuple[i
     out = []
     for h in sorted(members):
         other = next((k for k in longest if k not in members[h]), None)
-        out.append({"subtree": h, "line": lines[h], "beside": None if other is None or 2 * inside[h] > total else _signed(digests[other])})
+        out.append({"subtree": h, "line": lines[h], "beside": None if other is None or 2 * inside[h] > total else _signed(digests[other]), "main": inside[h] > 0})
     return _signed(whole), out
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of every page as a hash, and its subtrees that may be templates."""
-    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("line", pa.bool_()), ("beside", pa.int64())]))
+    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("line", pa.bool_()), ("beside", pa.int64()), ("main", pa.bool_())]))
     for batch in batches:
         held = [_evidence(parse(x or "")) for x in batch.column("html").to_pylist()]
         yield pa.record_batch([*(batch.column(c) for c in ("id", "host", "print")), pa.array([w for w, _ in held], pa.int64()), pa.array([x for _, x in held], kind)], names=["id", "host", "print", "whole", "subtrees"])
