@@ -161,27 +161,39 @@ def evaluate_predictor(history: DataFrame, predictions: DataFrame, model_ids: li
         rows.unpersist()
 
 
-#: Cells of equal width in which values are ranked.
-CELLS = 4096
+#: Cells between a power of two and the next, in which values are ranked.
+CELLS = 256
+#: Beyond the exponent of any double.
+_EXPONENTS = 1100
+
+
+def _cell(value: Column) -> Column:
+    """A whole number that never falls as values rise: the power of two below, and the cell between it and the next."""
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    # Where the logarithm is rounded up to a whole number, the value is taken for the power itself.
+    within = F.least(F.greatest(F.floor((size / F.pow(F.lit(2.0), power) - 1) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+    cell = (power + _EXPONENTS) * CELLS + within + 1
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, cell).otherwise(-cell)
 
 
 def latency_percentiles(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """Exact median and 95th percentile by linear interpolation, with the count and the mean.
+    """Exact median and 95th percentile by linear interpolation, with the count and the mean; of finite values.
 
-    Equal values are counted first. Each group's range is cut into CELLS cells; sums over the cells
-    say in which of them the wanted ranks lie, and only values of these cells are ordered.
+    Equal values are counted first, then the values of a cell. Cells are narrow where values are
+    small, so a few huge values leave the others in cells of their own. Sums over the cells say in
+    which of them the wanted ranks lie, and only values of these cells are ordered.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     counts = rows.where(F.col(column).isNotNull()).groupBy(key.alias("key"), F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    spread = counts.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-    step = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS).otherwise(0.0)
-    placed = counts.join(spread, "key").withColumn("cell", F.least(F.floor(step), F.lit(CELLS - 1)))
-    cells = placed.groupBy("key", "cell").agg(F.sum("n").alias("in_cell"), F.first("total").alias("total"))
-    so_far = F.sum("in_cell").over(Window.partitionBy("key").orderBy("cell"))
+    placed = counts.withColumn("cell", _cell(F.col("v")))
+    cells = placed.groupBy("key", "cell").agg(F.sum("n").alias("in_cell"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    whole = Window.partitionBy("key")
+    cells = cells.select("key", "cell", "in_cell", (F.sum("in_cell").over(whole.orderBy("cell")) - F.col("in_cell")).alias("before"), F.sum("in_cell").over(whole).alias("total"), F.sum("sum").over(whole).alias("sum"))
     ranks = {name: F.lit(share) * (F.col("total") - 1) for name, share in (("p50", 0.5), ("p95", 0.95))}
     wanted = F.array(*[end for rank in ranks.values() for end in (F.floor(rank), F.ceil(rank))])
-    cells = cells.withColumn("before", so_far - F.col("in_cell")).withColumn("wanted", wanted)
-    cells = cells.where(F.exists("wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_cell")))).select("key", "cell", "before")
+    cells = cells.withColumn("wanted", wanted).where(F.exists("wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_cell"))))
+    cells = cells.select("key", "cell", "before", "total", (F.col("sum") / F.col("total")).alias("mean"))
     first = F.col("before") + F.sum("n").over(Window.partitionBy("key", "cell").orderBy("v")) - F.col("n")
     ranked = placed.join(cells, ["key", "cell"]).withColumn("first", first)
 

@@ -269,5 +269,11 @@ def test_percentiles_by_brute_force(spark):
     for r in found:
         mine = [v for k, v in rows if k == r["k"] and v is not None]
         assert (r["observation_count"], r["mean"], r["p50"], r["p95"]) == (len(mine), pytest.approx(np.mean(mine)), pytest.approx(np.percentile(mine, 50)), pytest.approx(np.percentile(mine, 95)))
+    # One huge value doesn't crowd the others into one cell, and cells follow the order of values.
+    tail = spark.createDataFrame([(rng.random(),) for _ in range(4000)] + [(1e12,)], "v double")
+    assert tail.groupBy(evaluation._cell(F.col("v"))).count().agg(F.max("count")).first()[0] < 40
+    values = sorted([0.0, -0.0, 5e-324, 1.0, 2.0, 4.0, 1e308, -1e308, *(s * m * 2.0**e * (1 + d) for e in range(-60, 60, 7) for s in (1, -1) for m in (1.0, 1.7) for d in (0, 2e-16, -1e-16))])
+    found = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(evaluation._cell(F.col("v"))).collect()]
+    assert found == sorted(found)
     everything = evaluation.latency_percentiles(spark.createDataFrame(rows, "k string, v double"), "v").first()
     assert everything["p95"] == pytest.approx(np.percentile([v for _, v in rows if v is not None], 95))
