@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeloom.contracts import COUNT
+from routeloom.contracts import COUNT, SPACES
 from routeloom.operators.baselines import Selector, for_text, selection
 from routeloom.operators.statistics import passes
 
@@ -252,3 +252,26 @@ def python_selector(choose: Callable[[str], str]) -> Selector:
         return texts.map(choose)
 
     return lambda requests: requests.withColumn("selection", selection(for_text(chosen("query"))))
+
+
+def register_selector(spark: SparkSession, name: str, choose: Callable[[str], str]) -> Selector:
+    """Make a Python function of a request's text a table function of SQL, and return it as a policy.
+
+    ``SELECT * FROM name(TABLE(SELECT query_id, query FROM requests))`` has (query_id, selected_model) of
+    every request. Rows go to Python workers in Arrow batches; a blank text is an error while running.
+    """
+
+    class Chosen:
+        def eval(self, request: Row):
+            if not (request["query"] or "").strip(SPACES):
+                raise ValueError("query is blank")
+            yield request["query_id"], choose(request["query"])
+
+    spark.udtf.register(name, F.udtf(Chosen, returnType="query_id string, selected_model string", useArrow=True))
+
+    def select(requests: DataFrame) -> DataFrame:
+        asked = requests.select(F.col("query_id").cast("string").alias("query_id"), "query")
+        chosen = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT query_id, query FROM {{asked}}))", asked=asked)
+        return chosen.select("query_id", selection(F.col("selected_model")).alias("selection"))
+
+    return select

@@ -154,6 +154,27 @@ def test_grouping_sets_are_the_groupings_from_one_scan(spark):
     assert plan.count("Expand") == 1 and plan.count("Scan") == 1
 
 
+# Policies as table functions.
+
+
+def test_a_policy_through_sql_and_through_evaluation(spark):
+    rows = [(f"c{i}{m}", f"q{i}", "g", f"{'long' if i % 3 else 'short'} text {i}", m, "qa", 0.9 if (m == "x") == (i % 3 > 0) else 0.2, 1.0, 2.0) for i in range(30) for m in "xy"]
+    history = spark.createDataFrame(rows, OBSERVATION)
+
+    def choose(text):
+        return "x" if text.startswith("long") else "y"
+
+    select = evaluation.register_selector(spark, "by_length", choose)
+    evaluation.requests_of(history).createOrReplaceTempView("asked_requests")
+    told = spark.sql("SELECT selected_model, count(*) AS n FROM by_length(TABLE(SELECT query_id, query FROM asked_requests)) GROUP BY ALL").collect()
+    assert {tuple(r) for r in told} == {("x", 20), ("y", 10)}
+    metrics = evaluation.evaluate_policy(history, select, 0.8)["metrics"]
+    other = evaluation.evaluate_policy(history, evaluation.python_selector(choose), 0.8)["metrics"]
+    assert metrics == {k: v if v is None else pytest.approx(v) for k, v in other.items()} and metrics["quality_pass_rate"] == 1.0
+    with pytest.raises(Exception, match="blank"):
+        select(spark.createDataFrame([("z", " ")], "query_id string, query string")).collect()
+
+
 # Streams.
 
 
