@@ -6,7 +6,8 @@ is worse than its parts (an insult and whom it is aimed at) is learned by the fa
 lower-cased word or the beginning of a longer one, hashed: beginnings are shared by the forms and
 compounds of a word, which are rare alone. A term gets parameters if its share differs between the
 labels, by itself or in the company of terms that speak for label 1: whom an insult is aimed at may be
-as common in clean texts as in toxic ones, and differs only beside the insult.
+as common in clean texts as in toxic ones, and differs only beside the insult. Where neither half of a
+pair says anything by itself, pairs of common terms are counted, and both halves get parameters.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ SAMPLE = 6000
 LEAST_DOCUMENTS = 5
 #: Standard errors by which a term's share of documents must differ between the labels to get parameters: of all documents, or of those with a term that speaks for label 1.
 LEAST_ERRORS = 3.5
+#: Documents that each half of a pair, and both together, must be in for the pair to be looked at, and the standard errors by which its share must differ; millions of pairs are looked at, so they are many.
+HALF_DOCUMENTS, PAIR_DOCUMENTS, PAIR_ERRORS = 40, 20, 7.0
+#: Terms whose pairs are counted at once.
+PAIR_BLOCK = 512
 FACTORS = 4
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -94,18 +99,59 @@ def _errors(documents: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray
     toxic = np.bincount(every, weights=np.repeat(labels, [len(d) for d in documents]), minlength=BUCKETS)
     n, n1 = max(len(documents), 2), max(float(labels.sum()), 1.0)
     n0 = max(n - n1, 1.0)
+    return spread, _standard_errors(spread, toxic, n, n1, n0)
+
+
+def _standard_errors(spread: np.ndarray, toxic: np.ndarray, n: float, n1: float, n0: float) -> np.ndarray:
     share = np.minimum(np.maximum(spread, 1), n - 1) / n
-    return spread, (toxic / n1 - (spread - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return (toxic / n1 - (spread - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+
+
+def _paired_terms(documents: list[np.ndarray], labels: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Those of the buckets ``among`` that are half of a pair whose share differs between the labels.
+
+    Documents of a block of terms are a matrix, and counts of pairs the product of two of them, so
+    that all pairs are looked at and memory is that of two blocks.
+    """
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[among] = np.arange(len(among))
+    at = place[np.concatenate([*documents, np.zeros(0, np.int64)])]
+    document = np.repeat(np.arange(len(documents)), [len(d) for d in documents])[at >= 0]
+    at = at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    at, document = at[order], document[order]
+    starts = range(0, len(among), PAIR_BLOCK)
+
+    def block(lo: int) -> np.ndarray:
+        a, b = np.searchsorted(at, (lo, lo + PAIR_BLOCK))
+        out = np.zeros((min(PAIR_BLOCK, len(among) - lo), len(documents)), dtype=np.float32)
+        out[at[a:b] - lo, document[a:b]] = 1
+        return out
+
+    n, n1 = max(len(documents), 2), max(float(labels.sum()), 1.0)
+    toxic = labels == 1
+    found = np.zeros(len(among), dtype=bool)
+    for lo in starts:
+        left = block(lo)
+        for other in range(lo, len(among), PAIR_BLOCK):
+            right = left if other == lo else block(other)
+            both = left @ right.T
+            differs = (both >= PAIR_DOCUMENTS) & (np.abs(_standard_errors(both, left[:, toxic] @ right[:, toxic].T, n, n1, max(n - n1, 1.0))) >= PAIR_ERRORS)
+            found[lo : lo + len(left)] |= differs.any(axis=1)
+            found[other : other + len(right)] |= differs.any(axis=0)
+    return among[found]
 
 
 def kept_terms(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The buckets that get parameters: those that differ between the labels, alone or in company."""
+    """The buckets that get parameters: those that differ between the labels, alone, in company or as half of a pair."""
     spread, alone = _errors(documents, labels)
     kept = (spread >= LEAST_DOCUMENTS) & (np.abs(alone) >= LEAST_ERRORS)
     speaks = kept & (alone > 0)
     beside = np.array([speaks[d].any() for d in documents], dtype=bool)
     near, company = _errors([d for d, b in zip(documents, beside) if b], labels[beside])
-    return np.flatnonzero(kept | ((near >= LEAST_DOCUMENTS) & (np.abs(company) >= LEAST_ERRORS)))
+    kept |= (near >= LEAST_DOCUMENTS) & (np.abs(company) >= LEAST_ERRORS)
+    kept[_paired_terms(documents, labels, np.flatnonzero((spread >= HALF_DOCUMENTS) & ~kept))] = True
+    return np.flatnonzero(kept)
 
 
 def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 60, batch: int = 400, rate: float = 0.05, ridge: float = 2e-5) -> FactorisationMachine:

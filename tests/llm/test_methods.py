@@ -60,6 +60,39 @@ def test_pairs_are_learned_where_single_terms_say_nothing():
     assert right() > 0.97 and right(factors=0) < right() - 0.05
 
 
+def test_pairs_are_learned_where_neither_half_speaks():
+    """A text is toxic if it has exactly one of two terms, each of which is as common under either label."""
+
+    def made(n, seed):
+        rng = random.Random(seed)
+        own = [{t for t in (7, 9) if rng.random() < 0.5} for _ in range(n)]
+        return [np.array(sorted(o | set(rng.sample(range(100, 400), 12))), dtype=np.int64) for o in own], np.array([float(len(o) == 1) for o in own])
+
+    (docs, labels), (held, truth) = made(3000, 1), made(1000, 2)
+    assert (abs(toxicity._errors(docs, labels)[1][[7, 9]]) < toxicity.LEAST_ERRORS).all() and toxicity.kept_terms(docs, labels).tolist() == [7, 9]
+    rows, buckets = np.repeat(range(len(held)), [len(d) for d in held]), np.concatenate(held)
+    right = {k: float(((toxicity.fit(docs, labels, factors=k).score(rows, buckets, len(held)) >= 0.5) == (truth == 1)).mean()) for k in (0, toxicity.FACTORS)}
+    assert right[toxicity.FACTORS] > 0.97 and right[0] < 0.8
+    assert not len(toxicity.kept_terms([], np.zeros(0)))
+
+
+def test_pairs_are_counted_over_all_blocks(monkeypatch):
+    docs, labels = _planted_pairs(600, 4)
+    among, toxic = np.array(sorted({int(t) for d in docs for t in d})), labels == 1
+    monkeypatch.setattr(toxicity, "PAIR_ERRORS", 2.5)
+    has = np.array([[t in set(d.tolist()) for t in among] for d in docs])
+    brute = set()
+    for a, b in itertools.combinations_with_replacement(range(len(among)), 2):
+        both = has[:, a] & has[:, b]
+        share = both.mean()
+        if both.sum() >= toxicity.PAIR_DOCUMENTS and abs(both[toxic].mean() - both[~toxic].mean()) / np.sqrt(share * (1 - share) * (1 / toxic.sum() + 1 / (~toxic).sum())) >= 2.5:
+            brute |= {int(among[a]), int(among[b])}
+    for block in (7, 512):
+        monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+        assert set(toxicity._paired_terms(docs, labels, among).tolist()) == brute
+    assert 5 < len(brute) < len(among)
+
+
 def test_gradient_by_differences():
     """Training lowers the loss that score() implies, down to where small changes of a factor don't help."""
     docs, labels = _planted_pairs(400, 3)
