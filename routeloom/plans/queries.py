@@ -12,7 +12,7 @@ from routeloom.functions import text as tx
 from routeloom.learning.artifact import decide
 from routeloom.learning.features import fit_features, structural_spread, vocabulary
 from routeloom.learning.predictor import fit_predictor
-from routeloom.operators import evaluation, splitting, statistics, validation
+from routeloom.operators import evaluation, sketches, splitting, statistics, validation
 from routeloom.operators.as_of import as_of_join
 from routeloom.operators.baselines import Baselines, of_decision
 from routeloom.operators.routing import route, route_long
@@ -262,6 +262,17 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.latency_percentiles(observations(documents(spark, sf_dir)), "latency_ms", "model_id"), "mean", "p50", "p95")
 
 
+def latency_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sketches of each model's latencies, merged by week: exact counts and ends, and whether the ranks of the median and the 95th percentile are as near as promised."""
+    shares = {"lowest": 0.0, "p50": 0.5, "p95": 0.95, "highest": 1.0}
+    rows = _timed(spark, sf_dir).select("model_id", "latency_ms", F.floor(F.col("second") / _DAY).alias("day"), F.floor(F.col("second") / (7 * _DAY)).alias("week"))
+    daily = sketches.value_sketches(rows, "latency_ms", "model_id", "week", "day")
+    weekly = sketches.sketch_percentiles(sketches.merge_sketches(daily, "model_id", "week"), shares, "model_id", "week")
+    ranks = sketches.ranks_of(rows, weekly, "latency_ms", ["p50", "p95"], "model_id", "week")
+    near = [((F.col(f"{name}_below") <= shares[name] + sketches.RANK_ERROR) & (F.col(f"{name}_to") >= shares[name] - sketches.RANK_ERROR)).alias(f"{name}_near") for name in ("p50", "p95")]
+    return _rounded(weekly.join(ranks, ["model_id", "week"]).select("model_id", "week", "observation_count", "lowest", "highest", *near), "lowest", "highest")
+
+
 def _learned(spark: SparkSession, sf_dir: str):
     docs = documents(spark, sf_dir)
     history = observations(docs).join(request_texts(docs), "query_id").select(F.col("query_id").cast("string").alias("query_id"), "query", "model_id", "quality_score", "cost", "latency_ms")
@@ -284,7 +295,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         history_observations, violations_text_identity, violations_fields, violations_repeated_calls, violations_query_identity, violations_unknown_models, coverage_gaps, split_by_group_hash, split_summary, model_statistics, label_counts, task_hint, structural_features, structural_scale, char_ngram_vocab, tfidf_weights,
-        route_decisions, route_cost_band, route_fallback, route_disabled_candidate, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, policy_metrics_by_sets, statistics_as_of, daily_estimates, outcomes_in_time, labelled_predictions, latency_percentiles, learned_pass_probability, learned_route,
+        route_decisions, route_cost_band, route_fallback, route_disabled_candidate, route_without_shuffle, policy_outcomes, policy_metrics, policy_metrics_by_task, calibration_bins, logloss_brier, policy_metrics_by_sets, statistics_as_of, daily_estimates, outcomes_in_time, labelled_predictions, latency_percentiles, latency_from_sketches, learned_pass_probability, learned_route,
     )
 } | {"baseline_strongest": _baseline("strongest"), "baseline_lowest_cost": _baseline("lowest_cost"), "baseline_rule": _baseline("rule_based"), "baseline_global": _baseline("global_historical")}
 
@@ -416,6 +427,8 @@ ORACLES: dict[str, str] = {
     "outcomes_in_time": _OUTCOMES + " SELECT query_id, selected_model, CASE WHEN query_id * 31 % 7200 <= 3600 THEN round(observed_cost, 6) END AS cost, query_id * 31 % 7200 <= 3600 AS observed FROM seen",
     "labelled_predictions": _with(SQL) + " SELECT query_id, model_id, CAST(CASE WHEN quality_score >= CAST(0.8 AS DOUBLE) THEN 1 ELSE 0 END AS INTEGER) AS label, round(p, 6) AS probability FROM o WHERE p >= CAST(0.2 AS DOUBLE)",
     "latency_percentiles": _with(SQL) + " SELECT model_id, count(*) AS observation_count, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM o GROUP BY model_id",
+    "latency_from_sketches": _with(SQL) + """ SELECT model_id, (query_id * 7919 % 2592000) // 604800 AS week, count(*) AS observation_count, round(min(latency_ms), 6) AS lowest, round(max(latency_ms), 6) AS highest,
+        TRUE AS p50_near, TRUE AS p95_near FROM o GROUP BY ALL""",
     "baseline_strongest": _baseline_sql("(SELECT model_id FROM stats ORDER BY mean_quality DESC, model_id LIMIT 1)"),
     "baseline_lowest_cost": _baseline_sql("(SELECT model_id FROM stats ORDER BY mean_cost, model_id LIMIT 1)"),
     "baseline_rule": _with(SQL) + f" SELECT query_id, CASE {_hint('query')} WHEN 'code' THEN 'model-b' WHEN 'math' THEN 'model-c' WHEN 'qa' THEN 'model-a' ELSE 'model-d' END AS selected_model, CAST(NULL AS BOOLEAN) AS fallback_used, CAST(NULL AS VARCHAR) AS decision_reason FROM q",

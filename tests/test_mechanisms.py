@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.contracts import OBSERVATION
-from routeloom.operators import evaluation
+from routeloom.operators import evaluation, sketches
 from routeloom.operators.as_of import as_of_join
 from routeloom.operators.statistics import model_statistics
 from routeloom.sources import sealed
@@ -230,3 +230,63 @@ def test_decisions_meet_late_missing_and_repeated_outcomes(spark, tmp_path):
     assert {r["query_id"]: (r["quality"], r["observed"]) for r in found} == want and len(found) == 5
     tables = {k: spark.createDataFrame(rows, schema) for k, (schema, rows) in sides.items()}
     assert {r["query_id"]: (r["quality"], r["observed"]) for r in decisions_with_outcomes(tables["decisions"], tables["outcomes"]).collect()} == want
+
+
+# Sketches.
+
+SHARES = {"least": 0.0, "quarter": 0.25, "middle": 0.5, "most": 0.95, "nearly_all": 0.999, "largest": 1.0}
+
+
+def _share_near(values, estimate, share):
+    values = sorted(values)
+    below, to = bisect.bisect_left(values, estimate) / len(values), bisect.bisect_right(values, estimate) / len(values)
+    return below <= share + sketches.RANK_ERROR and to >= share - sketches.RANK_ERROR
+
+
+def test_merged_sketches_keep_ranks_on_heavy_tails(spark):
+    """Key x has most rows; values grow far beyond what a mean could show, and days differ in size and place."""
+    rng = random.Random(11)
+    rows = [(rng.choice("xxxxxxy"), int(rng.random() ** 3 * 20), rng.paretovariate(0.6)) for _ in range(40_000)] + [("x", 3, 1e300), ("y", 3, -5.0), ("z", 1, 4.5)]
+    table = spark.createDataFrame(rows, "model string, day int, v double").repartition(12)
+    daily = sketches.value_sketches(table, "v", "model", "day").persist()
+    assert daily.count() == len({r[:2] for r in rows})
+    # By way of weeks, or all at once.
+    weekly = sketches.merge_sketches(daily.withColumn("week", F.expr("day div 7")), "model", "week")
+    for merged in (sketches.merge_sketches(daily, "model"), sketches.merge_sketches(weekly, "model"), sketches.value_sketches(table, "v", "model")):
+        # Sketches that are made again differ, so the values are kept.
+        kept = sketches.sketch_percentiles(merged, SHARES, "model").collect()
+        found, estimates = {r["model"]: r.asDict() for r in kept}, spark.createDataFrame(kept)
+        for model in "xyz":
+            values = [v for m, _, v in rows if m == model]
+            got = found[model]
+            assert (got["observation_count"], got["least"], got["largest"]) == (len(values), min(values), max(values))
+            assert all(_share_near(values, got[name], share) for name, share in SHARES.items())
+        ranks = {r["model"]: r for r in sketches.ranks_of(table, estimates, "v", ["middle"], "model").collect()}
+        values = [v for m, _, v in rows if m == "x"]
+        assert ranks["x"]["middle_below"] == pytest.approx(sum(v < found["x"]["middle"] for v in values) / len(values))
+        assert ranks["x"]["middle_to"] == pytest.approx(sum(v <= found["x"]["middle"] for v in values) / len(values))
+    daily.unpersist()
+
+
+def test_sketches_of_odd_rows(spark):
+    """Null, infinite and undefined values are no values; null keys are a key; columns may be named as the operator's own."""
+    inf, nan = float("inf"), float("nan")
+    table = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("a", nan), ("b", inf), ("b", -inf), ("b", 7.0)] * 3, "key string, v double")
+    made = sketches.value_sketches(table, "v", "key")
+    found = {r["key"]: (r["observation_count"], r["least"], r["largest"]) for r in sketches.sketch_percentiles(made, SHARES, "key").collect()}
+    assert found == {None: (6, 1.0, 3.0), "b": (3, 7.0, 7.0)}
+    ranks = {r["key"]: (r["largest_below"], r["largest_to"]) for r in sketches.ranks_of(table, sketches.sketch_percentiles(made, SHARES, "key"), "v", ["largest"], "key").collect()}
+    assert ranks == {None: (0.5, 1.0), "b": (0.0, 1.0)}
+    whole = sketches.sketch_percentiles(sketches.merge_sketches(made), SHARES).collect()
+    assert [(r["observation_count"], r["least"], r["largest"]) for r in whole] == [(9, 1.0, 7.0)]
+    assert sketches.value_sketches(table.limit(0), "v", "key").count() == sketches.value_sketches(table.limit(0), "v").count() == 0
+    assert sketches.merge_sketches(made.limit(0)).count() == 0
+    missing = made.select("key", F.lit(None).cast("binary").alias("sketch"))
+    assert sketches.merge_sketches(missing.unionByName(made), "key").count() == 2 and sketches.merge_sketches(missing, "key").count() == 0
+    with pytest.raises(ValueError, match="share"):
+        sketches.percentile(1.5)
+
+
+def test_a_hot_key_is_sketched_before_the_shuffle(spark):
+    plan = sketches.value_sketches(spark.createDataFrame([("a", 1.0)], "k string, v double"), "v", "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("kll_sketch_agg") >= 2 and "partial_kll_sketch_agg" in plan
