@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The largest component of the gradient of the mean loss at which a fit has converged.
 TOLERANCE = 1e-8
@@ -59,10 +60,10 @@ class _Block:
 
 def _moments(models: int, size: int):
     def of(block: _Block) -> np.ndarray:
-        """Sums over observations: all columns and their squares, and observations and positives of each model."""
+        """Sums over observations: all columns and their squares, and observations and positives of each model; and the number of rows."""
         n = block.seen.sum(axis=1)
         squares = np.concatenate([n @ block.dense**2, np.bincount(block.at, block.value**2 * n[block.row], size)])
-        return np.concatenate([block.sums(n, size), squares, block.seen.sum(axis=0), block.positive.sum(axis=0)])
+        return np.concatenate([block.sums(n, size), squares, block.seen.sum(axis=0), block.positive.sum(axis=0), [len(n)]])
 
     return of
 
@@ -109,16 +110,18 @@ def _summed(rows: DataFrame, tasks: int, of: Callable[[_Block], np.ndarray], mod
 class _Curvature:
     """Divides gradients by the curvature of the average model at zero: that of the sample's rows, and of each column for itself where the sample varies less than all rows do."""
 
-    def __init__(self, rows: DataFrame, n_dense: int, mean: np.ndarray, spread: np.ndarray, curve: float, C: float):
+    def __init__(self, rows: DataFrame, n_rows: int, n_dense: int, mean: np.ndarray, spread: np.ndarray, curve: float, C: float):
         many = max(1, min(SAMPLE, SAMPLE_NUMBERS // len(mean)))
-        drawn = rows.orderBy("draw").limit(many).select("dense", "positions", "weights").collect()
+        # Tasks leave out what isn't drawn: if each sent its first rows, the driver would get that many from every task.
+        drawn = rows.where(F.pmod("draw", F.lit(-(-n_rows // many))) == 0).orderBy("draw").limit(many).select("dense", "positions", "weights").toArrow().combine_chunks()
         x = np.zeros((len(drawn), len(mean)))
-        for own, row in zip(x, drawn):
-            own[:n_dense] = row["dense"]
-            own[n_dense + np.asarray(row["positions"], dtype=np.int64)] = row["weights"]
+        if len(drawn):
+            dense, positions, weights = (drawn.column(name).chunk(0) for name in ("dense", "positions", "weights"))
+            x[:, :n_dense] = np.asarray(dense.flatten()).reshape(len(x), -1)
+            x[np.repeat(np.arange(len(x)), np.asarray(positions.value_lengths())), n_dense + np.asarray(positions.flatten(), dtype=np.int64)] = np.asarray(weights.flatten())
         x -= mean
-        self.root = np.sqrt(1 / C + curve * np.maximum(spread - (x**2).mean(axis=0), 0))
-        x *= math.sqrt(curve / len(x)) / self.root
+        self.root = np.sqrt(1 / C + curve * np.maximum(spread - (x**2).sum(axis=0) / max(1, len(x)), 0))
+        x *= math.sqrt(curve / max(1, len(x))) / self.root
         # (1 + x'x)^-1 is 1 - x'(1 + xx')^-1 x, and xx' is small.
         values, vectors = np.linalg.eigh(x @ x.T)
         self.half = (vectors / np.sqrt(1 + np.maximum(values, 0))).T @ x
@@ -139,11 +142,11 @@ def fit(rows: DataFrame, models: int, n_dense: int, n_sparse: int, C: float, max
     size = n_dense + n_sparse
     spark, tasks = rows.sparkSession, rows.rdd.getNumPartitions()
     moments = _summed(rows, tasks, _moments(models, n_sparse), models)
-    sums, squares, seen, positive = np.split(moments, np.cumsum([size, size, models]))
+    sums, squares, seen, positive, (n_rows,) = np.split(moments, np.cumsum([size, size, models, models]))
     total, share = seen.sum(), positive / seen
     mean = sums / total
     curves = seen * share * (1 - share)
-    curvature = _Curvature(rows, n_dense, mean, np.maximum(squares / total - mean**2, 0), curves.mean(), C)
+    curvature = _Curvature(rows, int(n_rows), n_dense, mean, np.maximum(squares / total - mean**2, 0), curves.mean(), C)
 
     def losses(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Losses and gradients at coefficients of centred features; the intercepts are the last column."""
