@@ -15,7 +15,7 @@ from routeloom.functions.text import STRUCTURAL, normalised
 from routeloom.learning import regression
 from routeloom.learning.features import FeatureModel, fit_features, spread_out
 from routeloom.learning.regression import TOLERANCE, NotConverged
-from routeloom.operators.statistics import label_counts, passes
+from routeloom.operators.statistics import passes
 
 __all__ = ["TOLERANCE", "LinearModel", "NotConverged", "QualityPredictor", "fit_predictor"]
 
@@ -67,13 +67,24 @@ class QualityPredictor:
         return self.predict(requests).select("query_id", F.explode("pass_probabilities").alias("model_id", "probability"))
 
 
-def training_rows(history: DataFrame, ids: list[str], features: FeatureModel, threshold: float, n_texts: int) -> DataFrame:
-    """One row for each request text, as ``regression.ROWS``: its features, and for each model its observations and how many of them passed."""
+def observed_texts(history: DataFrame, ids: list[str], threshold: float) -> DataFrame:
+    """(query, seen, positive): one row for each request text, with the observations of each model and how many of them passed."""
     own = history.select("query", "model_id", passes(threshold).cast("int").alias("label"))
     seen = [F.count_if(F.col("model_id") == m) for m in ids]
     positive = [F.count_if((F.col("model_id") == m) & (F.col("label") == 1)) for m in ids]
-    texts = own.groupBy("query").agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
-    made = spread_out(texts, n_texts).select(F.xxhash64("query").alias("draw"), features.dense(F.col("query")).alias("dense"), features.sparse(F.col("query")).alias("terms"), "seen", "positive")
+    return own.groupBy("query").agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
+
+
+def label_totals(texts: DataFrame, ids: list[str]) -> dict[str, dict]:
+    """For each model observations, passing and failing ones, and the rate of passing, from ``observed_texts``."""
+    sums = [F.coalesce(F.sum(F.col(side)[k]), F.lit(0)) for k in range(len(ids)) for side in ("seen", "positive")]
+    found = texts.agg(F.array(*sums)).first()[0]
+    return {m: {"observation_count": n, "positive_count": p, "negative_count": n - p, "positive_rate": p / n if n else None} for m, n, p in zip(ids, found[::2], found[1::2])}
+
+
+def training_rows(texts: DataFrame, features: FeatureModel) -> DataFrame:
+    """One row for each of ``observed_texts``, as ``regression.ROWS``."""
+    made = texts.select(F.xxhash64("query").alias("draw"), features.dense(F.col("query")).alias("dense"), features.sparse(F.col("query")).alias("terms"), "seen", "positive")
     return made.select("draw", "dense", "terms.positions", "terms.weights", "seen", "positive")
 
 
@@ -84,28 +95,26 @@ def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureCon
     fitted together, with one job for each step of all of them.
     """
     ids = sorted(distinct_ids(list(model_ids), "training model ids"))
-    own = history.where(F.col("model_id").isin(ids)).select("query", "model_id", "quality_score").persist()
+    # A text is held once, not once for each model that answered it.
+    texts = observed_texts(history.where(F.col("model_id").isin(ids)), ids, training.quality_score_threshold).persist()
     try:
-        return _fitted(own, ids, features, training)
+        return _fitted(texts, ids, features, training)
     finally:
-        own.unpersist()
+        texts.unpersist()
 
 
-def _fitted(own: DataFrame, ids: list[str], features: FeatureConfig, training: TrainingConfig) -> QualityPredictor:
-    counts = {r["model_id"]: {k: v for k, v in r.asDict().items() if k != "model_id"} for r in label_counts(own, training.quality_score_threshold).collect()}
-    for m in ids:
-        c = counts.setdefault(m, {"observation_count": 0, "positive_count": 0, "negative_count": 0, "positive_rate": None})
+def _fitted(texts: DataFrame, ids: list[str], features: FeatureConfig, training: TrainingConfig) -> QualityPredictor:
+    counts = label_totals(texts, ids)
+    for m, c in counts.items():
         if c["observation_count"] < training.min_model_samples:
             raise ValueError(f"insufficient training samples for {m}: {c}")
         if not c["positive_count"] or not c["negative_count"]:
             raise ValueError(f"single label for {m}: {c}")
-    fitted = fit_features(own.select("query"), features)
-    # A text is observed once with most models, so the model with most observations tells how many texts there are.
-    texts = max(counts[m]["observation_count"] for m in ids)
-    rows = training_rows(own, ids, fitted, training.quality_score_threshold, texts).persist()
+    fitted = fit_features(texts, features)
+    rows = training_rows(spread_out(texts, texts.count()), fitted).persist()
     try:
         found = regression.fit(rows, len(ids), len(STRUCTURAL), len(fitted.terms), training.C, training.max_iter, ids)
         models = {m: LinearModel(intercept, tuple(own.tolist())) for m, (intercept, own) in zip(ids, found)}
-        return QualityPredictor(fitted, training, models, {m: counts[m] for m in ids})
+        return QualityPredictor(fitted, training, models, counts)
     finally:
         rows.unpersist()

@@ -35,3 +35,15 @@ def test_a_sample_without_rows_leaves_each_column_for_itself(spark):
     rows = spark.createDataFrame([(1, [1.0], [0], [1.0], [1], [k % 2]) for k in range(20)], regression.ROWS)
     found = regression._Curvature(rows, 10**9, 1, np.zeros(2), np.ones(2), 1.0, 1.0)
     assert np.isfinite(found(np.ones(3), 1.0)).all()
+
+
+def test_a_text_is_held_once_for_all_models(spark, monkeypatch):
+    rows = [(f"letter {i} of the harbour", m, (i * 7 + k) % 10 / 10) for i in range(40) for k, m in enumerate("abcde")]
+    held, fit = [], regression.fit
+    monkeypatch.setattr(predictor, "fit_features", lambda texts, config, f=features.fit_features: held.append((texts.is_cached, texts.count())) or f(texts, config))
+    monkeypatch.setattr(regression, "fit", lambda rows, *x: held.append((rows.is_cached, rows.count())) or fit(rows, *x))
+    history = spark.createDataFrame(rows, "query string, model_id string, quality_score double")
+    found = predictor.fit_predictor(history, list("abcde"), FeatureConfig((2, 3), 40), TrainingConfig(min_model_samples=4))
+    assert held == [(True, 40), (True, 40)]
+    passed = sum(q >= 0.8 for _, m, q in rows if m == "c")
+    assert found.training_counts["c"] == {"observation_count": 40, "positive_count": passed, "negative_count": 40 - passed, "positive_rate": passed / 40}
