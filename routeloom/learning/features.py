@@ -21,17 +21,84 @@ from routeloom.contracts import FeatureConfig
 from routeloom.functions.text import STRUCTURAL, is_blank, normalised, strip, structural_features
 
 
+#: Characters of texts whose n-grams are counted at once, and numbers that a table of next states may have.
+CHUNK = 1 << 21
+TABLE = 1 << 24
+#: What separates texts: no character.
+END = 0x110000
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def count_ngrams(texts: list[str], low: int, high: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The n-grams of texts, how often each occurs, and in how many of the texts.
+
+    An n-gram and the number of its text are one integer, so sorting integers brings equal ones
+    together. Where the characters are too many for that, n-grams are counted one by one.
+    """
+    sizes = np.array([len(t) + 1 for t in texts])
+    points = code_points("\0".join([*texts, ""])).copy()
+    points[np.cumsum(sizes) - 1] = END
+    seen = np.zeros(END + 1, bool)
+    seen[points] = True
+    seen[END] = False
+    alphabet = np.flatnonzero(seen)
+    ids = np.zeros(END + 1, np.int64)
+    ids[alphabet] = np.arange(1, len(alphabet) + 1)
+    ids = ids[points]
+    bits, text_bits = len(alphabet).bit_length(), len(texts).bit_length()
+    if bits * high + text_bits > 63:
+        return _counted_singly(texts, low, high)
+    number = np.repeat(np.arange(len(texts)), sizes)
+    terms, totals, documents = [], [], []
+    code, whole = ids, ids > 0
+    for n in range(1, high + 1):
+        if n > 1:
+            code, whole = code[:-1] << bits | ids[n - 1 :], whole[:-1] & (ids[n - 1 :] > 0)
+        if n < low or not whole.any():
+            continue
+        keys = np.sort((code << text_bits | number[: len(code)])[whole])
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        grams = keys[at] >> text_bits
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        totals.append(np.diff(np.append(at[first], len(keys))))
+        documents.append(np.diff(np.append(first, len(at))))
+        letters = grams[first][:, None] >> (bits * np.arange(n - 1, -1, -1)) & ((1 << bits) - 1)
+        joined = alphabet[letters - 1].astype("<u4").tobytes().decode("utf-32-le")
+        terms += [joined[i : i + n] for i in range(0, len(joined), n)]
+    none = [np.zeros(0, np.int64)]
+    return terms, np.concatenate(none + totals), np.concatenate(none + documents)
+
+
+def _counted_singly(texts: list[str], low: int, high: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    total: Counter[str] = Counter()
+    documents: Counter[str] = Counter()
+    for text in texts:
+        own = [text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]
+        total.update(own)
+        documents.update(set(own))
+    return list(total), np.array(list(total.values()), np.int64), np.array([documents[t] for t in total], np.int64)
+
+
 def _counted(low: int, high: int):
+    def counted(texts: list[str]) -> pa.RecordBatch:
+        terms, totals, documents = count_ngrams(texts, low, high)
+        return pa.record_batch([pa.array(terms, pa.string()), pa.array(totals, pa.int64()), pa.array(documents, pa.int64())], names=["term", "total", "documents"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, total, documents) of the n-grams of each batch of normalised texts."""
+        """(term, total, documents) of the n-grams of normalised texts, chunk by chunk."""
+        held, size = [], 0
         for batch in batches:
-            total: Counter[str] = Counter()
-            documents: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
-                own = [text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]
-                total.update(own)
-                documents.update(set(own))
-            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([documents[t] for t in total], pa.int64())], names=["term", "total", "documents"])
+                if held and size + len(text) > CHUNK:
+                    yield counted(held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text) + 1
+        if held:
+            yield counted(held)
 
     return run
 
@@ -66,18 +133,57 @@ WEIGHTS = "struct<positions:array<int>,weights:array<double>>"
 
 @dataclass(frozen=True)
 class Weigh:
-    """TF-IDF weights of normalised texts; plain data, so that tasks can be given it."""
+    """TF-IDF weights of normalised texts; plain data, so that tasks can be given it.
+
+    A text's characters are followed through the terms all at once: a state is a beginning of a term,
+    and a table tells which state comes next with which character.
+    """
 
     low: int
     high: int
     places: dict[str, int]
     idf: np.ndarray
 
+    @cached_property
+    def states(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]] | None:
+        """The number of each character, and for each length the table of next states and the states' places; 0 is none. None if a table would be too large."""
+        letters = {c: k for k, c in enumerate(sorted(set("".join(self.places))), 1)}
+        ids = np.zeros(END + 1, np.int32)
+        ids[[ord(c) for c in letters]] = list(letters.values())
+        before, following, places = letters, [], []
+        for n in range(1, self.high + 1):
+            if n > 1:
+                own = {p: k for k, p in enumerate(sorted({t[:n] for t in self.places if len(t) >= n}), 1)}
+                if (len(before) + 1) * (len(letters) + 1) > TABLE:
+                    return None
+                table = np.zeros((len(before) + 1) * (len(letters) + 1), np.int32)
+                for p, k in own.items():
+                    table[before[p[:-1]] * (len(letters) + 1) + letters[p[-1]]] = k
+                following.append(table)
+                before = own
+            places.append(np.array([0, *(self.places.get(p, -1) + 1 for p in before)], np.int32))
+        return ids, following, places
+
+    def found(self, text: str) -> np.ndarray:
+        """The places of all n-grams of the text that are terms, repeats included."""
+        if self.states is None:
+            place = self.places.get
+            return np.array([k for n in range(self.low, self.high + 1) for i in range(len(text) - n + 1) if (k := place(text[i : i + n])) is not None], dtype=np.int32)
+        ids, following, places = self.states
+        own = ids[code_points(text)]
+        wide, state, out = len(places[0]), own, []
+        for n in range(1, self.high + 1):
+            if n > 1:
+                state = following[n - 2][state[:-1] * wide + own[n - 1 :]]
+            if n >= self.low:
+                out.append(places[n - 1][state])
+        every = np.concatenate(out)
+        return every[every > 0] - 1
+
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        place = self.places.get
-        found = [k for n in range(self.low, self.high + 1) for i in range(len(text) - n + 1) if (k := place(text[i : i + n])) is not None]
-        positions, counts = np.unique(np.array(found, dtype=np.int32), return_counts=True)
-        weights = counts * self.idf[positions]
+        counts = np.bincount(self.found(text))
+        positions = np.flatnonzero(counts).astype(np.int32)
+        weights = counts[positions] * self.idf[positions]
         return positions, weights / (np.sqrt((weights**2).sum()) or 1.0)
 
     def batch(self, texts: pa.Array) -> pa.Array:
@@ -115,8 +221,7 @@ class FeatureModel:
         """The TF-IDF weights as (positions, weights), by position and of length one unless there are none.
 
         Texts are normalised by Spark; n-grams are looked up in an Arrow function, batch by batch. The
-        same in lambdas of built-in functions is interpreted: it took about 10 ms a text instead of
-        a few tenths.
+        same in lambdas of built-in functions is interpreted: it took about 10 ms a text.
         """
         return F.arrow_udf(self.weigh.batch, WEIGHTS)(normalised(text))
 
@@ -140,15 +245,24 @@ def fit_features(rows: DataFrame, config: FeatureConfig = FeatureConfig(), text:
             raise ValueError("no training queries")
         # A feature that never varies keeps its scale.
         scale = tuple(float(spread[n]) if spread[n] else 1.0 for n in STRUCTURAL)
-        terms = vocabulary(spread_out(texts, spread["n"]), config).collect()
-        return FeatureModel(config, scale, tuple(r["term"] for r in terms), tuple(idf(spread["n"], r["documents"]) for r in terms))
+        return FeatureModel(config, scale, *fit_terms(spread_out(texts, spread["n"]), config, spread["n"]))
     finally:
         texts.unpersist()
 
 
+def fit_terms(texts: DataFrame, config: FeatureConfig, n: int) -> tuple[tuple[str, ...], tuple[float, ...]]:
+    """The vocabulary of ``n`` distinct texts and the weight of each term."""
+    terms = vocabulary(texts, config).collect()
+    return tuple(r["term"] for r in terms), tuple(idf(n, r["documents"]) for r in terms)
+
+
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """As many tasks as the work on the n-grams of ``n`` texts asks for, which is much for their bytes."""
+    return max(spark.sparkContext.defaultParallelism, n // TASK_TEXTS)
+
+
 def spread_out(texts: DataFrame, n: int) -> DataFrame:
-    """``n`` texts dealt to as many tasks as the work on their n-grams asks for, which is much for their bytes."""
-    return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, n // TASK_TEXTS))
+    return texts.repartition(tasks_for(texts.sparkSession, n))
 
 
 def read_features(spark: SparkSession, path: str) -> FeatureModel:

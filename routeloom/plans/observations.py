@@ -33,15 +33,21 @@ def requests(docs: DataFrame) -> DataFrame:
     Texts are grouped by digest, so what is shuffled is a few bytes for each document.
     """
     text = request_text(F.col("text"))
+    some = F.col("text").rlike(r"[^ \t\n\r]")
     first = F.min(F.struct("doc_id", "source", "lang", "n_chars")).alias("first")
-    rows = docs.where(F.length(text) > 0).groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(first)
+    rows = docs.where(some).groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(first)
     return rows.select(F.col("first.doc_id").alias("query_id"), F.col("first.source").alias("group_id"), F.col("first.lang").alias("task_type"), F.col("first.n_chars").alias("n_chars"))
 
 
-def request_texts(docs: DataFrame) -> DataFrame:
-    """(query_id, query) of the same requests."""
+def request_texts(docs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(query_id, query) of the same requests, dealt to ``tasks`` tasks if told so.
+
+    Texts are dealt by id once. A task holds the ids of its requests in a table, as sorting its
+    texts would be more work, and as the ids of all requests are too many for a broadcast.
+    """
     texts = docs.select(F.col("doc_id").alias("query_id"), request_text(F.col("text")).alias("query"))
-    return texts.join(requests(docs).select("query_id"), "query_id", "left_semi")
+    texts = texts.repartition(tasks, "query_id") if tasks else texts
+    return texts.join(requests(docs).select("query_id").hint("shuffle_hash"), "query_id", "left_semi")
 
 
 def observations(docs: DataFrame) -> DataFrame:

@@ -47,3 +47,17 @@ def test_a_text_is_held_once_for_all_models(spark, monkeypatch):
     assert held == [(True, 40), (True, 40)]
     passed = sum(q >= 0.8 for _, m, q in rows if m == "c")
     assert found.training_counts["c"] == {"observation_count": 40, "positive_count": passed, "negative_count": 40 - passed, "positive_rate": passed / 40}
+
+
+def test_ngrams_are_counted_and_found_as_one_by_one(low, high, monkeypatch):
+    rng = random.Random(high)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab c\0é𝒳汉") for _ in range(rng.choice([0, 1, 2, 3, 9, 40]))) for _ in range(rng.randint(1, 9))]
+        own, plain = ({t: (int(n), int(d)) for t, n, d in zip(*count(texts, low, high))} for count in (features.count_ngrams, features._counted_singly))
+        assert own == plain
+        places = {t: k for k, t in enumerate(t for t in plain if rng.random() < 0.5)}
+        for most in (features.TABLE, 1):
+            monkeypatch.setattr(features, "TABLE", most)
+            weigh = features.Weigh(low, high, places, np.ones(len(places)))
+            for t in texts:
+                assert sorted(weigh.found(t)) == sorted(places[g] for n in range(low, high + 1) for i in range(len(t) - n + 1) if (g := t[i : i + n]) in places)
