@@ -238,18 +238,25 @@ def fit_features(rows: DataFrame, config: FeatureConfig = FeatureConfig(), text:
     """Fit on the distinct stripped texts of ``rows``; a corpus too short for any n-gram has structural features only."""
     texts = rows.select(strip(F.col(text)).alias("query")).distinct().persist()
     try:
-        if not texts.where(is_blank(F.col("query"))).isEmpty():
-            raise ValueError("query is blank")
-        spread = structural_spread(texts).first()
-        if not spread["n"]:
-            raise ValueError("no training queries")
-        # A feature that never varies keeps its scale.
-        scale = tuple(float(spread[n]) if spread[n] else 1.0 for n in STRUCTURAL)
-        return FeatureModel(config, scale, *fit_terms(spread_out(texts, spread["n"]), config, spread["n"]))
+        return fit_distinct(texts, config)
     finally:
         texts.unpersist()
 
 
+def fit_distinct(texts: DataFrame, config: FeatureConfig) -> FeatureModel:
+    """Fit on texts that are stripped, distinct and persisted."""
+    if not texts.where(is_blank(F.col("query"))).isEmpty():
+        raise ValueError("query is blank")
+    spread = structural_spread(texts).first()
+    if not spread["n"]:
+        raise ValueError("no training queries")
+    # A feature that never varies keeps its scale.
+    scale = tuple(float(spread[n]) if spread[n] else 1.0 for n in STRUCTURAL)
+    # Texts that most cores have some of already needn't be dealt again to be counted.
+    idle = 2 * texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism
+    return FeatureModel(config, scale, *fit_terms(spread_out(texts, spread["n"]) if idle else texts, config, spread["n"]))
+
+
 def fit_terms(texts: DataFrame, config: FeatureConfig, n: int) -> tuple[tuple[str, ...], tuple[float, ...]]:
     """The vocabulary of ``n`` distinct texts and the weight of each term."""
     terms = vocabulary(texts, config).collect()

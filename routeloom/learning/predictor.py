@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, TrainingConfig, distinct_ids
-from routeloom.functions.text import STRUCTURAL, normalised
+from routeloom.functions.text import STRUCTURAL, normalised, strip
 from routeloom.learning import regression
-from routeloom.learning.features import FeatureModel, fit_features, spread_out
+from routeloom.learning.features import FeatureModel, fit_distinct, spread_out
 from routeloom.learning.regression import TOLERANCE, NotConverged
 from routeloom.operators.statistics import passes
 
@@ -68,8 +68,8 @@ class QualityPredictor:
 
 
 def observed_texts(history: DataFrame, ids: list[str], threshold: float) -> DataFrame:
-    """(query, seen, positive): one row for each request text, with the observations of each model and how many of them passed."""
-    own = history.select("query", "model_id", passes(threshold).cast("int").alias("label"))
+    """(query, seen, positive): one row for each stripped request text, which is all that features depend on, with the observations of each model and how many of them passed."""
+    own = history.select(strip(F.col("query")).alias("query"), "model_id", passes(threshold).cast("int").alias("label"))
     seen = [F.count_if(F.col("model_id") == m) for m in ids]
     positive = [F.count_if((F.col("model_id") == m) & (F.col("label") == 1)) for m in ids]
     return own.groupBy("query").agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
@@ -110,7 +110,7 @@ def _fitted(texts: DataFrame, ids: list[str], features: FeatureConfig, training:
             raise ValueError(f"insufficient training samples for {m}: {c}")
         if not c["positive_count"] or not c["negative_count"]:
             raise ValueError(f"single label for {m}: {c}")
-    fitted = fit_features(texts, features)
+    fitted = fit_distinct(texts, features)
     rows = training_rows(spread_out(texts, texts.count()), fitted).persist()
     try:
         found = regression.fit(rows, len(ids), len(STRUCTURAL), len(fitted.terms), training.C, training.max_iter, ids)

@@ -38,9 +38,9 @@ def test_a_sample_without_rows_leaves_each_column_for_itself(spark):
 
 
 def test_a_text_is_held_once_for_all_models(spark, monkeypatch):
-    rows = [(f"letter {i} of the harbour", m, (i * 7 + k) % 10 / 10) for i in range(40) for k, m in enumerate("abcde")]
+    rows = [(f"letter {i} of the harbour" + " " * k, m, (i * 7 + k) % 10 / 10) for i in range(40) for k, m in enumerate("abcde")]
     held, fit = [], regression.fit
-    monkeypatch.setattr(predictor, "fit_features", lambda texts, config, f=features.fit_features: held.append((texts.is_cached, texts.count())) or f(texts, config))
+    monkeypatch.setattr(predictor, "fit_distinct", lambda texts, config, f=features.fit_distinct: held.append((texts.is_cached, texts.count())) or f(texts, config))
     monkeypatch.setattr(regression, "fit", lambda rows, *x: held.append((rows.is_cached, rows.count())) or fit(rows, *x))
     history = spark.createDataFrame(rows, "query string, model_id string, quality_score double")
     found = predictor.fit_predictor(history, list("abcde"), FeatureConfig((2, 3), 40), TrainingConfig(min_model_samples=4))
