@@ -30,6 +30,9 @@ SEGMENT = r"[㐀-鿿]|[A-Za-z_]+|\p{Nd}+(?:\.\p{Nd}+)?"
 #: The same for texts that are ASCII.
 ASCII_SEGMENT = r"[A-Za-z_]+|[0-9]+(?:\.[0-9]+)?"
 ASCII_SPACES = "".join(c for c in SPACES if c.isascii())
+#: Most characters that are neither white space nor digits, turned away by one look before a class of many ranges is gone through.
+NO_SPACE = r"(?![!-~\x{A1}-\x{FF}])"
+NO_DIGIT = r"(?![\x00-/:-\x{B1}\x{B4}-\x{B8}\x{BA}-\x{FF}])"
 DIGIT = (
     r"[\p{Nd}\x{00B2}-\x{00B3}\x{00B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}"
     r"\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
@@ -100,7 +103,7 @@ def structural_features(text: Column) -> dict[str, Column]:
     """The five structural features of the stripped text, as doubles."""
     t = strip(text)
     segments = F.when(is_ascii(t), F.regexp_count(t, F.lit(ASCII_SEGMENT))).otherwise(F.regexp_count(t, F.lit(SEGMENT)))
-    digit = F.when(is_ascii(t), t.rlike("[0-9]")).otherwise(t.rlike(DIGIT))
+    digit = F.when(is_ascii(t), t.rlike("[0-9]")).otherwise(t.rlike(NO_DIGIT + DIGIT))
     values = (F.log1p(F.length(t)), F.log1p(segments), is_code(t), digit, is_math(t))
     return {name: value.cast("double") for name, value in zip(STRUCTURAL, values)}
 
@@ -110,7 +113,7 @@ def normalised(text: Column) -> Column:
 
     def joined(low: Column) -> Column:
         # White space that isn't ASCII makes the class slow, so most other characters are turned away before it.
-        return F.when(is_ascii(low), F.regexp_replace(low, f"[{ASCII_SPACES}]{{2,}}", " ")).otherwise(F.regexp_replace(low, f"(?![!-~])[{SPACES}]{{2,}}", " "))
+        return F.when(is_ascii(low), F.regexp_replace(low, f"[{ASCII_SPACES}]{{2,}}", " ")).otherwise(F.regexp_replace(low, f"{NO_SPACE}[{SPACES}]{{2,}}", " "))
 
     return bound(F.lower(strip(text)), joined)
 

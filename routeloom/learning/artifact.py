@@ -43,8 +43,12 @@ def estimates_from_map(probabilities: Column, statistics: dict[str, ModelStatist
 
 
 def decide(requests: DataFrame, predictor: QualityPredictor, statistics, candidates, policy: RoutingPolicy) -> DataFrame:
-    ids = enabled_ids(candidates)
-    scored = predictor.predict(requests, ids).withColumn("estimates", estimates_from_map(F.col("pass_probabilities"), statistics, ids))
+    return decide_predicted(predictor.predict(requests, enabled_ids(candidates)), statistics, candidates, policy)
+
+
+def decide_predicted(predicted: DataFrame, statistics, candidates, policy: RoutingPolicy) -> DataFrame:
+    """The same of requests that have their probabilities."""
+    scored = predicted.withColumn("estimates", estimates_from_map(F.col("pass_probabilities"), statistics, enabled_ids(candidates)))
     return route_rows(scored, candidates, policy).drop("estimates", "pass_probabilities")
 
 

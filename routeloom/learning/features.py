@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig
 from routeloom.functions.text import STRUCTURAL, is_blank, normalised, strip, structural_features
+from routeloom.learning.regression import pack
 
 
 #: Characters of texts whose n-grams are counted at once, and numbers that a table of next states may have.
@@ -103,9 +104,19 @@ def _counted(low: int, high: int):
     return run
 
 
+def prepared(texts: DataFrame, text: str = "query") -> DataFrame:
+    """Texts with the columns that features are made from instead of the text."""
+    own = structural_features(F.col(text))
+    return texts.withColumns({NORMAL: normalised(F.col(text)), MEASURED: F.array(*[own[c] for c in STRUCTURAL])}).drop(text)
+
+
+def _normal(texts: DataFrame, text: str) -> Column:
+    return F.col(NORMAL) if NORMAL in texts.columns else normalised(F.col(text))
+
+
 def term_totals(texts: DataFrame, config: FeatureConfig, text: str = "query") -> DataFrame:
     """(term, total, documents) of all n-grams of distinct texts, summed in batches before they are dealt by term."""
-    counted = texts.select(normalised(F.col(text)).alias("text")).mapInArrow(_counted(*config.ngram_range), "term string, total long, documents long")
+    counted = texts.select(_normal(texts, text).alias("text")).mapInArrow(_counted(*config.ngram_range), "term string, total long, documents long")
     return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("documents").alias("documents"))
 
 
@@ -116,7 +127,8 @@ def vocabulary(texts: DataFrame, config: FeatureConfig, text: str = "query") ->
 
 def structural_spread(texts: DataFrame, text: str = "query") -> DataFrame:
     """One row: the number of texts, and the population standard deviation of each structural feature."""
-    own = texts.select(*[c.alias(n) for n, c in structural_features(F.col(text)).items()])
+    measured = {n: F.col(MEASURED)[k] for k, n in enumerate(STRUCTURAL)} if MEASURED in texts.columns else structural_features(F.col(text))
+    own = texts.select(*[c.alias(n) for n, c in measured.items()])
     return own.agg(F.count("*").alias("n"), *[F.stddev_pop(n).alias(n) for n in STRUCTURAL])
 
 
@@ -129,6 +141,9 @@ def idf(n_texts: int, documents: int) -> float:
 #: Texts whose n-grams one task counts.
 TASK_TEXTS = 5_000
 WEIGHTS = "struct<positions:array<int>,weights:array<double>>"
+PACKED = "struct<positions:binary,counts:binary,scale:double>"
+#: Columns of texts from which all features can be had, so that a text's patterns are looked for once.
+NORMAL, MEASURED = "normal", "measured"
 
 
 @dataclass(frozen=True)
@@ -180,11 +195,21 @@ class Weigh:
         every = np.concatenate(out)
         return every[every > 0] - 1
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """The places of the terms of a text, how often each occurs, and what their counts times their weights are divided by."""
         counts = np.bincount(self.found(text))
         positions = np.flatnonzero(counts).astype(np.int32)
-        weights = counts[positions] * self.idf[positions]
-        return positions, weights / (np.sqrt((weights**2).sum()) or 1.0)
+        return positions, counts[positions], float(np.sqrt(((counts[positions] * self.idf[positions]) ** 2).sum())) or 1.0
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        positions, counts, length = self.counted(text)
+        return positions, counts * self.idf[positions] / length
+
+    def packed(self, texts: pa.Array) -> pa.Array:
+        made = [self.counted(text) for text in texts.to_pylist()]
+        bytes_ = [pack(positions, counts, len(self.places)) for positions, counts, _ in made]
+        columns = [pa.array([x[side] for x in bytes_], pa.binary()) for side in (0, 1)]
+        return pa.StructArray.from_arrays([*columns, pa.array([1 / length for _, _, length in made], pa.float64())], names=["positions", "counts", "scale"])
 
     def batch(self, texts: pa.Array) -> pa.Array:
         made = [self(text) for text in texts.to_pylist()]
@@ -211,7 +236,14 @@ class FeatureModel:
         """The scaled structural features, an array; a blank text is an error while running."""
         guarded = F.when(is_blank(text), F.raise_error(F.lit("query is blank")).cast("string")).otherwise(text)
         own = structural_features(guarded)
-        return F.array(*[own[c] / F.lit(s) for c, s in zip(STRUCTURAL, self.scale)])
+        return self._scaled([own[c] for c in STRUCTURAL])
+
+    def _scaled(self, own: list[Column]) -> Column:
+        return F.array(*[c / F.lit(s) for c, s in zip(own, self.scale)])
+
+    def packed(self) -> tuple[Column, Column]:
+        """The scaled structural features and the terms of ``prepared`` texts, as ``regression.PACKED`` has them."""
+        return self._scaled([F.col(MEASURED)[k] for k in range(len(STRUCTURAL))]), F.arrow_udf(self.weigh.packed, PACKED)(F.col(NORMAL))
 
     @cached_property
     def weigh(self) -> "Weigh":
@@ -244,17 +276,15 @@ def fit_features(rows: DataFrame, config: FeatureConfig = FeatureConfig(), text:
 
 
 def fit_distinct(texts: DataFrame, config: FeatureConfig) -> FeatureModel:
-    """Fit on texts that are stripped, distinct and persisted."""
-    if not texts.where(is_blank(F.col("query"))).isEmpty():
+    """Fit on texts that are stripped, distinct, perhaps ``prepared``, and persisted."""
+    if not texts.where(is_blank(F.col(NORMAL if NORMAL in texts.columns else "query"))).isEmpty():
         raise ValueError("query is blank")
     spread = structural_spread(texts).first()
     if not spread["n"]:
         raise ValueError("no training queries")
     # A feature that never varies keeps its scale.
     scale = tuple(float(spread[n]) if spread[n] else 1.0 for n in STRUCTURAL)
-    # Texts that most cores have some of already needn't be dealt again to be counted.
-    idle = 2 * texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism
-    return FeatureModel(config, scale, *fit_terms(spread_out(texts, spread["n"]) if idle else texts, config, spread["n"]))
+    return FeatureModel(config, scale, *fit_terms(dealt(texts, spread["n"]), config, spread["n"]))
 
 
 def fit_terms(texts: DataFrame, config: FeatureConfig, n: int) -> tuple[tuple[str, ...], tuple[float, ...]]:
@@ -268,8 +298,10 @@ def tasks_for(spark: SparkSession, n: int) -> int:
     return max(spark.sparkContext.defaultParallelism, n // TASK_TEXTS)
 
 
-def spread_out(texts: DataFrame, n: int) -> DataFrame:
-    return texts.repartition(tasks_for(texts.sparkSession, n))
+def dealt(texts: DataFrame, n: int) -> DataFrame:
+    """``n`` texts, dealt again if they are in so few tasks that most cores would wait for the others."""
+    tasks = tasks_for(texts.sparkSession, n)
+    return texts.repartition(tasks) if 2 * texts.rdd.getNumPartitions() < tasks else texts
 
 
 def read_features(spark: SparkSession, path: str) -> FeatureModel:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, TrainingConfig, distinct_ids
 from routeloom.functions.text import STRUCTURAL, normalised, strip
 from routeloom.learning import regression
-from routeloom.learning.features import FeatureModel, fit_distinct, spread_out
+from routeloom.learning.features import NORMAL, FeatureModel, dealt, fit_distinct, prepared
 from routeloom.learning.regression import TOLERANCE, NotConverged
 from routeloom.operators.statistics import passes
+from routeloom.sources.storage import settle
 
 __all__ = ["TOLERANCE", "LinearModel", "NotConverged", "QualityPredictor", "fit_predictor"]
 
@@ -44,8 +47,7 @@ class QualityPredictor:
         if unknown:
             raise ValueError(f"unknown models: {unknown}")
         scored = requests.withColumn("__scores", self._scores(ids)(normalised(F.col("query")), self.features.dense(F.col("query"))))
-        pairs = [x for k, m in enumerate(ids) for x in (F.lit(m), 1 / (1 + F.exp(-F.get("__scores", F.lit(k)))))]
-        return scored.select(*requests.columns, F.create_map(*pairs).alias("pass_probabilities"))
+        return scored.select(*requests.columns, probabilities("__scores", ids).alias("pass_probabilities"))
 
     def _scores(self, ids: list[str]):
         """An Arrow function of normalised texts and their dense features: the scores of all models, an array."""
@@ -64,15 +66,30 @@ class QualityPredictor:
 
     def predict_long(self, requests: DataFrame) -> DataFrame:
         """(query_id, model_id, probability)."""
-        return self.predict(requests).select("query_id", F.explode("pass_probabilities").alias("model_id", "probability"))
+        return long(self.predict(requests))
 
 
-def observed_texts(history: DataFrame, ids: list[str], threshold: float) -> DataFrame:
-    """(query, seen, positive): one row for each stripped request text, which is all that features depend on, with the observations of each model and how many of them passed."""
-    own = history.select(strip(F.col("query")).alias("query"), "model_id", passes(threshold).cast("int").alias("label"))
+def probabilities(scores: str, ids: list[str]) -> Column:
+    """A map from each model to the probability that its score stands for."""
+    return F.create_map(*[x for k, m in enumerate(ids) for x in (F.lit(m), 1 / (1 + F.exp(-F.get(scores, F.lit(k)))))])
+
+
+def long(predicted: DataFrame) -> DataFrame:
+    # Before a plain explode, Spark asks whether the map is empty, and so makes it twice.
+    return predicted.select("query_id", F.explode_outer("pass_probabilities").alias("model_id", "probability"))
+
+
+def observed(history: DataFrame, ids: list[str], threshold: float, key: str = "query") -> DataFrame:
+    """(key, seen, positive): one row for each key, with the observations of each model and how many of them passed."""
+    own = history.select(key, "model_id", passes(threshold).cast("int").alias("label"))
     seen = [F.count_if(F.col("model_id") == m) for m in ids]
     positive = [F.count_if((F.col("model_id") == m) & (F.col("label") == 1)) for m in ids]
-    return own.groupBy("query").agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
+    return own.groupBy(key).agg(F.array(*seen).alias("seen"), F.array(*positive).alias("positive"))
+
+
+def observed_texts(history: DataFrame, ids: list[str], threshold: float) -> DataFrame:
+    """(query, seen, positive): one row for each stripped request text, which is all that features depend on."""
+    return observed(history.withColumn("query", strip(F.col("query"))), ids, threshold)
 
 
 def label_totals(texts: DataFrame, ids: list[str]) -> dict[str, dict]:
@@ -82,10 +99,11 @@ def label_totals(texts: DataFrame, ids: list[str]) -> dict[str, dict]:
     return {m: {"observation_count": n, "positive_count": p, "negative_count": n - p, "positive_rate": p / n if n else None} for m, n, p in zip(ids, found[::2], found[1::2])}
 
 
-def training_rows(texts: DataFrame, features: FeatureModel) -> DataFrame:
-    """One row for each of ``observed_texts``, as ``regression.ROWS``."""
-    made = texts.select(F.xxhash64("query").alias("draw"), features.dense(F.col("query")).alias("dense"), features.sparse(F.col("query")).alias("terms"), "seen", "positive")
-    return made.select("draw", "dense", "terms.positions", "terms.weights", "seen", "positive")
+def training_rows(texts: DataFrame, features: FeatureModel, *keys: str) -> DataFrame:
+    """One row for each of ``observed_texts`` that are ``prepared``, as ``regression.PACKED``, with its keys."""
+    dense, terms = features.packed()
+    made = texts.select(*keys, F.xxhash64(NORMAL).alias("draw"), dense.alias("dense"), terms.alias("terms"), "seen", "positive")
+    return made.select(*keys, "draw", "dense", "terms.*", "seen", "positive")
 
 
 def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureConfig = FeatureConfig(), training: TrainingConfig = TrainingConfig()) -> QualityPredictor:
@@ -96,25 +114,37 @@ def fit_predictor(history: DataFrame, model_ids: list[str], features: FeatureCon
     """
     ids = sorted(distinct_ids(list(model_ids), "training model ids"))
     # A text is held once, not once for each model that answered it.
-    texts = observed_texts(history.where(F.col("model_id").isin(ids)), ids, training.quality_score_threshold).persist()
-    try:
-        return _fitted(texts, ids, features, training)
-    finally:
-        texts.unpersist()
+    texts = observed_texts(history.where(F.col("model_id").isin(ids)), ids, training.quality_score_threshold)
+    with _fitted(texts, ids, features, training) as (predictor, _):
+        return predictor
 
 
-def _fitted(texts: DataFrame, ids: list[str], features: FeatureConfig, training: TrainingConfig) -> QualityPredictor:
-    counts = label_totals(texts, ids)
-    for m, c in counts.items():
-        if c["observation_count"] < training.min_model_samples:
-            raise ValueError(f"insufficient training samples for {m}: {c}")
-        if not c["positive_count"] or not c["negative_count"]:
-            raise ValueError(f"single label for {m}: {c}")
-    fitted = fit_distinct(texts, features)
-    rows = training_rows(spread_out(texts, texts.count()), fitted).persist()
+def fit_and_score(texts: DataFrame, key: str, model_ids: list[str], features: FeatureConfig = FeatureConfig(), training: TrainingConfig = TrainingConfig()) -> tuple[QualityPredictor, DataFrame]:
+    """``fit_predictor`` on texts that are stripped and distinct, with their key and what is ``observed`` of the sorted models; and (key, scores) of these texts, from the features that the fit has made."""
+    ids = sorted(distinct_ids(list(model_ids), "training model ids"))
+    with _fitted(texts, ids, features, training, key) as (predictor, rows):
+        found = [(predictor.models[m].intercept, predictor.models[m].coefficients) for m in ids]
+        return predictor, settle(regression.scores(rows, len(predictor.features.terms), found, np.array(predictor.features.weights), key), "scores")
+
+
+@contextmanager
+def _fitted(texts: DataFrame, ids: list[str], features: FeatureConfig, training: TrainingConfig, *keys: str) -> Iterator[tuple[QualityPredictor, DataFrame]]:
+    """The predictor, and the rows that it was fitted on, which are held as long as this is."""
+    texts = prepared(texts).persist()
     try:
-        found = regression.fit(rows, len(ids), len(STRUCTURAL), len(fitted.terms), training.C, training.max_iter, ids)
-        models = {m: LinearModel(intercept, tuple(own.tolist())) for m, (intercept, own) in zip(ids, found)}
-        return QualityPredictor(fitted, training, models, counts)
+        counts = label_totals(texts, ids)
+        for m, c in counts.items():
+            if c["observation_count"] < training.min_model_samples:
+                raise ValueError(f"insufficient training samples for {m}: {c}")
+            if not c["positive_count"] or not c["negative_count"]:
+                raise ValueError(f"single label for {m}: {c}")
+        fitted = fit_distinct(texts, features)
+        rows = training_rows(dealt(texts, texts.count()), fitted, *keys).persist()
+        try:
+            found = regression.fit(rows, len(ids), len(STRUCTURAL), len(fitted.terms), training.C, training.max_iter, ids, np.array(fitted.weights))
+            models = {m: LinearModel(intercept, tuple(own.tolist())) for m, (intercept, own) in zip(ids, found)}
+            yield QualityPredictor(fitted, training, models, counts), rows
+        finally:
+            rows.unpersist()
     finally:
-        rows.unpersist()
+        texts.unpersist()

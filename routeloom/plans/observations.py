@@ -5,10 +5,11 @@ Outcomes are arithmetic on ids and lengths, so the same table can be had from SQ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom.contracts import ModelCandidate
+from routeloom.functions.text import strip
 
 #: The simulated models, with a number, a base cost and a base latency.
 MODELS = (("model-a", 0, 55, 1500), ("model-b", 1, 25, 900), ("model-c", 2, 31, 1150), ("model-d", 3, 14, 700), ("model-e", 4, 6, 420))
@@ -32,11 +33,23 @@ def requests(docs: DataFrame) -> DataFrame:
 
     Texts are grouped by digest, so what is shuffled is a few bytes for each document.
     """
+    return _requests(docs)
+
+
+def keyed_requests(docs: DataFrame) -> DataFrame:
+    """The same with a key, the smallest query_id of those whose texts are equal once they are stripped of any white space."""
+    rows = _requests(docs, F.first("stripped").alias("stripped"))
+    return rows.withColumn("key", F.min("query_id").over(Window.partitionBy("stripped"))).drop("stripped")
+
+
+def _requests(docs: DataFrame, *more: Column) -> DataFrame:
     text = request_text(F.col("text"))
     some = F.col("text").rlike(r"[^ \t\n\r]")
     first = F.min(F.struct("doc_id", "source", "lang", "n_chars")).alias("first")
-    rows = docs.where(some).groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(first)
-    return rows.select(F.col("first.doc_id").alias("query_id"), F.col("first.source").alias("group_id"), F.col("first.lang").alias("task_type"), F.col("first.n_chars").alias("n_chars"))
+    own = docs.where(some)
+    own = own.withColumn("stripped", F.sha2(strip(text).cast("binary"), 256)) if more else own
+    rows = own.groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(first, *more)
+    return rows.select(F.col("first.doc_id").alias("query_id"), F.col("first.source").alias("group_id"), F.col("first.lang").alias("task_type"), F.col("first.n_chars").alias("n_chars"), *rows.columns[2:])
 
 
 def request_texts(docs: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -50,10 +63,21 @@ def request_texts(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     return texts.join(requests(docs).select("query_id").hint("shuffle_hash"), "query_id", "left_semi")
 
 
+def keyed_texts(docs: DataFrame, keyed: DataFrame, tasks: int) -> DataFrame:
+    """(key, query, ...): the stripped text of each key of ``keyed``, and what else that has of it, dealt to ``tasks`` tasks; texts are dealt once."""
+    texts = docs.select(F.col("doc_id").alias("key"), strip(request_text(F.col("text"))).alias("query")).repartition(tasks, "key")
+    return texts.join(keyed.hint("shuffle_hash"), "key")
+
+
 def observations(docs: DataFrame) -> DataFrame:
     """Every request with every model: call_id, ids, quality_score, cost, latency_ms, and a stand-in probability p."""
+    return observed_requests(requests(docs))
+
+
+def observed_requests(requests: DataFrame, *more: str) -> DataFrame:
+    """The observations of ``requests``, with more of their columns."""
     models = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(j).cast("long").alias("j"), F.lit(float(c)).alias("base_cost"), F.lit(float(ms)).alias("base_latency")) for m, j, c, ms in MODELS])
-    rows = requests(docs).withColumn("m", F.explode(models))
+    rows = requests.withColumn("m", F.explode(models))
     q, n, j = F.col("query_id"), F.col("n_chars"), F.col("m.j")
     return rows.select(
         F.concat(q.cast("string"), F.lit("--"), F.col("m.model_id")).alias("call_id"),
@@ -65,6 +89,7 @@ def observations(docs: DataFrame) -> DataFrame:
         (F.col("m.base_cost") * (n + 220) / F.lit(1000.0)).alias("cost"),
         (F.col("m.base_latency") * (n + 500) / F.lit(500.0)).alias("latency_ms"),
         (((q * 104729 + j * 7919 + n * 17) % 1001) / F.lit(1000.0)).alias("p"),
+        *more,
     )
 
 

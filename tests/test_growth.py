@@ -2,15 +2,17 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from routeloom.contracts import FeatureConfig, TrainingConfig
 from routeloom.functions import text as tx
 from routeloom.learning import features, predictor, regression
-from routeloom.plans import queries
+from routeloom.plans import observations, queries
 
 
 def test_the_driver_gets_one_sample_whatever_the_number_of_tasks(spark, monkeypatch):
@@ -143,3 +145,65 @@ def test_hints_take_less_time_than_before(spark):
         assert min(seconds(tx.task_type_hint(F.col("t"))) for _ in range(3)) < 0.75 * min(seconds(_as_before(F.col("t"))) for _ in range(3))
     finally:
         rows.unpersist()
+
+
+def test_packed_rows_are_the_rows_as_arrays_and_a_quarter_of_them():
+    rng = np.random.default_rng(4)
+    for wide, most in ((300, 200), (300, 400), (70_000, 3)):
+        counts = [rng.integers(1, most, k) for k in (0, 40, 7, 90)]
+        positions = [np.sort(rng.choice(wide, len(c), replace=False)).astype(np.int32) for c in counts]
+        scale, factor = rng.random(4), rng.random(wide)
+        common = {"dense": pa.array(rng.random((4, 2)).tolist()), "seen": pa.array(rng.integers(1, 3, (4, 2)).tolist()), "positive": pa.array([[1, 0]] * 4)}
+        weights = [c * s * factor[p] for c, s, p in zip(counts, scale, positions)]
+        plain = pa.record_batch(common | {"positions": pa.array(positions), "weights": pa.array(weights)})
+        made = [regression.pack(p, c, wide) for p, c in zip(positions, counts)]
+        packed = pa.record_batch(common | {"positions": pa.array([x[0] for x in made]), "counts": pa.array([x[1] for x in made]), "scale": pa.array(scale)})
+        if most == 200:
+            assert 4 * sum(len(x) for row in made for x in row) == sum(map(len, counts)) * 12
+        weighed = SimpleNamespace(value=(rng.normal(size=(2, 2 + wide)), rng.normal(size=2)))
+        for of in (regression._moments, lambda factor: regression._losses(factor, weighed)):
+            for batches in ((plain, packed), (plain.slice(1), packed.slice(1))):
+                a, b = (of(f)(regression._Block(batch, wide)) for batch, f in zip(batches, (np.ones(wide), factor)))
+                assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_many_rows_take_few_passes(spark, monkeypatch):
+    """Columns that go with each other, of more directions than a sample of 1,024 rows shows, and little ridge."""
+    rng = np.random.default_rng(6)
+    n, wide = 6_000, 600
+    x = np.exp(rng.normal(size=(n, 300)) @ rng.normal(size=(300, wide)) / 20) * (rng.random((n, wide)) < 0.3)
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    y = (rng.random(n) < 0.2).astype(int)
+    rows = [(int(rng.integers(1 << 60)), [1.0 * (i % 2)], np.flatnonzero(r).tolist(), r[r > 0].tolist(), [1], [int(k)]) for i, (r, k) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(rows, regression.ROWS).repartition(4).persist()
+    passes, sums = [], regression._summed
+    monkeypatch.setattr(regression, "_summed", lambda *x: passes.append(1) or sums(*x))
+    regression.fit(frame, 1, 1, wide, 500.0, 200)
+    frame.unpersist()
+    assert len(passes) < 20
+
+
+def test_a_text_is_scored_once_for_all_models(spark):
+    models = {m: predictor.LinearModel(0.5, (0.1,) * 5) for m in ("east", "west")}
+    own = predictor.QualityPredictor(features.FeatureModel(FeatureConfig(), (1.0,) * 5, (), ()), TrainingConfig(), models)
+    found = own.predict_long(spark.range(3).selectExpr("id AS query_id", "concat('letter ', id) AS query"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.count() == 6
+
+
+def test_requests_are_scored_by_the_features_of_the_fit(spark, tmp_path):
+    """Texts that differ in white space only, some of it not ASCII, are several requests and one text of the fit."""
+    texts = [f"letter {i} of {'x = y ' * (i % 4)} the harbour {'abc'[i % 3] * 3}" for i in range(120)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, t + " ", "en", "s", 9 + i) for i, t in enumerate(texts[:20])] + [(2000 + i, " " + t, "en", "s", 7) for i, t in enumerate(texts[:9])] + [(3000, " \n", "en", "s", 2), (3001, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = observations.documents(spark, str(tmp_path))
+    history = observations.request_texts(docs).join(observations.observations(docs), "query_id").select("query", "model_id", "quality_score")
+    plain = predictor.fit_predictor(history, observations.MODEL_IDS).predict_long(observations.request_texts(docs))
+    want = {(r["query_id"], r["model_id"]): r["probability"] for r in plain.collect()}
+    found = queries.learned_pass_probability(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
+    got = {(r["query_id"], r["model_id"]): r["probability"] for r in found.collect()}
+    assert len(want) == 140 * 5 and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+    assert queries.learned_route(spark, str(tmp_path)).count() == 140
