@@ -277,7 +277,8 @@ def fit_features(rows: DataFrame, config: FeatureConfig = FeatureConfig(), text:
 
 def fit_distinct(texts: DataFrame, config: FeatureConfig) -> FeatureModel:
     """Fit on texts that are stripped, distinct, perhaps ``prepared``, and persisted."""
-    if not texts.where(is_blank(F.col(NORMAL if NORMAL in texts.columns else "query"))).isEmpty():
+    # A text that is normalised is blank if it is empty.
+    if not texts.where(F.col(NORMAL) == "" if NORMAL in texts.columns else is_blank(F.col("query"))).isEmpty():
         raise ValueError("query is blank")
     spread = structural_spread(texts).first()
     if not spread["n"]:

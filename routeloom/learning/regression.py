@@ -28,7 +28,7 @@ SHORTER = 0.25
 SAMPLE = 8192
 SAMPLE_NUMBERS = 1 << 24
 #: Numbers of the rows that are multiplied at once as a matrix with its zeros, and how many of these may be zeros for each other one.
-PIECE = 1 << 18
+PIECE = 1 << 17
 ZEROS = 20
 
 #: Rows of a fit: a hash that draws the sample, dense values, sparse ones with their columns, and for each model how many observations the row stands for and how many of them are positive.
@@ -226,7 +226,7 @@ class _Curvature:
         # With rows enough, the products of columns are inverted, and else, by the rows' products, what the rows add to a diagonal.
         by_columns = size**2 <= SAMPLE_NUMBERS and 3 * drawn.num_rows >= size
         varied, product, x = np.zeros(size), np.zeros((size, size) if by_columns else 0, np.float32), []
-        for block in (_Block(batch, size - n_dense) for batch in drawn.to_batches(max_chunksize=1024) if batch.num_rows):
+        for block in (_Block(batch, size - n_dense) for batch in drawn.to_batches(max_chunksize=256) if batch.num_rows):
             own = np.empty((len(block.dense), size))
             own[:, :n_dense] = block.dense
             for part, values in block.pieces():
@@ -239,13 +239,14 @@ class _Curvature:
                 product += single.T @ single
             else:
                 x.append(own)
+        del drawn
         varied /= m
         ridge = 1 / C + curve * np.where(2 * varied < spread, spread - varied, 0)
         self.root, self.half, self.inverse = np.sqrt(ridge), np.zeros((0, size)), None
         if by_columns:
             product *= curve / m
             # A ridge that single numbers can't tell from nothing beside the rest is made one that they can.
-            product[np.diag_indices(size)] += np.maximum(ridge, 4 * np.finfo(np.float32).eps * np.abs(product).sum(axis=0).max())
+            product[np.diag_indices(size)] += np.maximum(ridge, 4 * np.finfo(np.float32).eps * max(np.abs(own).sum() for own in product))
             self.inverse = np.linalg.inv(product)
         elif x:
             x = np.concatenate(x) * (math.sqrt(curve / m) / self.root)
